@@ -42,7 +42,8 @@ def parse_metric_log(df: DataFrame, langs: list[str] | None = None, keys: dict[s
 
 def dense_matrix(scores: DataFrame, dim: DataFrame) -> DataFrame:
     """Every direction of every metric; a missing score becomes 0, ``missing`` tells which."""
-    grid = all_directions(dim).select("src_lang", "tgt_lang").join(scores.select("metric").distinct(), how="cross")
+    metrics = scores.agg(F.collect_set("metric")).scalar()
+    grid = all_directions(dim).select("src_lang", "tgt_lang", F.explode(metrics).alias("metric"))
     return grid.join(scores, ["metric", "src_lang", "tgt_lang"], "left").select(
         "metric", "src_lang", "tgt_lang", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNull().alias("missing")
     )
