@@ -58,25 +58,6 @@ def sample_exact(df: DataFrame, n: int, seed: int = 1, key: tuple[str, ...] = ("
     return placed.where(whole).drop(*helper).unionByName(edge.drop(*helper))
 
 
-def sample_exact(df: DataFrame, n: int, seed: int = 1, key: tuple[str, ...] = ("pair", "line_no")) -> DataFrame:
-    """Exactly the ``n`` rows with the smallest hash, for any ``n``.
-
-    A histogram of hash prefixes (65,536 rows at most) finds the block where the
-    n-th row lies. Whole blocks below it are kept by a filter; only the boundary
-    block is sorted. ``key`` must identify a row.
-    """
-    digest = F.md5(F.concat_ws(SEPARATOR, F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
-    keyed = df.withColumn("_key", digest).withColumn("_block", hash_block(F.col("_key"))).withColumn("_one", F.lit(0))
-    starts = block_starts(keyed, ["_one"], "_block").where(F.col("_start") < n)
-    # bounded by the number of prefixes
-    placed = keyed.join(F.broadcast(starts), ["_one", "_block"])
-    inner = placed.where(F.col("_start") + F.col("_rows") <= n)
-    edge = placed.where(F.col("_start") + F.col("_rows") > n)
-    need = F.col("_start") + F.col("_pos") < n
-    edge = number_rows(edge, ["_block"], ["_key"], F.substring("_key", 5, 2), "_pos").where(need).drop("_pos")
-    return inner.drop("_block").unionByName(edge.drop("_block")).drop("_key", "_one", "_start", "_rows")
-
-
 # Sharding -----------------------------------------------------------------------------------
 
 

@@ -31,26 +31,35 @@ def _symbols(state: Column) -> Column:
     return F.split(inner, CLOSE + OPEN)
 
 
-def train_subwords(counts: DataFrame, vocab_size: int = VOCAB_SIZE, top: int = 256, checkpoint_every: int = 20) -> list[tuple[str, str]]:
+def train_subwords(counts: DataFrame, vocab_size: int = VOCAB_SIZE, top: int = 256, checkpoint_every: int = 20,
+                   partitions: int | None = None) -> list[tuple[str, str]]:
     """Byte-pair merges in order; ties go to the smaller pair.
 
     ``counts`` has one row per distinct word, far fewer than the corpus has tokens.
     Each pass counts adjacent symbols with a distributed aggregate and brings only the
     ``top`` pairs to the driver. A pass applies several merges when that provably
-    equals doing them one at a time: the leading pairs must share no symbol, each must
-    be strictly more frequent than the first pair that does share one, which bounds
-    the count of every pair a merge creates, and no merge may spell an existing symbol.
+equals doing them one at a time: the leading pairs must not overlap each other (no
+    right symbol is another's left symbol), each must be strictly more frequent than the
+    first pair that does overlap, which bounds the count of every pair a merge creates,
+    and no merge may spell an existing symbol.
+
+    The words stay in executor memory between passes; a reliable checkpoint every
+    ``checkpoint_every`` passes bounds what a lost executor makes Spark redo.
     """
     state = counts.where(F.length("word") > 0).select(
         "cnt", F.regexp_replace("word", "(?s)(.)", OPEN + "$1" + CLOSE).alias("state")
     )
-    state = cut_lineage(state)
+    # an explicit width: the words are few bytes but every pass works on all of them
+    state = cut_lineage(state.repartition(partitions or counts.sparkSession.sparkContext.defaultParallelism, "state")).persist()
     alphabet = state.select(F.explode(_symbols(F.col("state"))).alias("s")).distinct().count()
     budget = max(vocab_size - alphabet - len(VOCABULARY_SPECIALS), 0)
     merges: list[tuple[str, str]] = []
-    passes = 0
+    passes, previous = 0, None
     while len(merges) < budget:
+        # counting also brings the new state into memory, after which the old one can go
         ranked = _top_pairs(state, top)
+        if previous is not None:
+            previous.unpersist()
         if not ranked:
             break
         made = {left + right for left, right in merges}
@@ -58,35 +67,39 @@ def train_subwords(counts: DataFrame, vocab_size: int = VOCAB_SIZE, top: int = 2
         col = F.col("state")
         for left, right in batch:
             col = F.replace(col, F.lit(OPEN + left + CLOSE + OPEN + right + CLOSE), F.lit(OPEN + left + right + CLOSE))
-        state = state.withColumn("state", col)
         merges += batch
         passes += 1
-        if passes % checkpoint_every == 0:
-            state = cut_lineage(state)
+        previous, state = state, state.withColumn("state", col)
+        state = (cut_lineage(state) if passes % checkpoint_every == 0 else state).persist()
+    for held in (previous, state):
+        if held is not None:
+            held.unpersist()
     return merges
 
 
 def _top_pairs(state: DataFrame, top: int) -> list[tuple[str, str, int]]:
-    symbols = state.select("cnt", _symbols(F.col("state")).alias("s")).where(F.size("s") > 1)
-    adjacent = F.arrays_zip(
-        F.slice("s", F.lit(1), F.size("s") - 1).alias("left"), F.slice("s", F.lit(2), F.size("s") - 1).alias("right")
+    adjacent = "inline(arrays_zip(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1))) AS (left, right)"
+    ranked = (
+        state.select("cnt", _symbols(F.col("state")).alias("s")).where("size(s) > 1").selectExpr("cnt", adjacent)
+        .groupBy("left", "right").agg(F.sum("cnt").alias("n"))
+        .orderBy(F.desc("n"), "left", "right").limit(top)
     )
-    pairs = symbols.select("cnt", F.inline(adjacent).alias("left", "right"))
-    ranked = pairs.groupBy("left", "right").agg(F.sum("cnt").alias("n")).orderBy(F.desc("n"), "left", "right").limit(top)
-    return [(r["left"], r["right"], r["n"]) for r in ranked.collect()]
+    return [tuple(r) for r in ranked.collect()]
 
 
 def _independent_prefix(ranked: list[tuple[str, str, int]], made: set[str], complete: bool) -> list[tuple[str, str]]:
     """The leading pairs that can be merged in one pass with the sequential result."""
-    used: set[str] = set()
+    lefts: set[str] = set()
+    rights: set[str] = set()
     taken: list[tuple[str, str, int]] = []
     # pairs beyond a cut-off list are no more frequent than its last entry
     bound = 0 if complete else ranked[-1][2]
     for left, right, n in ranked:
-        if left == right or left in used or right in used or left + right in made:
+        if left == right or left in rights or right in lefts or left + right in made:
             bound = max(bound, n)
             break
-        used |= {left, right}
+        lefts.add(left)
+        rights.add(right)
         made = made | {left + right}
         taken.append((left, right, n))
     batch = [(a, b) for a, b, n in taken if n > bound]

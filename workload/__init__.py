@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["planning", "cleaning", "corpus"]
+_MODULES = ["planning", "cleaning", "corpus", "evaluation"]
 
 
 def _load():

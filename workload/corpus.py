@@ -82,7 +82,7 @@ def decode_pieces(spark, sf):
     return df.select("pair", "line_no", "src", "tgt")
 
 
-BPE_VOCAB = 400
+BPE_VOCAB = 200
 
 
 @query("bpe_merges")
