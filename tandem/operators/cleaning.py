@@ -88,7 +88,9 @@ def accepted_sets(histogram: DataFrame) -> DataFrame:
 
 def with_histogram_flag(df: DataFrame, histogram: DataFrame, threshold: float = 0.5, name: str = "hist_ok") -> DataFrame:
     """Flag rows whose accepted share reaches ``threshold`` on both sides. No language row: not accepted."""
-    sets = accepted_sets(histogram)
+    # bounded: one row per language, as wide as its alphabet. Without the broadcast the
+    # text would be shuffled by language, where one language may be most of it
+    sets = F.broadcast(accepted_sets(histogram))
     for side in ("src", "tgt"):
         df = df.join(sets.select(F.col("lang").alias(f"{side}_lang"), F.col("accepted").alias(f"_{side}_set")),
                      f"{side}_lang", "left")

@@ -26,11 +26,11 @@ def mono_corpus(df: DataFrame, hub: str = "en", hub_from: str = "de") -> DataFra
 def parallel_directions(texts: DataFrame, directions: DataFrame) -> DataFrame:
     """Bitext of every listed direction from an N-way parallel set (``sent_id, lang, text``).
 
-    Each text is shuffled once, by sentence; the wanted targets of its language ride
-    along as a short list and are checked inside the join.
+    Each text is shuffled once, by sentence; the wanted targets of its language (one
+    short list per language) ride along and are checked inside the join.
     """
     targets = directions.groupBy("src_lang").agg(F.collect_set("tgt_lang").alias("_targets"))
-    src = texts.select("sent_id", F.col("lang").alias("src_lang"), F.col("text").alias("src")).join(targets, "src_lang")
+    src = texts.select("sent_id", F.col("lang").alias("src_lang"), F.col("text").alias("src")).join(F.broadcast(targets), "src_lang")
     tgt = texts.select(F.col("sent_id").alias("_sent"), F.col("lang").alias("tgt_lang"), F.col("text").alias("tgt"))
     wanted = (F.col("sent_id") == F.col("_sent")) & F.array_contains("_targets", F.col("tgt_lang"))
     return src.join(tgt, wanted).select(
@@ -72,7 +72,8 @@ def assign_chunk(df: DataFrame, n_shards: int = N_SHARDS, min_lines: int = MIN_C
     size = F.when(per_shard >= min_lines, per_shard).otherwise(F.lit(min_lines)) + 1
     sizes = totals.select("pair", size.alias("_size"), F.ceil(F.col("_total") / size).cast("int").alias("n_chunks"))
     indexed = number_rows(df, ["pair"], ["line_no"], range_block(F.col("line_no")))
-    return indexed.join(sizes, "pair").withColumn("chunk", F.floor(F.col("row_idx") / F.col("_size")).cast("int")).drop("_size")
+    # one row per pair: a join on the pair itself would gather a large pair in one task
+    return indexed.join(F.broadcast(sizes), "pair").withColumn("chunk", F.floor(F.col("row_idx") / F.col("_size")).cast("int")).drop("_size")
 
 
 def fill_shards(df: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
@@ -116,7 +117,7 @@ def temperature_sample(df: DataFrame, weights: DataFrame, budget: int, seed: int
     """Repeat or thin each pair to its share of ``budget``: the expected copies per row
     are split into a whole part and a fraction decided by the row's own hash."""
     rate = weights.select("pair", (F.col("weight") * F.lit(float(budget)) / F.col("n")).alias("_rate"))
-    drawn = df.join(rate, "pair").withColumn("_u", unit_hash(seed, "pair", "line_no"))
+    drawn = df.join(F.broadcast(rate), "pair").withColumn("_u", unit_hash(seed, "pair", "line_no"))
     whole = F.floor("_rate")
     copies = (whole + F.when(F.col("_u") < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
     drawn = drawn.withColumn("_copies", copies).where("_copies > 0")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tandem.functions import text as t
 from tandem.functions.ngrams import char_word_overlap, token_overlap
 from tandem.operators.records import apply_model
+from tandem.session import staged
 
 
 def detokenize(df: DataFrame, cols: tuple[str, ...] = ("hyp", "ref"), lang_col: str = "tgt_lang") -> DataFrame:
@@ -110,17 +111,25 @@ SCALE = 1_000_000
 
 def char_ngrams(col: Column, n: int = 3) -> Column:
     """Character n-grams of the text framed by spaces, so that no text is without one."""
-    chars = t.characters(F.concat(F.lit(" "), col, F.lit(" ")))
-    places = F.sequence(F.lit(1), F.size(chars) - (n - 1))
-    grams = F.transform(places, lambda i: F.concat(*[F.element_at(chars, (i + k).cast("int")) for k in range(n)]))
-    return F.when(F.size(chars) >= n, grams).otherwise(F.array(F.array_join(chars, "")))
+    framed = t.characters(F.concat(F.lit(" "), col, F.lit(" ")))
+
+    def grams(chars: Column) -> Column:
+        firsts = F.slice(chars, F.lit(1), F.size(chars) - (n - 1))
+        runs = F.transform(firsts, lambda ch, i: F.concat(ch, *[F.get(chars, i + k) for k in range(1, n)]))
+        # a text shorter than n is its own only n-gram
+        return F.when(F.size(chars) >= n, runs).otherwise(F.array(F.array_join(chars, "")))
+
+    # the one-element array binds the characters to a name: an inner function would
+    # otherwise split the text again for every n-gram
+    return F.transform(F.array(framed), grams)[0]
 
 
 def train_langid(df: DataFrame, langs: list[str], n: int = 3, text: str = "text", lang: str = "lang") -> DataFrame:
     """Naive-Bayes model: one row per n-gram with a log-probability per language.
 
     Add-one smoothing; log-probabilities are whole millionths so that sums are exact in
-    any order. The row with a null n-gram holds what an unseen n-gram gets.
+    any order. The row with a null n-gram holds what an unseen n-gram gets. The model is
+    written once below the shared folder.
     """
     grams = df.where(F.col(lang).isin(langs)).select(F.col(lang).alias("lang"), F.explode(char_ngrams(F.col(text), n)).alias("gram"))
     counts = grams.groupBy("gram").agg(*[F.count_if(F.col("lang") == x).alias(f"n_{i}") for i, x in enumerate(langs)])
@@ -135,21 +144,28 @@ def train_langid(df: DataFrame, langs: list[str], n: int = 3, text: str = "text"
     unseen = totals.select(
         F.lit(None).cast("string").alias("gram"),
         *[log_p(F.lit(0), F.col(f"t_{i}"), F.col("v")).alias(f"lp_{i}") for i in range(len(langs))])
-    return seen.unionByName(unseen)
+    return staged(seen.unionByName(unseen), "langid")
 
 
-def detect_language(df: DataFrame, model: DataFrame, langs: list[str], keys: list[str], n: int = 3, text: str = "text") -> DataFrame:
+def detect_language(df: DataFrame, model: DataFrame, langs: list[str], keys: list[str], n: int = 3, text: str = "text",
+                    broadcast_rows: int = 1_000_000) -> DataFrame:
     """``keys, pred_lang``: the language with the largest sum of log-probabilities, ties to the first listed.
 
-    The n-grams of a text are next to each other when they meet the model, so they are
-    summed before the shuffle. Spark broadcasts the model while it is small and falls
-    back to a shuffled join with skew handling when it is not.
+    A model of up to ``broadcast_rows`` n-grams is broadcast: the n-grams of a text are
+    then next to each other and are summed before the only shuffle. A larger one is
+    joined by n-gram, each n-gram of a text counted once, with adaptive skew handling.
     """
     lps = [f"lp_{i}" for i in range(len(langs))]
     grams = df.select(*keys, F.explode(char_ngrams(F.col(text), n)).alias("gram"))
     unseen = model.where(F.col("gram").isNull()).select(F.struct(*lps)).scalar()
-    scored = grams.join(model.where(F.col("gram").isNotNull()), "gram", "left").withColumn("_u", unseen)
-    sums = scored.groupBy(*keys).agg(*[F.sum(F.coalesce(F.col(c), F.col(f"_u.{c}"))).alias(c) for c in lps])
+    known = model.where(F.col("gram").isNotNull())
+    if known.count() <= broadcast_rows:
+        known, grams = F.broadcast(known), grams.withColumn("_times", F.lit(1))
+    else:
+        grams = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("_times"))
+    scored = grams.join(known, "gram", "left").withColumn("_u", unseen)
+    sums = scored.groupBy(*keys).agg(*[
+        F.sum(F.coalesce(F.col(c), F.col(f"_u.{c}")) * F.col("_times")).alias(c) for c in lps])
     best = F.greatest(*[F.col(c) for c in lps]) if len(lps) > 1 else F.col(lps[0])
     pred = F.coalesce(*[F.when(F.col(c) == best, F.lit(x)) for c, x in zip(lps, langs)])
     return sums.select(*keys, pred.alias("pred_lang"))

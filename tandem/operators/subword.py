@@ -207,12 +207,12 @@ def binarize(df: DataFrame, dictionary: DataFrame, cols: dict[str, str], key: tu
     needs no shuffle. A larger one is joined: the pieces are spread by row key, so the
     regrouping after the join stays in place.
     """
-    if dictionary.limit(lookup_limit + 1).count() > lookup_limit:
+    rows = dictionary.select("token", "token_id").limit(lookup_limit + 1).collect()
+    if len(rows) > lookup_limit:
         for pieces, ids in cols.items():
             df = _binarize_join(df, dictionary, pieces, ids, key)
         return df
-    table = {r["token"]: r["token_id"] for r in dictionary.select("token", "token_id").toLocalIterator()}
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    shared = df.sparkSession.sparkContext.broadcast({r["token"]: r["token_id"] for r in rows})
 
     @F.pandas_udf("array<int>")
     def look_up(batch: pd.Series) -> pd.Series:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.operators import cleaning as c
+from tandem.session import staged
 
 
 @dataclass(frozen=True)
@@ -22,12 +23,13 @@ class CleanConfig:
 def clean_corpus(df: DataFrame, cfg: CleanConfig = CleanConfig(), histogram: DataFrame | None = None) -> DataFrame:
     """Strip, drop over-punctuated pairs, deduplicate, (shuffle,) filter by histogram.
 
-    Without a given ``histogram`` it is computed from the deduplicated text. Only the
-    deduplication shuffles rows; the histogram is a small aggregate beside it.
+    Only the deduplication shuffles rows. Without a given ``histogram`` it is computed
+    from the deduplicated text, which is written once so that the shuffle is not repeated.
     """
     kept = c.filter_overpunct(c.strip_text(df), cfg.max_punct_share)
     distinct = c.dedup_pairs(kept)
     if histogram is None:
+        distinct = staged(distinct, "dedup")
         histogram = c.build_char_histogram(c.side_texts(distinct), cfg.coverage)
     out = c.filter_by_histogram(distinct, histogram, cfg.threshold)
     out = out.select("pair", "src_lang", "tgt_lang", "line_no", "src", "tgt")
@@ -44,6 +46,7 @@ def stage_counts(df: DataFrame, cfg: CleanConfig = CleanConfig(), histogram: Dat
                                            & c.punct_ok(F.col("tgt"), cfg.max_punct_share))
     groups = stripped.groupBy("pair", "src_lang", "tgt_lang", "src", "tgt", "punct_ok").agg(F.count(F.lit(1)).alias("copies"))
     if histogram is None:
+        groups = staged(groups, "groups")
         histogram = c.build_char_histogram(c.side_texts(groups.where("punct_ok")), cfg.coverage)
     flagged = c.with_histogram_flag(groups, histogram, cfg.threshold)
     return flagged.groupBy("pair").agg(

@@ -51,9 +51,30 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table once below the shared folder and read it back.
+
+    For results several branches need: they then share one computation, survive lost
+    executors, and Spark knows their size when it plans the joins.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core work when the scan has fewer partitions than there are cores.
+
+    A large table has more splits than cores and is left alone; a small file is a
+    single split, and everything up to the next shuffle would run on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["planning", "cleaning", "corpus", "evaluation"]
+_MODULES = ["planning", "cleaning", "corpus", "evaluation", "reporting"]
 
 
 def _load():

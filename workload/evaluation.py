@@ -15,16 +15,16 @@ from workload.registry import query, view
 # Model harness ---------------------------------------------------------------------------------
 
 
-@query("apply_model", "SELECT pair, sample_id, upper(hyp) AS output, CAST(length(hyp) AS BIGINT) AS n FROM hr")
+@query("apply_model", "SELECT pair, sample_id, replace(hyp, 'e', '_E') AS output, CAST(length(hyp) AS BIGINT) AS n FROM hr")
 def apply_model(spark, sf):
-    """A stand-in model: upper-cases the text."""
+    """A stand-in model: rewrites one letter."""
 
     def load():
-        return str.upper
+        return {"e": "_E"}
 
     def predict(model, batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"pair": batch["pair"], "sample_id": batch["sample_id"],
-                             "output": [model(x) for x in batch["hyp"]], "n": batch["hyp"].str.len()})
+                             "output": batch["hyp"].replace(model, regex=True), "n": batch["hyp"].str.len()})
 
     rows = t.hr(spark, sf).select("pair", "sample_id", "hyp")
     return r.apply_model(rows, load, predict, "pair string, sample_id long, output string, n long", 64)
@@ -173,10 +173,17 @@ view("chrf_words", f"""
     WHEN length(x) > 1 AND contains('{_EDGE}', x[-1:]) THEN [x[:-2], x[-1:]]
     WHEN length(x) > 1 AND contains('{_EDGE}', x[1:1]) THEN [x[1:1], x[2:]] ELSE [x] END)) AS w FROM bleu_tokens""")
 view("chrf_chars", f"""
-  SELECT pair, sample_id, side, list_filter(string_split(translate(text, ws, ''), ''), lambda x: x <> '') AS w FROM sides, (SELECT {_WS} AS ws)""")
+  SELECT pair, sample_id, side, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM (
+    SELECT pair, sample_id, side, list_filter(string_split(translate(text, ws, ''), ''), lambda x: x <> '') AS w FROM sides, (SELECT {_WS} AS ws))""")
+view("chrf_runs", """
+  SELECT pair, sample_id, side, c AS c1, c || lead(c, 1) OVER s AS c2, c || lead(c, 1) OVER s || lead(c, 2) OVER s AS c3,
+         c || lead(c, 1) OVER s || lead(c, 2) OVER s || lead(c, 3) OVER s AS c4,
+         c || lead(c, 1) OVER s || lead(c, 2) OVER s || lead(c, 3) OVER s || lead(c, 4) OVER s AS c5,
+         c || lead(c, 1) OVER s || lead(c, 2) OVER s || lead(c, 3) OVER s || lead(c, 4) OVER s || lead(c, 5) OVER s AS c6
+  FROM chrf_chars WINDOW s AS (PARTITION BY sample_id, side ORDER BY i)""")
 view("chrf_grams", """
-  SELECT pair, sample_id, side, n, array_to_string(w[i : i + n - 1], '') AS g FROM (
-    SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM chrf_chars, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS n) WHERE len(w) >= n)
+  SELECT pair, sample_id, side, n, g FROM (
+    SELECT pair, sample_id, side, unnest([1, 2, 3, 4, 5, 6]) AS n, unnest([c1, c2, c3, c4, c5, c6]) AS g FROM chrf_runs) WHERE g IS NOT NULL
   UNION ALL SELECT pair, sample_id, side, n + 6, array_to_string(w[i : i + n - 1], ' ') FROM (
     SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM chrf_words, (SELECT unnest([1, 2]) AS n) WHERE len(w) >= n)""")
 # an order the reference lacks does not count hypothesis n-grams; here a hypothesis is never longer than its reference
@@ -212,10 +219,14 @@ def system_score(spark, sf):
 # Language detection ----------------------------------------------------------------------------
 
 _CH = "list_filter(string_split(' ' || {0} || ' ', ''), lambda x: x <> '')"
-view("line_grams", f"""
-  SELECT doc_id, line_no, lang, CASE WHEN len(w) >= 3 THEN unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: w[i] || coalesce(w[i + 1], '') || coalesce(w[i + 2], ''))) END AS gram
-  FROM (SELECT doc_id, line_no, lang, {_CH.format('line')} AS w FROM lines)""")
-view("grams", "SELECT doc_id, line_no, lang, coalesce(gram, '  ') AS gram FROM line_grams")
+view("line_chars", f"""
+  SELECT doc_id, line_no, lang, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, line_no, lang, {_CH.format('line')} AS w FROM lines)""")
+# an empty line has two framing spaces only: they are its single n-gram
+view("grams", """
+  SELECT doc_id, line_no, lang, gram FROM (
+    SELECT doc_id, line_no, lang, c || lead(c, 1) OVER s || lead(c, 2) OVER s AS gram FROM line_chars
+    WINDOW s AS (PARTITION BY doc_id, line_no ORDER BY i)) WHERE gram IS NOT NULL
+  UNION ALL SELECT doc_id, line_no, lang, '  ' FROM lines WHERE line = ''""")
 _LANG_COLS = ", ".join(f"count(*) FILTER (lang = '{x}') AS n_{i}" for i, x in enumerate(t.LANGS))
 view("gram_counts", f"SELECT gram, {_LANG_COLS} FROM grams GROUP BY gram")
 _LP = ", ".join(f"CAST(floor(ln((n_{i} + 1) / CAST(t_{i} + v AS DOUBLE)) * 1000000 + 0.5) AS BIGINT) AS lp_{i}" for i in range(4))

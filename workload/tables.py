@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.operators.numbering import number_rows, range_block
+from tandem.session import spread
 from workload.registry import view
 
 LINE_STEP = 1_000_000
@@ -27,6 +28,11 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """Columns of ``documents``, spread over the cores."""
+    return spread(load(spark, sf, "documents").select(*cols), "doc_id")
+
+
 def r6(col: Column) -> Column:
     """Six decimals, by the same arithmetic in both engines."""
     return F.floor(col * 1e6 + 0.5) / 1e6
@@ -43,7 +49,7 @@ def _split_lines(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _split_lines(load(spark, sf, "documents"), "doc_id", "lang")
+    return _split_lines(texts(spark, sf, "doc_id", "lang", "text"), "doc_id", "lang")
 
 
 view("lines", """
@@ -87,7 +93,7 @@ view("bitext", """
 
 def adj(spark: SparkSession, sf: str) -> DataFrame:
     """Built inside the row: the lines of a document and the same lines shifted by one."""
-    docs = load(spark, sf, "documents").select("doc_id", "lang", F.split("text", "\n").alias("l"))
+    docs = texts(spark, sf, "doc_id", "lang", "text").select("doc_id", "lang", F.split("text", "\n").alias("l"))
     shifted = docs.where(F.size("l") > 1).withColumn("n", F.slice("l", F.lit(2), F.size("l") - 1))
     pairs = shifted.select("doc_id", "lang", F.posexplode(F.arrays_zip("l", "n")).alias("p", "x")).where(F.col("x.n").isNotNull())
     return pairs.select(
