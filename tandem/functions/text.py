@@ -111,5 +111,5 @@ def detokenize(col: Column, lang: Column) -> Column:
     out = F.regexp_replace(out, r"(^| )([\p{Sc}(\[{¿¡]+) +", "$1$2")
     out = F.when(lang == "en", F.regexp_replace(out, r" +('\p{L})", "$1")).otherwise(out)
     out = F.when(lang.isin(_ELISION), F.regexp_replace(out, r"(\p{L}') +(?=\p{L})", "$1")).otherwise(out)
-    out = F.regexp_replace(out, r'(^| )" +([^"]*[^" ]) +"(?= |$)', '$1"$2"')
+    out = F.regexp_replace(out, r'(^| )" +([^"]*[^" ]) +"(?=[ ,.?!:;)\]}]|$)', '$1"$2"')
     return F.trim(F.regexp_replace(out, " +", " "))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.fixed_values import PUNCTUATION
-from tandem.functions.text import characters, count_in_set, count_punct, strip
+from tandem.functions.text import count_in_set, count_punct, strip
 from tandem.operators.numbering import hash_block, number_rows
 
 SEPARATOR = "\x01"
@@ -61,7 +61,7 @@ def build_char_histogram(df: DataFrame, coverage: float = 0.99, by: tuple[str, .
 
     Counted with partial aggregation; the window then runs over distinct characters.
     """
-    exploded = df.select(*by, F.explode(characters(F.col(text))).alias("ch"))
+    exploded = df.select(*by, F.explode(F.split(text, "")).alias("ch")).where("ch <> ''")
     counts = exploded.groupBy(*by, "ch").agg(F.count(F.lit(1)).alias("cnt"))
     whole = Window.partitionBy(*by)
     ranked = whole.orderBy(F.desc("cnt"), "ch")
