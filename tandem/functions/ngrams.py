@@ -4,38 +4,80 @@ The counts of one sentence pair need no other row, so they are taken inside the
 row and only a few sums per direction are ever shuffled. Exploding the n-grams
 into rows would multiply the shuffled text by the number of orders. Spark's
 column functions cannot count the entries of an array in linear time, hence one
-Arrow-batched function.
+Arrow-batched function, which counts a whole batch of rows with array operations.
 """
 
 from __future__ import annotations
 
 import string
-from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PUNCT = set(string.punctuation)
+BATCH_CHARS = 2_000_000
 
 
-def _overlap(hyp, ref, order: int) -> tuple[int, int, int]:
-    """Matches, hypothesis and reference n-grams of one order; works on str and list."""
-    n_hyp, n_ref = max(len(hyp) - order + 1, 0), max(len(ref) - order + 1, 0)
-    if not n_hyp or not n_ref:
-        return 0, n_hyp, n_ref
-    if isinstance(hyp, str):
-        left = Counter([hyp[i:i + order] for i in range(n_hyp)])
-        right = Counter([ref[i:i + order] for i in range(n_ref)])
-    else:
-        left = Counter(zip(*[hyp[i:] for i in range(order)]))
-        right = Counter(zip(*[ref[i:] for i in range(order)]))
-    if len(left) > len(right):
-        left, right = right, left
-    return sum(min(c, right[g]) for g, c in left.items() if g in right), n_hyp, n_ref
+def _slices(sizes: np.ndarray, limit: int = BATCH_CHARS) -> Iterator[slice]:
+    """Consecutive rows of about ``limit`` characters together; a longer row stands alone."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if total and total + size > limit:
+            yield slice(start, i)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
-def _split_edge_punct(text: str) -> list[str]:
+def overlap_counts(ids: np.ndarray, n_hyp: np.ndarray, n_ref: np.ndarray, max_n: int) -> np.ndarray:
+    """``rows x orders x (matches, hyp n-grams, ref n-grams)``.
+
+    ``ids`` are the symbols of all hypotheses, then of all references; ``n_hyp`` and
+    ``n_ref`` their lengths per row. An n-gram gets the number of its row and
+    (n-1)-gram, extended by one symbol: numbers stay small and equal numbers mean
+    equal n-grams of the same row, so nothing is hashed away.
+    """
+    rows = len(n_hyp)
+    lengths = np.concatenate([n_hyp, n_ref])
+    row = np.repeat(np.tile(np.arange(rows), 2), lengths)
+    is_ref = np.repeat(np.arange(2 * rows) >= rows, lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(ids))
+    symbol, symbols = pd.factorize(ids)
+    width = len(symbols) + 1
+    out = np.zeros((rows, max_n, 3), dtype=np.int64)
+    gram = row.copy()
+    for n in range(1, max_n + 1):
+        at = np.flatnonzero(left >= n)
+        number, distinct = pd.factorize(gram[at] * width + symbol[at + n - 1])
+        gram[at] = number
+        in_ref = is_ref[at]
+        counts = [np.bincount(number[side], minlength=len(distinct)) for side in (~in_ref, in_ref)]
+        owner = np.zeros(len(distinct), dtype=np.int64)
+        owner[number] = row[at]
+        out[:, n - 1, 0] = np.bincount(owner, weights=np.minimum(*counts), minlength=rows)
+        out[:, n - 1, 1] = np.maximum(n_hyp - n + 1, 0)
+        out[:, n - 1, 2] = np.maximum(n_ref - n + 1, 0)
+    return out
+
+
+def _token_counts(hyps: list[list[str]], refs: list[list[str]], max_n: int) -> np.ndarray:
+    flat = np.array([w for text in (*hyps, *refs) for w in text], dtype=object)
+    ids = pd.factorize(flat)[0]
+    sizes = [np.array([len(t) for t in side], dtype=np.int64) for side in (hyps, refs)]
+    return overlap_counts(ids, *sizes, max_n)
+
+
+def _char_counts(hyps: list[str], refs: list[str], max_n: int) -> np.ndarray:
+    ids = np.frombuffer("".join((*hyps, *refs)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    sizes = [np.array([len(t) for t in side], dtype=np.int64) for side in (hyps, refs)]
+    return overlap_counts(ids, *sizes, max_n)
+
+
+def _edge_words(text: str) -> list[str]:
     """Words with one punctuation mark split off the end, or else off the start."""
     out = []
     for word in text.split():
@@ -48,20 +90,27 @@ def _split_edge_punct(text: str) -> list[str]:
     return out
 
 
-def token_overlap(hyp: Column, ref: Column, max_n: int) -> Column:
-    """``array<long>``: matches, hyp count, ref count for each token order 1..max_n."""
-
+def _batched(hyp: Column, ref: Column, count: Callable[[list[str], list[str]], np.ndarray]) -> Column:
     @F.pandas_udf("array<long>")
     def stats(hyps: pd.Series, refs: pd.Series) -> pd.Series:
-        rows = []
-        for h, r in zip(hyps, refs):
-            h, r = h.split(), r.split()
-            rows.append([v for n in range(1, max_n + 1) for v in _overlap(h, r, n)])
+        rows: list[np.ndarray] = []
+        for part in _slices(hyps.str.len().to_numpy() + refs.str.len().to_numpy()):
+            counts = count(list(hyps.iloc[part]), list(refs.iloc[part]))
+            rows.extend(counts.reshape(len(counts), -1))
         return pd.Series(rows)
 
     return stats(hyp, ref)
 
 
+def token_overlap(hyp: Column, ref: Column, max_n: int) -> Column:
+    """``array<long>``: matches, hyp count, ref count for each token order 1..max_n."""
+
+    def count(hyps: list[str], refs: list[str]) -> np.ndarray:
+        return _token_counts([t.split() for t in hyps], [t.split() for t in refs], max_n)
+
+    return _batched(hyp, ref, count)
+
+
 def char_word_overlap(hyp: Column, ref: Column, char_n: int, word_n: int) -> Column:
     """``array<long>`` as above: character orders 1..char_n, then word orders 1..word_n.
 
@@ -69,18 +118,12 @@ def char_word_overlap(hyp: Column, ref: Column, char_n: int, word_n: int) -> Col
     entirely does not count hypothesis n-grams either.
     """
 
-    @F.pandas_udf("array<long>")
-    def stats(hyps: pd.Series, refs: pd.Series) -> pd.Series:
-        rows = []
-        for h, r in zip(hyps, refs):
-            row = []
-            chars = "".join(h.split()), "".join(r.split())
-            tokens = _split_edge_punct(h), _split_edge_punct(r)
-            for (a, b), top in ((chars, char_n), (tokens, word_n)):
-                for n in range(1, top + 1):
-                    match, n_hyp, n_ref = _overlap(a, b, n)
-                    row += [match, n_hyp if n_ref else 0, n_ref]
-            rows.append(row)
-        return pd.Series(rows)
+    def count(hyps: list[str], refs: list[str]) -> np.ndarray:
+        parts = [_char_counts(["".join(t.split()) for t in hyps], ["".join(t.split()) for t in refs], char_n)]
+        if word_n:
+            parts.append(_token_counts([_edge_words(t) for t in hyps], [_edge_words(t) for t in refs], word_n))
+        both = np.concatenate(parts, axis=1)
+        both[:, :, 1] *= both[:, :, 2] > 0
+        return both
 
-    return stats(hyp, ref)
+    return _batched(hyp, ref, count)

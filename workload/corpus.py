@@ -9,7 +9,7 @@ from tandem.operators import cleaning as c
 from tandem.operators import corpus as d
 from tandem.operators import subword as s
 from tandem.operators import tokens as k
-from tandem.session import shared_folder
+from tandem.session import shared_folder, staged
 from tandem.sources import sinks
 from workload import tables as t
 from workload.registry import query, view
@@ -235,7 +235,8 @@ view("batched", """
 
 
 def batched(spark, sf):
-    return d.token_batches(token_ids(spark, sf), 4000, 32)
+    # the numbering reads its input twice: the ids are written once, not looked up twice
+    return d.token_batches(staged(token_ids(spark, sf), "ids"), 4000, 32)
 
 
 @query("token_batches", "SELECT pair, line_no, bucket, batch FROM batched")
