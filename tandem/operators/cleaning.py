@@ -50,7 +50,7 @@ def shuffle(df: DataFrame, seed: int = 1) -> DataFrame:
 def shuffle_positions(df: DataFrame, seed: int = 1) -> DataFrame:
     """The same order as an explicit 0-based ``position`` column, for any later stage."""
     keyed = df.withColumn("_key", shuffle_key(seed, "pair", "line_no", "src", "tgt"))
-    return number_rows(keyed, ["pair"], ["_key", "line_no"], hash_block(F.col("_key")), "position").drop("_key")
+    return number_rows(keyed, ["pair"], ["_key", "line_no"], hash_block(F.col("_key")), "position", 1).drop("_key")
 
 
 # Character histograms -----------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.operators.cleaning import SEPARATOR
 from tandem.operators.numbering import block_starts, hash_block, number_rows, range_block
+from tandem.session import staged
 
 MIN_CHUNK_LINES = 50_000
 N_SHARDS = 100
@@ -42,20 +43,21 @@ def parallel_directions(texts: DataFrame, directions: DataFrame) -> DataFrame:
 def sample_exact(df: DataFrame, n: int, seed: int = 1, key: tuple[str, ...] = ("pair", "line_no")) -> DataFrame:
     """Exactly the ``n`` rows with the smallest hash, for any ``n``.
 
-    A histogram of hash prefixes (65,536 rows at most) finds the prefix where the
-    n-th row lies. Rows below it are kept by a filter; only that prefix is sorted.
-    ``key`` must identify a row.
+    A histogram of hash prefixes (65,536 rows at most) tells the prefix where the n-th
+    row lies; that one row comes to the driver. Rows below it are kept by a filter, and
+    only the rows of that prefix are sorted. ``key`` must identify a row.
     """
     digest = F.md5(F.concat_ws(SEPARATOR, F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
     keyed = df.withColumns({"_key": digest, "_prefix": hash_block(digest), "_one": F.lit(0)})
-    starts = block_starts(keyed, ["_one"], "_prefix").where(F.col("block_start") < n).drop("_one")
-    # bounded by the number of prefixes
-    placed = keyed.drop("_one").join(F.broadcast(starts), "_prefix")
-    whole = F.col("block_start") + F.col("block_rows") <= n
-    helper = ["_key", "_prefix", "block_start", "block_rows"]
-    edge = number_rows(placed.where(~whole), ["_prefix"], ["_key"], F.substring("_key", 5, 2), "_pos")
-    edge = edge.where(F.col("block_start") + F.col("_pos") < n).drop("_pos")
-    return placed.where(whole).drop(*helper).unionByName(edge.drop(*helper))
+    start, end = F.col("block_start"), F.col("block_start") + F.col("block_rows")
+    edge = block_starts(keyed, ["_one"], "_prefix").where((start < n) & (end >= n)).first()
+    if edge is None:
+        return df if n > 0 else df.where(F.lit(False))
+    helper = ["_key", "_prefix", "_one"]
+    at_edge = staged(keyed.where(F.col("_prefix") == edge["_prefix"]), "sample-edge")
+    chosen = number_rows(at_edge, ["_prefix"], ["_key"], F.substring("_key", 5, 2), "_pos", 1)
+    chosen = chosen.where(F.col("_pos") < n - edge["block_start"]).drop("_pos")
+    return keyed.where(F.col("_prefix") < edge["_prefix"]).drop(*helper).unionByName(chosen.drop(*helper))
 
 
 # Sharding -----------------------------------------------------------------------------------

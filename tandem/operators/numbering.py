@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 18
+SPAN_BLOCKS = 1 << 12
 
 
 def range_block(number: Column, rows: int = BLOCK_ROWS) -> Column:
@@ -24,23 +25,39 @@ def hash_block(md5_hex: Column, digits: int = 4) -> Column:
     return F.conv(F.substring(md5_hex, 1, digits), 16, 10).cast("long")
 
 
-def block_starts(df: DataFrame, group: list[str], block: str) -> DataFrame:
-    """Rows before each block of its group (``block_start``) and in it (``block_rows``)."""
+def block_starts(df: DataFrame, group: list[str], block: str, levels: int = 1) -> DataFrame:
+    """Rows before each block of its group (``block_start``) and in it (``block_rows``).
+
+    With two ``levels``, numeric blocks are first summed in spans of ``SPAN_BLOCKS``: a
+    group whose row numbers have gaps, and therefore many small blocks, is then not
+    summed in one task either. One level does where the number of blocks is bounded.
+    """
     sizes = df.groupBy(*group, block).agg(F.count(F.lit(1)).alias("block_rows"))
-    # one row per block, so the window is smaller than the data by the block size
-    before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("block_start", F.coalesce(F.sum("block_rows").over(before), F.lit(0)))
+
+    def before(rows: str, part: list[str], order: str) -> Column:
+        earlier = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(rows).over(earlier), F.lit(0))
+
+    if levels == 1:
+        return sizes.withColumn("block_start", before("block_rows", group, block))
+    sizes = sizes.withColumn("_span", F.floor(F.col(block) / SPAN_BLOCKS))
+    spans = sizes.groupBy(*group, "_span").agg(F.sum("block_rows").alias("_span_rows"))
+    spans = spans.select(*group, "_span", before("_span_rows", group, "_span").alias("_span_start"))
+    inside = sizes.withColumn("_inside", before("block_rows", [*group, "_span"], block))
+    return inside.join(spans, [*group, "_span"]).select(
+        *group, block, "block_rows", (F.col("_span_start") + F.col("_inside")).alias("block_start"))
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[str], block: Column, name: str = "row_idx") -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], order: list[str], block: Column, name: str = "row_idx",
+                levels: int = 2) -> DataFrame:
     """Add the 0-based position of each row within its group.
 
     ``block`` must grow with ``order``, and ``order`` must be unique in a group.
-    Group columns must not be null. ``df`` is read twice, so it must be
+    ``levels=2`` needs a numeric block. Group columns must not be null. ``df`` is read twice, so it must be
     deterministic; the second read needs only the key columns.
     """
     keyed = df.withColumn("_nr_block", block)
-    starts = block_starts(keyed, group, "_nr_block").withColumnRenamed("block_start", "_nr_start").drop("block_rows")
+    starts = block_starts(keyed, group, "_nr_block", levels).withColumnRenamed("block_start", "_nr_start").drop("block_rows")
     inside = Window.partitionBy(*group, "_nr_block").orderBy(*order)
     return (
         keyed.withColumn("_nr_pos", F.row_number().over(inside) - 1)

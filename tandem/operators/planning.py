@@ -169,7 +169,8 @@ def translate_code(df: DataFrame, col: str, codes: DataFrame, source: str, outpu
     ).where(F.col("_key").isNotNull())
     if source == "language" and output == "language":
         return df.withColumn(name, F.col(col))
-    return df.join(found, F.col(col) == F.col("_key"), "left").drop("_key")
+    # bounded: one row per language; a join by code would gather a common language in one task
+    return df.join(F.broadcast(found), F.col(col) == F.col("_key"), "left").drop("_key")
 
 
 def code_map_coverage(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -185,5 +186,6 @@ def code_map_coverage(left: DataFrame, right: DataFrame) -> DataFrame:
 def supported_only(df: DataFrame, supported: DataFrame, cols: list[str]) -> DataFrame:
     """Rows whose languages in ``cols`` are all in ``supported.lang``."""
     for col in cols:
-        df = df.join(supported.select(F.col("lang").alias(col)).distinct(), col, "left_semi")
+        # bounded: one row per language
+        df = df.join(F.broadcast(supported.select(F.col("lang").alias(col)).distinct()), col, "left_semi")
     return df

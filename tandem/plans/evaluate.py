@@ -25,7 +25,7 @@ def direction_scores(rows: DataFrame, merges: list[tuple[str, str]] | None = Non
     """``metric, src_lang, tgt_lang, score``: BLEU over pieces and chrF++.
 
     Pieces are words unless ``merges`` of a subword model are given. ``swap_roles``
-    scores the reference against the hypothesis, as the shell pipeline this replaces did.
+    scores the reference against the hypothesis.
     """
     rows = staged(rows, "aligned")
     mode = "word" if merges is None else "bpe"

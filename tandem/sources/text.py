@@ -27,7 +27,7 @@ def numbered_lines(spark: SparkSession, path: str | list[str], staging: str | No
      .write.mode("overwrite").parquet(staging))
     lines = spark.read.parquet(staging)
     block = F.struct("split", F.shiftright("seq", 20).alias("part"))
-    numbered = number_rows(lines, ["path"], ["seq"], block, "line_no")
+    numbered = number_rows(lines, ["path"], ["seq"], block, "line_no", 1)
     return numbered.select("path", (F.col("line_no") + 1).alias("line_no"), "value")
 
 

@@ -21,6 +21,8 @@ from workload.registry import view
 
 LINE_STEP = 1_000_000
 VOCAB = 2_000
+# documents are large rows, so a block of them is small
+DOC_BLOCK = 1 << 12
 LANGS = ["de", "en", "es", "fr"]
 
 
@@ -60,7 +62,7 @@ view("lines", """
 
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", "lang", "text")
-    numbered = number_rows(docs, ["lang"], ["doc_id"], range_block(F.col("doc_id")), "rk")
+    numbered = number_rows(docs, ["lang"], ["doc_id"], range_block(F.col("doc_id"), DOC_BLOCK), "rk", 1)
     return _split_lines(numbered.withColumn("rk", F.col("rk") + 1), "lang", "rk")
 
 
