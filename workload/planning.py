@@ -284,7 +284,7 @@ def _zip_writer(root: str):
         pair, part = key
         src, tgt = pair.split("-")
         rows = rows.sort_values("row_idx")
-        filesystem, folder = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        filesystem, folder = fs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
         filesystem.create_dir(folder, recursive=True)
         data = io.BytesIO()
         with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as out:
