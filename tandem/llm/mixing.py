@@ -59,7 +59,7 @@ def thresholds(sized: DataFrame, targets: DataFrame, exact_rows: int = 4096) ->
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = staged(targets.withColumn("_times", times), "mix-targets")
     left = plan.select("_key", (F.col("target") - F.col("_times") * F.col("source_size")).alias("_left"))
-    candidates, digits = sized.select("_key", "_place", "size"), LEVEL_DIGITS
+    candidates, digits, bounds = sized.select("_key", "_place", "size"), LEVEL_DIGITS, None
     while True:
         last = digits >= HASH_DIGITS
         buckets = candidates.groupBy("_key", F.substring("_place", 1, digits).alias("_bucket")).agg(F.sum("size").alias("_words"))
@@ -70,8 +70,11 @@ def thresholds(sized: DataFrame, targets: DataFrame, exact_rows: int = 4096) ->
             F.min(F.struct("_bucket", (F.col("_left") - F.col("_before")).alias("_left"))).alias("_edge"))
         edge = staged(edge.select("_key", "_edge._bucket", "_edge._left"), "mix-edge")
         if last:
-            found = edge.select("_key", F.col("_bucket").alias("_until"))
+            # where the last bucket is taken to its end, the threshold lies behind it
+            ends = bounds.select("_key", F.concat("_bucket", F.lit(ABOVE_ALL)).alias("_end"))
+            found = ends.join(edge, "_key", "left").select("_key", F.coalesce("_bucket", "_end").alias("_until"))
             return plan.join(found, "_key", "left").withColumn("_until", F.coalesce("_until", F.lit(ABOVE_ALL)))
+        bounds = edge
         inside = candidates.join(edge, "_key").where(F.substring("_place", 1, digits) == F.col("_bucket"))
         candidates = staged(inside.select("_key", "_place", "size"), "mix-candidates")
         left = edge.select("_key", "_left")
