@@ -16,7 +16,7 @@ from tandem.llm.tables import held_out_fold, labelled_sample
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
 #: Bounds of the labelled sample, width of the hash tables, and the probability a kept text needs.
-SAMPLE_ROWS, SAMPLE_CHARS, HASH_BITS, KEEP_ABOVE = 4_000, 8_000_000, 15, 0.3
+SAMPLE_ROWS, SAMPLE_CHARS, HASH_BITS, KEEP_ABOVE = 4_000, 8_000_000, 15, 0.5
 PIECE = 1 << 20
 
 _rng = np.random.default_rng(8)
@@ -99,7 +99,7 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, column, counts / np.bincount(kind, counts)[kind]
 
 
-def fit_quality(texts: list[bytes], labels: list[int], rounds: int = 300, rate: float = 0.5, decay: float = 1e-6) -> QualityModel:
+def fit_quality(texts: list[bytes], labels: list[int], rounds: int = 120, rate: float = 0.5, decay: float = 1e-6) -> QualityModel:
     """Train on four fifths of the sample, calibrate the slope and shift on the rest.
 
     Without both labels there is nothing to learn: the model then gives the smoothed share of label 1.
@@ -131,25 +131,34 @@ def fit_quality(texts: list[bytes], labels: list[int], rounds: int = 300, rate:
         bias -= rate * error.sum() / np.sqrt(bias_memory)
     weights *= scale
     model = QualityModel(weights[:size], weights[size:], float(bias))
-    model.slope, model.shift = _calibrate(model.logits(texts), y, train if train.all() else fold)
+    used = train if train.all() else fold
+    model.slope, model.shift = calibrate(model.logits(texts)[used], y[used])
     return model
 
 
-def _calibrate(logits: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logits by Newton's method on smoothed targets."""
-    x, y = logits[use], y[use]
+def calibrate(logits: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and shift that turn logits into probabilities: damped Newton steps on smoothed targets, slope not negative."""
+    mean, spread = float(logits.mean()), float(logits.std()) or 1.0
+    x = np.stack([(logits - mean) / spread, np.ones(len(logits))], 1)
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        v = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - target) * x).sum() + 1e-3 * (a - 1), (p - target).sum()])
-        h = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - target * z).mean() + ridge * (w @ w) / 2)
+
+    w = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        slope = x.T @ (p - target) / len(x) + ridge * w
+        curve = (x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(2)
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
             break
-    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+    a = max(float(w[0]) / spread, 0.0)
+    return a, float(w[1]) - a * mean
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -33,9 +33,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     )
     text = F.coalesce(F.col("text"), F.lit(""))
     found = documents.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
-    # one text of each document id, longest ones last, until the character bound
+    # one text of each document id; in an order that has nothing to do with them, until the character bound
     one = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
-    sizes = sorted(one.select("doc_id", F.length("text").alias("n")).collect(), key=lambda r: (r["n"], r["doc_id"]))
+    sizes = sorted(one.select("doc_id", F.length("text").alias("n"), F.hash("doc_id").alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"]))
     kept, total = [], 0
     for row in sizes:
         total += row["n"]
