@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import embeddings, licenses, mixing, packing, quality, simhash
+from tandem.llm import embeddings, licenses, mixing, packing, pii, quality, simhash
 from tandem.llm.tables import read_table
 
 
@@ -22,6 +22,11 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.scan_pii(docs, pii.train_pii(docs))
+
+
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix,
     "op2_license_scan": license_scan,
     "op3_simhash_near_dedup": simhash_near_dedup,
+    "op6_pii": pii_scan,
     "op7_embedding_near_dedup": embedding_near_dedup,
     "op9_packing": pack,
     "op10_quality_rules": quality_rules,

@@ -176,11 +176,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     by id and row hash, to meet the chosen ones; of rows equal in all columns one stays.
     """
     columns = docs.columns
-    row = F.md5(F.to_json(F.struct(*[F.col(c) for c in columns]))).alias("_row")
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), row)
-    marked = staged(keyed.select("doc_id", "_id", "_row", fingerprints("text").alias("_fp")), "fingerprints")
+    whole = F.struct(*[F.col(c) for c in columns])
+    keyed = docs.select(whole.alias("_doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.md5(F.to_json(whole)).alias("_row"))
+    marked = staged(keyed.select("_doc.doc_id", "_id", "_row", fingerprints("_doc.text").alias("_fp")), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_id", "_row")).alias("_best")
     by_print = marked.groupBy(F.col("_fp").alias("fp")).agg(best)
     chosen = by_print.join(_rooted(marked), "fp").groupBy("root").agg(F.min("_best").alias("_best"))
     chosen = staged(chosen.select("_best._id", "_best._row"), "chosen")
-    return keyed.join(chosen, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*columns)
+    return keyed.join(chosen, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select("_doc.*")
