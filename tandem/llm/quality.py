@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.hashing import gram_codes, pack, word_codes
-from tandem.llm.tables import held_out_fold, labelled_sample
+from tandem.llm.tables import held_out_fold, labelled_sample, trained
 
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
@@ -99,8 +99,8 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, column, counts / np.bincount(kind, counts)[kind]
 
 
-def fit_quality(texts: list[bytes], labels: list[int], rounds: int = 120, rate: float = 0.5, decay: float = 1e-6) -> QualityModel:
-    """Train on four fifths of the sample, calibrate the slope and shift on the rest.
+def fit_quality(texts: list[bytes], labels: list[int], share: float | None = None, rounds: int = 120, rate: float = 0.5, decay: float = 1e-6) -> QualityModel:
+    """Train on four fifths of the sample, calibrate the slope and shift on the rest, for a corpus with that ``share`` of label 1.
 
     Without both labels there is nothing to learn: the model then gives the smoothed share of label 1.
     """
@@ -132,25 +132,31 @@ def fit_quality(texts: list[bytes], labels: list[int], rounds: int = 120, rate:
     weights *= scale
     model = QualityModel(weights[:size], weights[size:], float(bias))
     used = train if train.all() else fold
-    model.slope, model.shift = calibrate(model.logits(texts)[used], y[used])
+    model.slope, model.shift = calibrate(model.logits(texts)[used], y[used], share)
     return model
 
 
-def calibrate(logits: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and shift that turn logits into probabilities: damped Newton steps on smoothed targets, slope not negative."""
+def calibrate(logits: np.ndarray, y: np.ndarray, share: float | None = None, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and shift that turn logits into probabilities: damped Newton steps on smoothed targets, slope not negative.
+
+    ``share`` of label 1 in the corpus weighs the two labels, where the sample holds another share.
+    """
+    own = float(y.mean())
+    weight = np.ones(len(y)) if share is None or own in (0.0, 1.0) else np.where(y > 0, share / own, (1 - share) / (1 - own))
+    weight = weight / weight.mean()
     mean, spread = float(logits.mean()), float(logits.std()) or 1.0
     x = np.stack([(logits - mean) / spread, np.ones(len(logits))], 1)
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float((np.logaddexp(0, z) - target * z).mean() + ridge * (w @ w) / 2)
+        return float((weight * (np.logaddexp(0, z) - target * z)).mean() + ridge * (w @ w) / 2)
 
     w = np.array([1.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        slope = x.T @ (p - target) / len(x) + ridge * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(2)
+        slope = x.T @ (weight * (p - target)) / len(x) + ridge * w
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(2)
         step, size = np.linalg.solve(curve, slope), 1.0
         while size > 1e-4 and loss(w - size * step) > loss(w):
             size /= 2
@@ -191,4 +197,4 @@ def rate_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = (
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> QualityModel:
     """Model of a bounded sample of the labelled rows: at most ``rows`` documents of about ``chars`` characters together."""
     sample = labelled_sample(docs, labels, "quality", rows, chars, held_out_fold(F.col("doc_id")))
-    return fit_quality([text.encode("utf-8", "replace") for _, text, _ in sample], [label for _, _, label in sample])
+    return trained(docs.sparkSession, fit_quality, sample)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import embeddings, licenses, mixing, packing, pii, quality, simhash
-from tandem.llm.tables import read_table
+from pyspark.sql import functions as F
+
+from tandem.llm import embeddings, licenses, mixing, packing, pii, quality, simhash, toxicity
+from tandem.llm.tables import held_out_fold, read_table
 
 
 def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,12 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out_fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pii.scan_pii(docs, pii.train_pii(docs))
@@ -44,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix,
     "op2_license_scan": license_scan,
     "op3_simhash_near_dedup": simhash_near_dedup,
+    "op4_toxicity": toxicity_scores,
     "op6_pii": pii_scan,
     "op7_embedding_near_dedup": embedding_near_dedup,
     "op9_packing": pack,

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.session import staged
+
 #: White space as the contracts define it; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,34 +25,52 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD + "+")), F.lit(0)).cast("long")
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, held_out: Column) -> list[tuple]:
-    """``(doc_id, text, label)`` of at most ``rows`` labelled documents and about ``chars`` characters, the same ones on every run.
+@dataclass
+class Sample:
+    """Labelled texts, and the share of label 1 among all labelled documents, which the sample does not keep to."""
+
+    texts: list[bytes]
+    labels: list[int]
+    share: float
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, held_out: Column) -> Sample:
+    """At most ``rows`` labelled documents, up to half of them of either label, and about ``chars`` characters; the same ones on every run.
 
     Labels that are null or that ``held_out`` (over ``doc_id``) marks are left out; of several labels of a
-    document the largest counts. The ids come from the narrow label table in hash order, so the text is
+    document the largest counts. The ids come from the narrow label table in hash order, so text is
     only read for the chosen ones: the broadcast is of ``rows`` ids. Both bounds hold at every corpus
     size; documents are taken whole.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    chosen = (
-        known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = documents.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    known = known.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("_label"))
+    halves = [known.where(F.col("_label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for v in (0, 1)]
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(halves[0].union(halves[1])), "doc_id")
     # one text of each document id; in an order that has nothing to do with them, until the character bound
     one = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
-    sizes = sorted(one.select("doc_id", F.length("text").alias("n"), F.hash("doc_id").alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"]))
-    kept, total = [], 0
+    one = staged(one.withColumn("_n", F.length("text")), "labelled")
+    sizes = sorted(one.select("doc_id", "_n", F.hash("doc_id").alias("_h")).collect(), key=lambda r: (r["_h"], r["doc_id"]))
+    kept, total = set(), 0
     for row in sizes:
-        total += row["n"]
+        total += row["_n"]
         if total > chars and kept:
             break
-        kept.append(row["doc_id"])
-    spark = documents.sparkSession
-    ids = spark.createDataFrame([(k,) for k in kept], "doc_id long")
-    picked = one.join(F.broadcast(ids), "doc_id").collect()
-    return sorted((r["doc_id"], r["text"], r["_label"]) for r in picked)
+        kept.add(row["doc_id"])
+    picked = sorted((r["doc_id"], r["text"], r["_label"]) for r in one.where(F.col("doc_id").isin(kept)).collect()) if kept else []
+    share = known.agg(F.avg("_label")).first()[0]
+    return Sample([t.encode("utf-8", "replace") for _, t, _ in picked], [v for _, _, v in picked], 0.5 if share is None else float(share))
+
+
+def trained(spark: SparkSession, fit: Callable, sample: Sample):
+    """The model ``fit(texts, labels, share)`` makes of a bounded sample, in one task, where numerical libraries keep to one core."""
+    shared = spark.sparkContext.broadcast(sample)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            model = fit(shared.value.texts, shared.value.labels, shared.value.share)
+            yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInPandas(run, "model binary").first()["model"])
 
 
 def held_out_fold(doc_id: Column) -> Column:

@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.quality import calibrate
-from tandem.llm.tables import held_out_fold, labelled_sample
+from tandem.llm.tables import held_out_fold, labelled_sample, trained
 
 #: Words of a window and from one window to the next, sizes of the network, and its hash tables.
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, HASH_BITS = 64, 48, 8, 8, 8, 12
 #: Bounds of the labelled sample, and the score from which on a text is toxic.
 SAMPLE_ROWS, SAMPLE_CHARS, TOXIC_FROM = 4_000, 8_000_000, 0.3
 EPOCHS, BATCH, RATE, SEED = 10, 256, 0.01, 4
-_CHUNK_BYTES, _CHUNK_WINDOWS, _PART_WINDOWS = 1 << 20, 1024, 4096
+#: Share of words whose own embedding is left out in training, so that characters must do, and the decay of the embeddings.
+WORD_DROPOUT, DECAY = 0.6, {"words": 0.05, "chars": 0.02}
+_CHUNK_BYTES, _CHUNK_WORDS, _CHUNK_WINDOWS, _PART_WINDOWS = 1 << 20, 1 << 16, 1024, 4096
 
 # Lower-cases A-Z; ASCII letters and digits and all other bytes from 128 on belong to words.
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() and not 65 <= c <= 90 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -93,8 +95,11 @@ class Network:
         x = np.zeros((len(words.codes) + 1, WORD_DIM + CHAR_DIM), np.float32)
         if len(words.codes):
             x[:-1, :WORD_DIM] = self.p["words"][words.codes]
-            sums = np.add.reduceat(self.p["chars"][words.grams], words.gram_starts, axis=0)
-            x[:-1, WORD_DIM:] = sums / np.diff(np.append(words.gram_starts, len(words.grams)))[:, None]
+            ends = np.append(words.gram_starts, len(words.grams))
+            for at in range(0, len(words.codes), _CHUNK_WORDS):
+                starts = ends[at : at + _CHUNK_WORDS + 1]
+                sums = np.add.reduceat(self.p["chars"][words.grams[starts[0] : starts[-1]]], starts[:-1] - starts[0], axis=0)
+                x[at : at + len(sums), WORD_DIM:] = sums / np.diff(starts)[:, None]
         return x
 
     def _run(self, x: np.ndarray, U: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
@@ -134,8 +139,9 @@ class Network:
             keep.update(mask=mask, index=index, h=h, weight=weight, pooled=pooled, kept=kept)
         return pooled @ p["out"] + p["bias"][0]
 
-    def backward(self, words: Words, inputs: np.ndarray, keep: dict, slope: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradient of ``sum(slope * logits)`` for every parameter."""
+    def backward(self, words: Words, inputs: np.ndarray, keep: dict, slope: np.ndarray,
+                 dropped: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Gradient of ``sum(slope * logits)`` for every parameter; ``dropped`` words were fed without their embedding."""
         p, g = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}
         h, weight, pooled, mask = keep["h"], keep["weight"], keep["pooled"], keep["mask"]
         g["out"], g["bias"] = pooled.T @ slope, np.array([slope.sum()], np.float32)
@@ -167,7 +173,10 @@ class Network:
         order = np.argsort(word, kind="stable")
         unique, at = np.unique(word[order], return_index=True)
         d_word = np.add.reduceat(d_word[order], at, axis=0) if len(at) else d_word
-        np.add.at(g["words"], words.codes[unique], d_word[:, :WORD_DIM])
+        heard = np.ones(len(inputs), bool)
+        if dropped is not None:
+            heard[dropped] = False
+        np.add.at(g["words"], words.codes[unique], d_word[:, :WORD_DIM] * heard[unique, None])
         ends = np.append(words.gram_starts, len(words.grams))
         sizes = ends[unique + 1] - ends[unique]
         which = np.repeat(np.arange(len(unique)), sizes)
@@ -242,11 +251,11 @@ def window_parts(folded: bytes) -> Iterator[bytes]:
         yield b" ".join(words[at : at + step + WINDOW - STRIDE])
 
 
-def train_network(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> ToxicityModel:
+def train_network(texts: list[bytes], labels: list[int], share: float | None = None, epochs: int = EPOCHS, seed: int = SEED) -> ToxicityModel:
     """A text is toxic if a window of it is. Each epoch scores all windows and learns from a text's highest one; at
-    first, when scores mean nothing, from all windows of short texts; and from one more at random of texts without label 1.
+    first, when scores mean nothing, from all windows of short texts; and from some more at random of texts without label 1.
 
-    Adam steps on the cross entropy; a fifth of the texts sets the calibration. Without both labels
+    Adam steps on the cross entropy; a fifth of the texts sets the calibration, for a corpus with that ``share`` of label 1. Without both labels
     nothing is learned: scores are then the smoothed share of label 1.
     """
     y = np.array([1.0 if v > 0 else 0.0 for v in labels], np.float32)
@@ -272,7 +281,7 @@ def train_network(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, s
             order = np.lexsort((found, text))
             last = np.append(text[order][1:] != text[order][:-1], True)
             top = order[last]
-            extra = np.flatnonzero((y[text] == 0) & (noise < 1 / many[text]))
+            extra = np.flatnonzero((y[text] == 0) & (noise < 4 / many[text]))
             chosen = np.unique(np.concatenate([top, extra]))
             chosen = chosen[train[text[chosen]]]
         rng.shuffle(chosen)
@@ -281,21 +290,24 @@ def train_network(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, s
         for at in range(0, len(chosen), BATCH):
             part, keep = chosen[at : at + BATCH], {}
             inputs = network.inputs(_select(words, first[part], length[part], local := {}))
+            dropped = np.flatnonzero(rng.random(len(inputs)) < WORD_DROPOUT)
+            inputs[dropped, :WORD_DIM] = 0
             logit = network.forward(inputs, local["first"], length[part], keep)
             slope = ((1 / (1 + np.exp(-np.clip(logit, -40, 40))) - target[at : at + BATCH]) * balance[at : at + BATCH] / len(part)).astype(np.float32)
-            grads = network.backward(local["words"], inputs, keep, slope)
+            grads = network.backward(local["words"], inputs, keep, slope, dropped)
             step += 1
             rate = RATE * (1 - epoch / (epochs + 1))
             for k, g in grads.items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
+                network.p[k] *= 1 - rate * DECAY.get(k, 0.0)
                 network.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model = ToxicityModel(network)
     top = np.full(len(y), -np.inf)
     np.maximum.at(top, text, window_logits(network, network.inputs(words), first, length))
     used = train if train.all() else fold
-    model.slope, model.shift = calibrate(top[used], y[used])
+    model.slope, model.shift = calibrate(top[used], y[used], share)
     return model
 
 
@@ -332,7 +344,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> ToxicityModel:
     """Model of a bounded sample of the labelled rows outside the held-out fold: at most ``rows`` documents of about ``chars`` characters."""
     sample = labelled_sample(docs, labels, "toxic", rows, chars, held_out_fold(F.col("doc_id")))
-    return train_network([text.encode("utf-8", "replace") for _, text, _ in sample], [label for _, _, label in sample])
+    return trained(docs.sparkSession, train_network, sample)
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, toxic_from: float = TOXIC_FROM) -> DataFrame:
