@@ -112,9 +112,9 @@ def fit_quality(texts: list[bytes], labels: list[int], share: float | None = Non
         return model
     fold = np.arange(len(y)) % 5 == 4
     train = ~fold if len(set(y[fold])) == 2 and len(set(y[~fold])) == 2 else np.ones(len(y), bool)
-    row, column, share = _features(texts)
+    row, column, part = _features(texts)
     use = train[row]
-    r, c, s = row[use], column[use], share[use]
+    r, c, s = row[use], column[use], part[use]
     # common n-grams differ little between texts: scale each feature so that rare ones can speak
     seen = np.bincount(c, s, 2 * size)
     scale = 1 / np.sqrt(seen + 1e-3)

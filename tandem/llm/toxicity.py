@@ -21,9 +21,9 @@ from tandem.llm.tables import held_out_fold, labelled_sample, trained
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, HASH_BITS = 64, 48, 8, 8, 8, 12
 #: Bounds of the labelled sample, and the score from which on a text is toxic.
 SAMPLE_ROWS, SAMPLE_CHARS, TOXIC_FROM = 4_000, 8_000_000, 0.3
-EPOCHS, BATCH, RATE, SEED = 10, 256, 0.01, 4
+EPOCHS, BATCH, RATE, SEED = 12, 256, 0.01, 4
 #: Share of words whose own embedding is left out in training, so that characters must do, and the decay of the embeddings.
-WORD_DROPOUT, DECAY = 0.6, {"words": 0.05, "chars": 0.02}
+WORD_DROPOUT, DECAY = 0.8, {"words": 0.1, "chars": 0.04}
 _CHUNK_BYTES, _CHUNK_WORDS, _CHUNK_WINDOWS, _PART_WINDOWS = 1 << 20, 1 << 16, 1024, 4096
 
 # Lower-cases A-Z; ASCII letters and digits and all other bytes from 128 on belong to words.
@@ -297,13 +297,15 @@ def train_network(texts: list[bytes], labels: list[int], share: float | None = N
         rng.shuffle(chosen)
         target = y[text[chosen]]
         balance = np.where(target > 0, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6)) ** 0.5
-        for at in range(0, len(chosen), BATCH):
-            part, keep = chosen[at : at + BATCH], {}
+        # a small sample still makes some tens of steps in an epoch
+        size = min(BATCH, max(16, len(chosen) // 30))
+        for at in range(0, len(chosen), size):
+            part, keep = chosen[at : at + size], {}
             inputs = network.inputs(_select(words, first[part], length[part], local := {}))
             dropped = np.flatnonzero(rng.random(len(inputs)) < WORD_DROPOUT)
             inputs[dropped, :WORD_DIM] = 0
             logit = network.forward(inputs, local["first"], length[part], keep)
-            slope = ((1 / (1 + np.exp(-np.clip(logit, -40, 40))) - target[at : at + BATCH]) * balance[at : at + BATCH] / len(part)).astype(np.float32)
+            slope = ((1 / (1 + np.exp(-np.clip(logit, -40, 40))) - target[at : at + size]) * balance[at : at + size] / len(part)).astype(np.float32)
             grads = network.backward(local["words"], inputs, keep, slope, dropped)
             step += 1
             rate = RATE * (1 - epoch / (epochs + 1))
