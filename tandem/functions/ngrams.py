@@ -99,7 +99,8 @@ def _batched(hyp: Column, ref: Column, count: Callable[[list[str], list[str]], n
             rows.extend(counts.reshape(len(counts), -1))
         return pd.Series(rows)
 
-    return stats(hyp, ref)
+    # a missing text is an empty one
+    return stats(F.coalesce(hyp, F.lit("")), F.coalesce(ref, F.lit("")))
 
 
 def token_overlap(hyp: Column, ref: Column, max_n: int) -> Column:

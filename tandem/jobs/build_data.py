@@ -23,6 +23,7 @@ def main(argv: list[str] | None = None) -> None:
     cli.add_argument("--vocab-size", type=int, default=s.VOCAB_SIZE)
     cli.add_argument("--shards", type=int, default=DatasetConfig.n_shards)
     cli.add_argument("--min-lines", type=int, default=DatasetConfig.min_lines)
+    cli.add_argument("--sample", type=int, help="random sentences the subwords are learned from; all if absent")
     cli.add_argument("--seed", type=int, default=CleanConfig.seed)
     args = cli.parse_args(argv)
     spark = build_session("build-data")
@@ -32,7 +33,7 @@ def main(argv: list[str] | None = None) -> None:
     sinks.write_bitext(clean_corpus(raw, cfg, histogram), f"{args.out}/clean")
     stage_counts(raw, cfg, histogram).write.mode("overwrite").parquet(f"{args.out}/counts")
     clean = spark.read.parquet(f"{args.out}/clean")
-    merges = learn_subwords(clean, args.vocab_size, seed=args.seed)
+    merges = learn_subwords(clean, args.vocab_size, args.sample, args.seed)
     spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges, 1)], "rank int, left string, right string").write.mode(
         "overwrite").parquet(f"{args.out}/merges")
     data = DatasetConfig(n_shards=args.shards, min_lines=args.min_lines)

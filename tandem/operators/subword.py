@@ -14,7 +14,6 @@ from tandem.functions.text import char_pieces, decode_pieces, word_pieces, words
 from tandem.session import cut_lineage
 
 VOCAB_SIZE = 160_000
-LOOKUP_LIMIT = 1_000_000
 
 # Symbols are kept in one string, each between an opening and a closing mark, so that
 # a merge is one plain replace: the marks keep matches whole and non-overlapping.
@@ -199,35 +198,18 @@ def tag_id(vocab_size: int, lang_index: Column) -> Column:
     return (F.lit(len(SPECIALS) + vocab_size) + lang_index).cast("int")
 
 
-def binarize(df: DataFrame, dictionary: DataFrame, cols: dict[str, str], key: tuple[str, ...] = ("pair", "line_no"),
-             lookup_limit: int = LOOKUP_LIMIT) -> DataFrame:
+def binarize(df: DataFrame, dictionary: DataFrame, cols: dict[str, str]) -> DataFrame:
     """Pieces to ids for each ``piece column -> id column``: unknown pieces give the unknown id, end of sentence closes.
 
-    A dictionary of up to ``lookup_limit`` tokens is looked up inside the rows, which
-    needs no shuffle. A larger one is joined: the pieces are spread by row key, so the
-    regrouping after the join stays in place.
+    The dictionary is as long as the vocabulary was asked to be, whatever the corpus, so it is shipped
+    to the executors and looked up inside the rows: no shuffle, and rows need no key. Null pieces are none.
     """
-    rows = dictionary.select("token", "token_id").limit(lookup_limit + 1).collect()
-    if len(rows) > lookup_limit:
-        for pieces, ids in cols.items():
-            df = _binarize_join(df, dictionary, pieces, ids, key)
-        return df
+    rows = dictionary.select("token", "token_id").collect()
     shared = df.sparkSession.sparkContext.broadcast({r["token"]: r["token_id"] for r in rows})
 
     @F.pandas_udf("array<int>")
     def look_up(batch: pd.Series) -> pd.Series:
         known = shared.value
-        return pd.Series([[known.get(p, UNK) for p in row] + [EOS] for row in batch])
+        return pd.Series([[known.get(p, UNK) for p in (() if row is None else row)] + [EOS] for row in batch])
 
     return df.withColumns({ids: look_up(F.col(pieces)) for pieces, ids in cols.items()})
-
-
-def _binarize_join(df: DataFrame, dictionary: DataFrame, pieces: str, ids: str, key: tuple[str, ...]) -> DataFrame:
-    spread = df.repartition(*[F.col(k) for k in key])
-    tokens = spread.select(*key, F.posexplode(pieces).alias("_pos", "token"))
-    found = tokens.join(dictionary.select("token", "token_id"), "token", "left")
-    placed = F.struct("_pos", F.coalesce("token_id", F.lit(UNK)).alias("id"))
-    rows = found.groupBy(*key).agg(F.array_sort(F.collect_list(placed)).alias("_ids"))
-    joined = spread.join(rows, list(key), "left")
-    listed = F.coalesce(F.transform("_ids", lambda x: x["id"]), F.array().cast("array<int>"))
-    return joined.withColumn(ids, F.concat(listed, F.array(F.lit(EOS)))).drop("_ids")

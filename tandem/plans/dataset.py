@@ -22,8 +22,8 @@ class DatasetConfig:
     min_lines: int = d.MIN_CHUNK_LINES
 
 
-def learn_subwords(bitext: DataFrame, vocab_size: int = s.VOCAB_SIZE, sample: int | None = 150_000_000, seed: int = 1) -> list[tuple[str, str]]:
-    """Merges from each language's text with the hub, capped at ``sample`` random sentences."""
+def learn_subwords(bitext: DataFrame, vocab_size: int = s.VOCAB_SIZE, sample: int | None = None, seed: int = 1) -> list[tuple[str, str]]:
+    """Merges from each language's text with the hub; from that many random sentences if ``sample`` is given."""
     mono = d.mono_corpus(bitext)
     if sample is not None:
         mono = d.sample_exact(mono, sample, seed, ("lang", "pair", "line_no"))
@@ -55,6 +55,6 @@ def validation_shards(texts: DataFrame, directions: DataFrame, merges: list[tupl
                       cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
     """The validation set of every direction, whole, in every shard; each text is encoded once."""
     encoded = s.encode_pieces(texts, {"text": "pieces"}, cfg.mode, merges)
-    ids = s.binarize(encoded, dictionary, {"pieces": "text"}, ("sent_id", "lang")).select("sent_id", "lang", "text")
+    ids = s.binarize(encoded, dictionary, {"pieces": "text"}).select("sent_id", "lang", "text")
     paired = d.parallel_directions(ids, directions).withColumnsRenamed({"src": "src_ids", "tgt": "tgt_ids"})
     return d.replicate_valid(paired, cfg.n_shards).select("shard", "pair", "line_no", "src_ids", "tgt_ids")

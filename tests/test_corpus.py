@@ -116,10 +116,10 @@ def test_bpe_round_trip(spark):
     assert s.decode(joined, "p", "t").first()["t"] == "Hallo Welt"
 
 
-def test_both_lookups_agree(spark):
-    df = spark.createDataFrame([("p", 1, ["a", "b", "zz"]), ("p", 2, []), ("p", 3, ["b", "b"])], "pair string, line_no long, p array<string>")
+def test_lookup_keeps_rows_apart(spark):
+    rows = [("p", 1, ["a", "b", "zz"]), ("p", 2, []), ("p", 3, ["b", "b"]), ("p", 3, ["a"]), ("p", 4, None)]
+    df = spark.createDataFrame(rows, "pair string, line_no long, p array<string>")
     dictionary = s.build_dictionary(s.vocabulary(df, 3 + 2, ("p",)))
     assert {r["token"]: r["token_id"] for r in dictionary.collect()} == {"b": 4, "a": 5}
-    small, large = (
-        {r["line_no"]: r["ids"] for r in s.binarize(df, dictionary, {"p": "ids"}, lookup_limit=n).collect()} for n in (100, 1))
-    assert small == large == {1: [5, 4, 3, 2], 2: [2], 3: [4, 4, 2]}
+    got = sorted((r["line_no"], r["ids"]) for r in s.binarize(df, dictionary, {"p": "ids"}).collect())
+    assert got == [(1, [5, 4, 3, 2]), (2, [2]), (3, [4, 4, 2]), (3, [5, 2]), (4, [2])]

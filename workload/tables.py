@@ -212,31 +212,31 @@ view("extra", """
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Per direction and metric: the mean discount of its large order lines, null without any."""
-    line = load(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", F.col("l_discount").cast("decimal(12,2)").alias("d"))
+    """Per direction and metric: the mean discount or tax of all its order lines; a rule on the direction leaves some cells out."""
+    line = load(spark, sf, "lineitem").select(
+        "l_orderkey", "l_suppkey", F.col("l_discount").cast("decimal(12,2)").alias("d"), F.col("l_tax").cast("decimal(12,2)").alias("x"))
     sup = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src_lang"))
     cust = load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("tgt_lang"))
     orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(cust, "o_custkey")
     # lines first collapse to their order and supplier nation, so fewer rows meet the orders
     by_order = line.join(sup, "l_suppkey").groupBy("l_orderkey", "src_lang").agg(
-        F.count_if(F.col("l_quantity") >= 49).alias("n"), F.sum(F.when(F.col("l_quantity") >= 49, F.col("d"))).alias("sd"),
-        F.count_if(F.col("l_quantity") >= 48).alias("n2"), F.sum(F.when(F.col("l_quantity") >= 48, F.col("d"))).alias("sd2"))
+        F.count(F.lit(1)).alias("n"), F.sum("d").alias("sd"), F.sum("x").alias("sx"))
     cells = by_order.join(orders, "l_orderkey").groupBy("src_lang", "tgt_lang").agg(
-        F.sum("n").alias("n"), F.sum("sd").alias("sd"), F.sum("n2").alias("n2"), F.sum("sd2").alias("sd2"))
-    both = F.array(F.struct(F.lit("spbleu").alias("metric"), F.col("n").alias("n"), F.col("sd").alias("sd")),
-                   F.struct(F.lit("chrf").alias("metric"), F.col("n2").alias("n"), F.col("sd2").alias("sd")))
-    rows = cells.where("src_lang <> tgt_lang").select("src_lang", "tgt_lang", F.inline(both)).where("n > 0")
+        F.sum("n").alias("n"), F.sum("sd").alias("sd"), F.sum("sx").alias("sx"))
+    both = F.array(F.struct(F.lit("spbleu").alias("metric"), F.lit(13).alias("lot"), F.col("sd").alias("sd")),
+                   F.struct(F.lit("chrf").alias("metric"), F.lit(17).alias("lot"), F.col("sx").alias("sd")))
+    rows = cells.where("src_lang <> tgt_lang").select("src_lang", "tgt_lang", "n", F.inline(both)).where("(src_lang * 7 + tgt_lang * 3) % lot <> 0")
     return rows.select("metric", "src_lang", "tgt_lang", "n", "sd", (F.col("sd").cast("double") * 100.0 / F.col("n")).alias("score"))
 
 
 view("grid", """
   SELECT metric, src_lang, tgt_lang, n, sd, CAST(sd AS DOUBLE) * 100.0 / n AS score FROM (
-    SELECT metric, src_lang, tgt_lang, CAST(count(*) FILTER (q >= lim) AS BIGINT) AS n, sum(d) FILTER (q >= lim) AS sd FROM (
-      SELECT s_nationkey AS src_lang, c_nationkey AS tgt_lang, l_quantity AS q, CAST(l_discount AS DECIMAL(12,2)) AS d
+    SELECT metric, src_lang, tgt_lang, CAST(count(*) AS BIGINT) AS n, sum(CASE metric WHEN 'spbleu' THEN d ELSE x END) AS sd FROM (
+      SELECT s_nationkey AS src_lang, c_nationkey AS tgt_lang, CAST(l_discount AS DECIMAL(12,2)) AS d, CAST(l_tax AS DECIMAL(12,2)) AS x
       FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey
-      JOIN customer ON c_custkey = o_custkey) x,
-      (VALUES ('spbleu', 49), ('chrf', 48)) m(metric, lim)
-    WHERE src_lang <> tgt_lang GROUP BY ALL) WHERE n > 0""")
+      JOIN customer ON c_custkey = o_custkey) y,
+      (VALUES ('spbleu', 13), ('chrf', 17)) m(metric, lot)
+    WHERE src_lang <> tgt_lang AND (src_lang * 7 + tgt_lang * 3) % lot <> 0 GROUP BY ALL)""")
 
 
 def classes(spark: SparkSession, sf: str) -> DataFrame:
