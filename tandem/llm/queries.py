@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tandem.llm import embeddings, licenses, mixing, packing, pii, quality, simhash, toxicity
+from tandem.llm import embeddings, licenses, mixing, ordering, packing, pii, quality, simhash, toxicity, warc
 from tandem.llm.tables import held_out_fold, read_table
 
 
@@ -30,6 +30,14 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out_fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.training_order(read_table(spark, sf_dir, "documents"))
+
+
+def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive_records(read_table(spark, sf_dir, "pages"))
+
+
 def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pii.scan_pii(docs, pii.train_pii(docs))
@@ -53,8 +61,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": license_scan,
     "op3_simhash_near_dedup": simhash_near_dedup,
     "op4_toxicity": toxicity_scores,
+    "op5_training_order": training_order,
     "op6_pii": pii_scan,
     "op7_embedding_near_dedup": embedding_near_dedup,
+    "op8_warc_derivatives": warc_derivatives,
     "op9_packing": pack,
     "op10_quality_rules": quality_rules,
 }
