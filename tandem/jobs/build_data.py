@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None) -> None:
     merges = learn_subwords(clean, args.vocab_size, args.sample, args.seed)
     spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges, 1)], "rank int, left string, right string").write.mode(
         "overwrite").parquet(f"{args.out}/merges")
-    data = DatasetConfig(n_shards=args.shards, min_lines=args.min_lines)
+    data = DatasetConfig(n_shards=args.shards, min_lines=args.min_lines, seed=args.seed)
     sinks.write_shards(training_shards(clean, merges, vocab_size=args.vocab_size, cfg=data), f"{args.out}/shards")
 
 

@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None) -> None:
     rows = aligned(read_generation_log(spark, args.logs), args.detokenize)
     scores = direction_scores(rows, merges, args.swap_roles)
     sinks.append_results(scores.withColumn("checkpoint", F.lit(args.checkpoint)), f"{args.out}/scores")
-    stored = sinks.read_table(spark, f"{args.out}/scores", "checkpoint string, metric string, src_lang string, tgt_lang string, score double")
+    stored = sinks.read_results(spark, f"{args.out}/scores")
     stored = stored.where(F.col("checkpoint") == args.checkpoint).drop("checkpoint")
     dim = p.language_dim(spark, fv.LANGUAGE_FAMILIES, fv.BRIDGES, fv.HUB)
     families = list(fv.LANGUAGE_FAMILIES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.operators.cleaning import SEPARATOR
+from tandem.operators.cleaning import SEPARATOR, shuffle_key
 from tandem.operators.numbering import block_starts, hash_block, number_rows, range_block
 from tandem.session import staged
 
@@ -63,17 +63,22 @@ def sample_exact(df: DataFrame, n: int, seed: int = 1, key: tuple[str, ...] = ("
 # Sharding -----------------------------------------------------------------------------------
 
 
-def assign_chunk(df: DataFrame, n_shards: int = N_SHARDS, min_lines: int = MIN_CHUNK_LINES) -> DataFrame:
+def assign_chunk(df: DataFrame, n_shards: int = N_SHARDS, min_lines: int = MIN_CHUNK_LINES, seed: int | None = None) -> DataFrame:
     """0-based ``chunk`` per pair, with ``n_chunks``.
 
     A pair is cut into ``n_shards`` chunks when each would reach ``min_lines``, else
     into chunks of about ``min_lines``; a chunk holds one line more than that size.
+    Rows are cut in the order of ``line_no``, or with a ``seed`` in a random order, so that a chunk is a sample of its pair.
     """
     totals = df.groupBy("pair").agg(F.count(F.lit(1)).alias("_total"))
     per_shard = F.floor(F.col("_total") / n_shards)
     size = F.when(per_shard >= min_lines, per_shard).otherwise(F.lit(min_lines)) + 1
     sizes = totals.select("pair", size.alias("_size"), F.ceil(F.col("_total") / size).cast("int").alias("n_chunks"))
-    indexed = number_rows(df, ["pair"], ["line_no"], range_block(F.col("line_no")))
+    if seed is None:
+        indexed = number_rows(df, ["pair"], ["line_no"], range_block(F.col("line_no")))
+    else:
+        keyed = df.withColumn("_key", shuffle_key(seed, "pair", "line_no"))
+        indexed = number_rows(keyed, ["pair"], ["_key", "line_no"], hash_block(F.col("_key")), levels=1).drop("_key")
     # one row per pair: a join on the pair itself would gather a large pair in one task
     return indexed.join(F.broadcast(sizes), "pair").withColumn("chunk", F.floor(F.col("row_idx") / F.col("_size")).cast("int")).drop("_size")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,25 +148,57 @@ def train_langid(df: DataFrame, langs: list[str], n: int = 3, text: str = "text"
     return staged(seen.unionByName(unseen), "langid")
 
 
+#: Bytes of a model row beside its log-probabilities: the n-gram and its place in a table.
+ROW_BYTES = 160
+_PART = 1 << 14
+
+
 def detect_language(df: DataFrame, model: DataFrame, langs: list[str], keys: list[str], n: int = 3, text: str = "text",
-                    broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``keys, pred_lang``: the language with the largest sum of log-probabilities, ties to the first listed.
+                    broadcast_bytes: int = 128 << 20) -> DataFrame:
+    """``keys, pred_lang`` of every row: the language with the largest sum of log-probabilities, ties to the first listed.
 
-    A model of up to ``broadcast_rows`` n-grams is broadcast: the n-grams of a text are
-    then next to each other and are summed before the only shuffle. A larger one is
-    joined by n-gram, each n-gram of a text counted once, with adaptive skew handling.
+    A model of up to ``broadcast_bytes`` (n-grams times languages, and the n-grams) goes to every executor and
+    each row is scored where it is: nothing is shuffled. A larger one is joined by n-gram, each n-gram of a
+    row counted once, with adaptive skew handling. Rows with equal keys stay rows of their own; a
+    null text has no language.
     """
+    if model.count() * (8 * len(langs) + ROW_BYTES) <= broadcast_bytes:
+        return df.select(*keys, _scorer(model, langs, n)(F.col(text)).alias("pred_lang"))
     lps = [f"lp_{i}" for i in range(len(langs))]
-    grams = df.select(*keys, F.explode(char_ngrams(F.col(text), n)).alias("gram"))
     unseen = model.where(F.col("gram").isNull()).select(F.struct(*lps)).scalar()
     known = model.where(F.col("gram").isNotNull())
-    if known.count() <= broadcast_rows:
-        known, grams = F.broadcast(known), grams.withColumn("_times", F.lit(1))
-    else:
-        grams = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("_times"))
+    row = ["_row", *keys, "_none"]
+    numbered = df.select(*keys, F.monotonically_increasing_id().alias("_row"), F.col(text).isNull().alias("_none"), F.col(text).alias("_text"))
+    grams = numbered.select(*row, F.explode_outer(char_ngrams(F.col("_text"), n)).alias("gram"))
+    grams = grams.groupBy(*row, "gram").agg(F.count(F.lit(1)).alias("_times"))
     scored = grams.join(known, "gram", "left").withColumn("_u", unseen)
-    sums = scored.groupBy(*keys).agg(*[
+    sums = scored.groupBy(*row).agg(*[
         F.sum(F.coalesce(F.col(c), F.col(f"_u.{c}")) * F.col("_times")).alias(c) for c in lps])
     best = F.greatest(*[F.col(c) for c in lps]) if len(lps) > 1 else F.col(lps[0])
     pred = F.coalesce(*[F.when(F.col(c) == best, F.lit(x)) for c, x in zip(lps, langs)])
-    return sums.select(*keys, pred.alias("pred_lang"))
+    return sums.select(*keys, F.when(~F.col("_none"), pred).alias("pred_lang"))
+
+
+def _scorer(model: DataFrame, langs: list[str], n: int) -> Callable[[Column], Column]:
+    """Arrow function over texts; the first row of the table is what an unseen n-gram gets."""
+    table = model.orderBy(F.col("gram").asc_nulls_first()).toPandas()
+    weights = table[[f"lp_{i}" for i in range(len(langs))]].to_numpy(np.int64)
+    shared = model.sparkSession.sparkContext.broadcast(({g: i for i, g in enumerate(table["gram"]) if i}, weights))
+
+    def best(value: str | None) -> str | None:
+        if value is None:
+            return None
+        places, table = shared.value
+        framed, sums = f" {value} ", np.zeros(len(langs), np.int64)
+        count = max(1, len(framed) - n + 1)
+        for low in range(0, count, _PART):
+            found = [places.get(framed[i : i + n], 0) for i in range(low, min(low + _PART, count))]
+            sums += table[found].sum(0)
+        return langs[int(sums.argmax())]
+
+    @F.pandas_udf("string")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([best(value) for value in batch], dtype=object)
+
+    return predict

@@ -43,10 +43,11 @@ def reconcile_counts(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
 
 def failed_pairs(wanted: DataFrame, resolved: DataFrame, checked: DataFrame) -> DataFrame:
-    """Wanted pairs that did not come through, with the reason."""
-    ok = checked.where(F.col("status") == "ok").select("pair")
-    missing = resolved.where("missing").select("pair", F.lit(True).alias("_missing"))
-    return (
-        wanted.join(ok, "pair", "left_anti").join(missing, "pair", "left")
-        .select("pair", F.when(F.col("_missing"), "source missing").otherwise("line counts differ").alias("reason"))
-    )
+    """Wanted pairs that did not come through, with the reason: no source, not counted, or counts that differ.
+
+    Pairs left out of ``resolved`` were skipped on purpose and have not failed.
+    """
+    reason = (F.when(F.col("missing"), "source missing").when(F.col("status").isNull(), "not counted")
+              .otherwise("line counts differ"))
+    tried = wanted.select("pair").join(resolved.select("pair", "missing"), "pair").join(checked.select("pair", "status"), "pair", "left")
+    return tried.where(~F.col("status").eqNullSafe("ok")).select("pair", reason.alias("reason"))

@@ -20,6 +20,7 @@ class DatasetConfig:
     ratio: float = 3
     n_shards: int = d.N_SHARDS
     min_lines: int = d.MIN_CHUNK_LINES
+    seed: int = 1
 
 
 def learn_subwords(bitext: DataFrame, vocab_size: int = s.VOCAB_SIZE, sample: int | None = None, seed: int = 1) -> list[tuple[str, str]]:
@@ -38,7 +39,7 @@ def encode_and_trim(bitext: DataFrame, merges: list[tuple[str, str]] | None, cfg
 
 def training_shards(bitext: DataFrame, merges: list[tuple[str, str]] | None, dictionary: DataFrame | None = None,
                     vocab_size: int = s.VOCAB_SIZE, cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
-    """``shard, pair, line_no, src_ids, tgt_ids``: every shard holds every pair.
+    """``shard, pair, line_no, src_ids, tgt_ids``: every shard holds every pair, in random chunks.
 
     The encoded rows are written once because numbering reads them again. Ids are
     looked up before rows are repeated into shards.
@@ -46,7 +47,7 @@ def training_shards(bitext: DataFrame, merges: list[tuple[str, str]] | None, dic
     pieces = staged(encode_and_trim(bitext, merges, cfg).drop("src", "tgt"), "pieces")
     if dictionary is None:
         dictionary = s.build_dictionary(s.vocabulary(pieces, vocab_size))
-    chunked = d.assign_chunk(pieces, cfg.n_shards, cfg.min_lines)
+    chunked = d.assign_chunk(pieces, cfg.n_shards, cfg.min_lines, cfg.seed)
     ids = s.binarize(chunked, dictionary, {"src_pieces": "src_ids", "tgt_pieces": "tgt_ids"})
     return d.fill_shards(ids, cfg.n_shards).select("shard", "pair", "line_no", "src_ids", "tgt_ids")
 

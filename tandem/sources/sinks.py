@@ -36,6 +36,14 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The appended results, one row per checkpoint, metric and direction: the score written last."""
+    keys = ["checkpoint", "metric", "src_lang", "tgt_lang"]
+    stored = spark.read.schema("checkpoint string, metric string, src_lang string, tgt_lang string, score double").parquet(path)
+    written = stored.select(*keys, F.struct("_metadata.file_modification_time", "_metadata.file_path", "score").alias("_s"))
+    return written.groupBy(*keys).agg(F.max("_s")["score"].alias("score"))
+
+
 def write_lang_list(dim: DataFrame, path: str) -> None:
     dim.coalesce(1).sortWithinPartitions("idx").select("lang").write.mode("overwrite").text(path)
 

@@ -111,6 +111,10 @@ def test_language_detection_broadcast_and_join_agree(spark):
     train = [("en", "the house and the tree"), ("de", "das haus und der baum"), ("en", "this is the thing"), ("de", "das ist ein ding")]
     texts = spark.createDataFrame(train, "lang string, text string")
     model = m.train_langid(texts, ["de", "en"])
-    asked = spark.createDataFrame([(1, "the tree"), (2, "der baum"), (3, ""), (4, "zzzzqqqq"), (5, "x")], "id long, text string")
-    small, large = ({x["id"]: x["pred_lang"] for x in m.detect_language(asked, model, ["de", "en"], ["id"], broadcast_rows=n).collect()} for n in (10**6, 0))
-    assert small == large and small[1] == "en" and small[2] == "de" and len(small) == 5
+    rows = [(1, "the tree"), (2, "der baum"), (3, ""), (4, "zzzzqqqq"), (5, "x"), (6, None), (7, "the tree"), (7, "der baum"), (None, "der baum " * 9000)]
+    asked = spark.createDataFrame(rows, "id long, text string")
+    small, large = (m.detect_language(asked, model, ["de", "en"], ["id"], broadcast_bytes=n) for n in (1 << 27, 0))
+    assert "Exchange" not in small._jdf.queryExecution().executedPlan().toString()
+    small, large = (sorted(map(tuple, found.collect()), key=str) for found in (small, large))
+    assert small == large and len(small) == len(rows)
+    assert {(1, "en"), (2, "de"), (6, None), (7, "en"), (7, "de"), (None, "de")} <= set(small)

@@ -1,6 +1,7 @@
 import csv
 
 from tandem.jobs import build_data, evaluate
+from tandem.sources import sinks
 
 
 def test_build_data_end_to_end(spark, tmp_path):
@@ -29,6 +30,9 @@ def test_evaluate_end_to_end(spark, tmp_path):
     scores = {(r["metric"], r["src_lang"], r["tgt_lang"]): r["score"] for r in spark.read.parquet(f"{out}/scores").collect()}
     assert round(scores["spbleu", "en", "de"], 6) == round(scores["chrf", "en", "de"], 6) == 100
     assert scores["spbleu", "de", "fr"] == 0 and 0 < scores["chrf", "de", "fr"] < 30
+    evaluate.main(["--logs", str(tmp_path / "*.raw.txt"), "--checkpoint", "ck", "--out", out])
+    again = sinks.read_results(spark, f"{out}/scores")
+    assert spark.read.parquet(f"{out}/scores").count() == 2 * again.count() == 2 * len(scores)
     sheet = next((tmp_path / "out/matrix/ck").glob("*.csv"))
     rows = {(x["metric"], x["src_lang"]): x for x in csv.DictReader(sheet.open())}
     assert float(rows["spbleu", "en"]["de"]) == 100 and rows["spbleu", "en"]["fr"] == ""

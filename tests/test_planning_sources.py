@@ -93,7 +93,9 @@ def test_sources_are_resolved_and_checked(spark):
     tgt = spark.createDataFrame([("a-b",)] * 3 + [("a-c",)], "pair string")
     checked = pairing.reconcile_counts(src, tgt)
     failed = {x["pair"]: x["reason"] for x in pairing.failed_pairs(wanted, pairing.resolve_pair_source(wanted, available), checked).collect()}
-    assert failed == {"a-c": "line counts differ", "a-d": "source missing", "a-ns": "line counts differ"}
+    assert failed == {"a-c": "line counts differ", "a-d": "source missing"}
+    uncounted = pairing.failed_pairs(wanted, pairing.resolve_pair_source(wanted, available), checked.where("pair <> 'a-c'"))
+    assert {x["pair"]: x["reason"] for x in uncounted.collect()}["a-c"] == "not counted"
     swapped = pairing.orient(spark.createDataFrame([("x", "y", True)], "src string, tgt string, inversed boolean")).first()
     assert (swapped["src"], swapped["tgt"]) == ("y", "x")
 

@@ -12,6 +12,7 @@ from tandem.operators import tokens as k
 from tandem.session import shared_folder, staged
 from tandem.sources import sinks
 from workload import tables as t
+from workload.cleaning import clean_corpus
 from workload.registry import query, view
 
 # Corpus ------------------------------------------------------------------------------------
@@ -178,6 +179,17 @@ def assign_chunk(spark, sf):
     return chunked(spark, sf).select("pair", "line_no", "chunk", "n_chunks")
 
 
+@query("build_chunks", """
+  SELECT pair, line_no, CAST((row_number() OVER (PARTITION BY pair ORDER BY md5('1' || chr(1) || pair || chr(1) || line_no), line_no) - 1) // size AS INTEGER) AS chunk,
+         CAST(ceil(total / CAST(size AS DOUBLE)) AS INTEGER) AS n_chunks
+  FROM (SELECT *, CASE WHEN total // 10 >= 100 THEN total // 10 ELSE 100 END + 1 AS size
+        FROM (SELECT *, count(*) OVER (PARTITION BY pair) AS total FROM hist_flagged WHERE hist_ok))""")
+def build_chunks(spark, sf):
+    """The build path: cleaned text, written once, in random order cut into chunks."""
+    clean = staged(clean_corpus(spark, sf), "clean")
+    return d.assign_chunk(clean, 10, 100, seed=1).select("pair", "line_no", "chunk", "n_chunks")
+
+
 view("sharded", "SELECT c.*, CAST(shard AS INTEGER) AS shard FROM chunked c JOIN (SELECT unnest(range(10)) AS shard) ON shard % n_chunks = chunk")
 
 

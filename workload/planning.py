@@ -221,8 +221,8 @@ def pair_count_check(spark, sf):
 
 
 @query("failed_pairs", """
-  SELECT w.pair, CASE WHEN r.missing THEN 'source missing' ELSE 'line counts differ' END AS reason
-  FROM total_pairs w JOIN resolved r USING (pair) WHERE w.pair NOT IN (SELECT pair FROM counted WHERE status = 'ok')""")
+  SELECT w.pair, CASE WHEN r.missing THEN 'source missing' WHEN c.status IS NULL THEN 'not counted' ELSE 'line counts differ' END AS reason
+  FROM total_pairs w JOIN resolved r USING (pair) LEFT JOIN counted c USING (pair) WHERE w.pair NOT IN (SELECT pair FROM counted WHERE status = 'ok')""")
 def failed_pairs(spark, sf):
     wanted = _wanted(spark, sf)
     return pairing.failed_pairs(wanted, pairing.resolve_pair_source(wanted, _available(spark, sf)), _counted(spark, sf))
