@@ -132,19 +132,22 @@ class Network:
         at = np.arange(steps)[:, None]
         mask = (at < length[None]).astype(np.float32)[:, :, None]
         index = np.where(at < length[None], first[None] + at, len(inputs) - 1)
-        # each word is projected once, however many windows it is in
+        # each word is projected once, however many windows it is in, unless windows far apart leave most words between them out
         low = int(first.min(initial=0))
         high = max(low, int((first + length).max(initial=0)))
-        span = np.concatenate([inputs[low:high], inputs[-1:]])
-        local = np.where(mask[:, :, 0] > 0, index - low, len(span) - 1)
+        if high - low < index.size:
+            span = np.concatenate([inputs[low:high], inputs[-1:]])
+            local = np.where(mask[:, :, 0] > 0, index - low, len(span) - 1)
+        else:
+            span, local = inputs[index.ravel()], np.arange(index.size).reshape(index.shape)
         kept = ([], []) if keep is not None else (None, None)
         hf = self._run((span @ p["Wf"] + p["bf"])[local], p["Uf"], mask, kept[0])
         hb = self._run((span @ p["Wb"] + p["bb"])[local[::-1]], p["Ub"], mask[::-1], kept[1])[::-1]
         h = np.concatenate([hf, hb], 2)
-        score = np.where(mask[:, :, 0] > 0, h @ p["att"], -1e9)
+        score = np.where(mask[:, :, 0] > 0, (h.reshape(-1, h.shape[2]) @ p["att"]).reshape(h.shape[:2]), -1e9)
         weight = np.exp(score - score.max(0)) * mask[:, :, 0]
         weight /= np.maximum(weight.sum(0), 1e-9)
-        pooled = (weight[:, :, None] * h).sum(0)
+        pooled = np.einsum("tw,twh->wh", weight, h)
         if keep is not None:
             keep.update(mask=mask, index=index, h=h, weight=weight, pooled=pooled, kept=kept)
         return pooled @ p["out"] + p["bias"][0]
@@ -186,15 +189,20 @@ class Network:
         heard = np.ones(len(inputs), bool)
         if dropped is not None:
             heard[dropped] = False
-        np.add.at(g["words"], words.codes[unique], d_word[:, :WORD_DIM] * heard[unique, None])
+        g["words"] += _sums(words.codes[unique], d_word[:, :WORD_DIM] * heard[unique, None], len(g["words"]))
         ends = np.append(words.gram_starts, len(words.grams))
         sizes = ends[unique + 1] - ends[unique]
         which = np.repeat(np.arange(len(unique)), sizes)
         gram = words.grams[np.repeat(ends[unique], sizes) + np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
-        np.add.at(g["chars"], gram, (d_word[:, WORD_DIM:] / np.maximum(sizes, 1)[:, None])[which])
+        g["chars"] += _sums(gram, (d_word[:, WORD_DIM:] / np.maximum(sizes, 1)[:, None])[which], len(g["chars"]))
         return g
 
 
+def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows of ``values`` at each index."""
+    return np.stack([np.bincount(index, column, size) for column in values.T], 1)
+
+
 def window_logits(network: Network, inputs: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """In chunks of neighbouring windows of about one length, so that little is padded and memory stays small."""
     out = np.empty(len(first), np.float32)
