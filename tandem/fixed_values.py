@@ -169,6 +169,105 @@ Haitian Creole|ht|hat_Latn
 Kabyle|-|kab_Latn
 Maltese|-|mlt_Latn
 Tigrinya|-|tir_Ethi
+Acehnese (Arabic script)|-|ace_Arab
+Acehnese (Latin script)|-|ace_Latn
+Mesopotamian Arabic|-|acm_Arab
+Ta’izzi-Adeni Arabic|-|acq_Arab
+Tunisian Arabic|-|aeb_Arab
+South Levantine Arabic|-|ajp_Arab
+Akan|-|aka_Latn
+North Levantine Arabic|-|apc_Arab
+Modern Standard Arabic (Romanized)|-|arb_Latn
+Najdi Arabic|-|ars_Arab
+Moroccan Arabic|-|ary_Arab
+Egyptian Arabic|-|arz_Arab
+Assamese|-|asm_Beng
+Awadhi|-|awa_Deva
+Central Aymara|-|ayr_Latn
+Bambara|-|bam_Latn
+Balinese|-|ban_Latn
+Bemba|-|bem_Latn
+Bhojpuri|-|bho_Deva
+Banjar (Arabic script)|-|bjn_Arab
+Banjar (Latin script)|-|bjn_Latn
+Standard Tibetan|-|bod_Tibt
+Buginese|-|bug_Latn
+Chokwe|-|cjk_Latn
+Central Kurdish|-|ckb_Arab
+Crimean Tatar|-|crh_Latn
+Southwestern Dinka|-|dik_Latn
+Dyula|-|dyu_Latn
+Dzongkha|-|dzo_Tibt
+Esperanto|-|epo_Latn
+Basque|-|eus_Latn
+Ewe|-|ewe_Latn
+Faroese|-|fao_Latn
+Fijian|-|fij_Latn
+Fon|-|fon_Latn
+Friulian|-|fur_Latn
+Guarani|-|grn_Latn
+Chhattisgarhi|-|hne_Deva
+Jingpho|-|kac_Latn
+Kamba|-|kam_Latn
+Kashmiri (Arabic script)|-|kas_Arab
+Kashmiri (Devanagari script)|-|kas_Deva
+Central Kanuri (Arabic script)|-|knc_Arab
+Central Kanuri (Latin script)|-|knc_Latn
+Kabiyè|-|kbp_Latn
+Kabuverdianu|-|kea_Latn
+Kikuyu|-|kik_Latn
+Kinyarwanda|-|kin_Latn
+Kyrgyz|-|kir_Cyrl
+Kimbundu|-|kmb_Latn
+Northern Kurdish|-|kmr_Latn
+Kikongo|-|kon_Latn
+Ligurian|-|lij_Latn
+Limburgish|-|lim_Latn
+Lombard|-|lmo_Latn
+Latgalian|-|ltg_Latn
+Luba-Kasai|-|lua_Latn
+Luo|-|luo_Latn
+Mizo|-|lus_Latn
+Magahi|-|mag_Deva
+Maithili|-|mai_Deva
+Minangkabau (Arabic script)|-|min_Arab
+Minangkabau (Latin script)|-|min_Latn
+Meitei (Bengali script)|-|mni_Beng
+Mossi|-|mos_Latn
+Maori|-|mri_Latn
+Nuer|-|nus_Latn
+Nyanja|-|nya_Latn
+West Central Oromo|-|gaz_Latn
+Pangasinan|-|pag_Latn
+Papiamento|-|pap_Latn
+Dari|-|prs_Arab
+Ayacucho Quechua|-|quy_Latn
+Rundi|-|run_Latn
+Sango|-|sag_Latn
+Sanskrit|-|san_Deva
+Santali|-|sat_Olck
+Sicilian|-|scn_Latn
+Shan|-|shn_Mymr
+Samoan|-|smo_Latn
+Shona|-|sna_Latn
+Southern Sotho|-|sot_Latn
+Sardinian|-|srd_Latn
+Silesian|-|szl_Latn
+Tatar|-|tat_Cyrl
+Telugu|-|tel_Telu
+Tajik|-|tgk_Cyrl
+Tamasheq (Latin script)|-|taq_Latn
+Tamasheq (Tifinagh script)|-|taq_Tfng
+Tok Pisin|-|tpi_Latn
+Tsonga|-|tso_Latn
+Turkmen|-|tuk_Latn
+Tumbuka|-|tum_Latn
+Twi|-|twi_Latn
+Central Atlas Tamazight|-|tzm_Tfng
+Uyghur|-|uig_Arab
+Umbundu|-|umb_Latn
+Venetian|-|vec_Latn
+Waray|-|war_Latn
 """
 
 # Evaluation-set codes that differ from the script-qualified code.

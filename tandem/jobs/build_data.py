@@ -1,4 +1,4 @@
-"""Clean bitext files, learn subwords and write training shards.
+"""Check and clean bitext files, learn subwords and write training shards.
 
 spark-submit -m tandem.jobs.build_data --bitext 'in/*/*' --out out [--histogram hist.parquet]
 """
@@ -8,17 +8,19 @@ from __future__ import annotations
 import argparse
 
 from tandem.operators import subword as s
-from tandem.plans.clean import CleanConfig, clean_corpus, stage_counts
-from tandem.plans.dataset import DatasetConfig, learn_subwords, training_shards
-from tandem.session import build_session
+from tandem.plans.clean import CleanConfig, clean_corpus, stage_counts, with_length_counts
+from tandem.plans.dataset import DatasetConfig, learn_subwords, shards_of, trimmed_pieces
+from tandem.plans.intake import checked_bitext
+from tandem.session import build_session, staged
 from tandem.sources import sinks
-from tandem.sources.text import read_bitext_folder
+from tandem.sources.text import read_pair_list, read_sides
 
 
 def main(argv: list[str] | None = None) -> None:
     cli = argparse.ArgumentParser()
     cli.add_argument("--bitext", required=True, help="glob of {src}-{tgt}.{lang} files")
     cli.add_argument("--out", required=True)
+    cli.add_argument("--pairs", help="text file of comma-separated wanted pairs; every found pair if absent")
     cli.add_argument("--histogram", help="Parquet of lang, ch, keep; computed from the text if absent")
     cli.add_argument("--vocab-size", type=int, default=s.VOCAB_SIZE)
     cli.add_argument("--shards", type=int, default=DatasetConfig.n_shards)
@@ -27,17 +29,22 @@ def main(argv: list[str] | None = None) -> None:
     cli.add_argument("--seed", type=int, default=CleanConfig.seed)
     args = cli.parse_args(argv)
     spark = build_session("build-data")
-    raw = read_bitext_folder(spark, args.bitext)
+    wanted = read_pair_list(spark, args.pairs) if args.pairs else None
+    raw, failed = checked_bitext(*read_sides(spark, args.bitext), wanted)
+    failed.write.mode("overwrite").parquet(f"{args.out}/failed")
+    raw = staged(raw, "checked")
     histogram = spark.read.schema("lang string, ch string, keep boolean").parquet(args.histogram) if args.histogram else None
     cfg = CleanConfig(seed=args.seed)
     sinks.write_bitext(clean_corpus(raw, cfg, histogram), f"{args.out}/clean")
-    stage_counts(raw, cfg, histogram).write.mode("overwrite").parquet(f"{args.out}/counts")
     clean = spark.read.parquet(f"{args.out}/clean")
     merges = learn_subwords(clean, args.vocab_size, args.sample, args.seed)
     spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges, 1)], "rank int, left string, right string").write.mode(
         "overwrite").parquet(f"{args.out}/merges")
     data = DatasetConfig(n_shards=args.shards, min_lines=args.min_lines, seed=args.seed)
-    sinks.write_shards(training_shards(clean, merges, vocab_size=args.vocab_size, cfg=data), f"{args.out}/shards")
+    pieces = trimmed_pieces(clean, merges, data)
+    counts = with_length_counts(stage_counts(raw, cfg, histogram), pieces)
+    counts.write.mode("overwrite").parquet(f"{args.out}/counts")
+    sinks.write_shards(shards_of(pieces, None, args.vocab_size, data), f"{args.out}/shards")
 
 
 if __name__ == "__main__":

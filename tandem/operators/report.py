@@ -194,6 +194,17 @@ def last_k(df: DataFrame, k: int = 5) -> DataFrame:
     return numbered.orderBy(F.desc("update_no"), "name").limit(k)
 
 
+def vector_blocks(df: DataFrame, vector: str = "params", size: int = 1 << 16) -> DataFrame:
+    """``block`` and that part of the vector: with ``block`` among the keys a mean never gathers more than ``size`` elements in a row.
+
+    A null or empty vector has no blocks.
+    """
+    last = F.floor((F.size(vector) - 1) / size).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("block"), F.slice(vector, i * size + 1, F.lit(size)).alias("_part")))
+    rest = [c for c in df.columns if c != vector]
+    return df.where(F.size(vector) > 0).select(*rest, F.inline(blocks)).withColumnRenamed("_part", vector)
+
+
 def average_vectors(df: DataFrame, keys: list[str], vector: str = "params") -> DataFrame:
     """Element-wise mean of arrays per group, summed by position with partial aggregation."""
     elements = df.select(*keys, F.posexplode(vector).alias("_pos", "_value"))

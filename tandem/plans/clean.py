@@ -55,3 +55,9 @@ def stage_counts(df: DataFrame, cfg: CleanConfig = CleanConfig(), histogram: Dat
         F.count_if("punct_ok").alias("n_dedup"),
         F.count_if(F.col("punct_ok") & F.col("hist_ok")).alias("n_clean"),
     )
+
+
+def with_length_counts(counts: DataFrame, trimmed: DataFrame) -> DataFrame:
+    """``n_length`` beside the other counts: rows per pair left after the length and ratio filters."""
+    left = trimmed.groupBy("pair").agg(F.count(F.lit(1)).alias("n_length"))
+    return counts.join(left, "pair", "left").withColumn("n_length", F.coalesce("n_length", F.lit(0)))

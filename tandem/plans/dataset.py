@@ -39,12 +39,18 @@ def encode_and_trim(bitext: DataFrame, merges: list[tuple[str, str]] | None, cfg
 
 def training_shards(bitext: DataFrame, merges: list[tuple[str, str]] | None, dictionary: DataFrame | None = None,
                     vocab_size: int = s.VOCAB_SIZE, cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
-    """``shard, pair, line_no, src_ids, tgt_ids``: every shard holds every pair, in random chunks.
+    """``shard, pair, line_no, src_ids, tgt_ids``: every shard holds every pair, in random chunks."""
+    return shards_of(trimmed_pieces(bitext, merges, cfg), dictionary, vocab_size, cfg)
 
-    The encoded rows are written once because numbering reads them again. Ids are
-    looked up before rows are repeated into shards.
-    """
-    pieces = staged(encode_and_trim(bitext, merges, cfg).drop("src", "tgt"), "pieces")
+
+def trimmed_pieces(bitext: DataFrame, merges: list[tuple[str, str]] | None, cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
+    """Pieces within the limits, written once: vocabulary, counts and numbering read them again."""
+    return staged(encode_and_trim(bitext, merges, cfg).drop("src", "tgt"), "pieces")
+
+
+def shards_of(pieces: DataFrame, dictionary: DataFrame | None = None, vocab_size: int = s.VOCAB_SIZE,
+              cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
+    """Training shards of encoded rows. Ids are looked up before rows are repeated into shards."""
     if dictionary is None:
         dictionary = s.build_dictionary(s.vocabulary(pieces, vocab_size))
     chunked = d.assign_chunk(pieces, cfg.n_shards, cfg.min_lines, cfg.seed)

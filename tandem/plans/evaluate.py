@@ -22,18 +22,18 @@ def aligned(log: DataFrame, detokenized: bool = False) -> DataFrame:
 
 
 def direction_scores(rows: DataFrame, merges: list[tuple[str, str]] | None = None, swap_roles: bool = False) -> DataFrame:
-    """``metric, src_lang, tgt_lang, score``: BLEU over pieces and chrF++.
+    """``metric, src_lang, tgt_lang, score``: BLEU and chrF++.
 
-    Pieces are words unless ``merges`` of a subword model are given. ``swap_roles``
-    scores the reference against the hypothesis.
+    BLEU is over the pieces of a subword model (``spbleu``), or over words (``bleu``) if no ``merges`` are
+    given. ``swap_roles`` scores the reference against the hypothesis.
     """
     rows = staged(rows, "aligned")
-    mode = "word" if merges is None else "bpe"
+    mode, name = ("word", "bleu") if merges is None else ("bpe", "spbleu")
     keys = ["src_lang", "tgt_lang"]
     encoded = s.encode_pieces(rows, {"hyp": "hyp_pieces", "ref": "ref_pieces"}, mode, merges)
     bleu = m.corpus_bleu(encoded, keys, "hyp_pieces", "ref_pieces", swap_roles=swap_roles)
     chrf = m.chrf(rows, keys, swap_roles=swap_roles)
-    return bleu.select(F.lit("spbleu").alias("metric"), *keys, F.col("bleu").alias("score")).unionByName(
+    return bleu.select(F.lit(name).alias("metric"), *keys, F.col("bleu").alias("score")).unionByName(
         chrf.select(F.lit("chrf").alias("metric"), *keys, F.col("chrf").alias("score")))
 
 

@@ -41,13 +41,17 @@ def read_bitext(spark: SparkSession, src_path: str, tgt_path: str, pair: str) ->
     ).select("pair", F.lit(src_lang).alias("src_lang"), F.lit(tgt_lang).alias("tgt_lang"), "line_no", "src", "tgt")
 
 
-def read_bitext_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``{src}-{tgt}.{lang}`` file below a glob, in one scan over all pairs."""
+def read_sides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of every ``{src}-{tgt}.{lang}`` file below a glob, in one scan over all pairs."""
     lines = numbered_lines(spark, path).select(*_file_names(F.col("path")), "line_no", "value")
-    keys = ["pair", "src_lang", "tgt_lang", "line_no"]
-    src = lines.where(F.col("lang") == F.col("src_lang")).select(*keys, F.col("value").alias("src"))
-    tgt = lines.where(F.col("lang") == F.col("tgt_lang")).select("pair", "line_no", F.col("value").alias("tgt"))
-    return align_sides(src, tgt).select(*keys, "src", "tgt")
+    src = lines.where(F.col("lang") == F.col("src_lang")).select("pair", "src_lang", "tgt_lang", "line_no", F.col("value").alias("src"))
+    return src, lines.where(F.col("lang") == F.col("tgt_lang")).select("pair", "line_no", F.col("value").alias("tgt"))
+
+
+def read_bitext_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Every ``{src}-{tgt}.{lang}`` file below a glob as bitext; a pair stops at its shorter side."""
+    src, tgt = read_sides(spark, path)
+    return align_sides(src, tgt).select("pair", "src_lang", "tgt_lang", "line_no", "src", "tgt")
 
 
 def _file_names(path: Column) -> list[Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tandem.operators import metrics as m
 from tandem.operators import records as r
+from tandem.operators import report as rep
 
 PAIRS = [("the cat sat on the mat", "the cat is on the mat"), ("a b c d e", "a b c d e"), ("x", "x y"), ("", "z"),
          ("the the the the", "the cat"), ("Hello, world!", "Hello world."), ("(a) b", "(a) c")]
@@ -118,3 +119,9 @@ def test_language_detection_broadcast_and_join_agree(spark):
     small, large = (sorted(map(tuple, found.collect()), key=str) for found in (small, large))
     assert small == large and len(small) == len(rows)
     assert {(1, "en"), (2, "de"), (6, None), (7, "en"), (7, "de"), (None, "de")} <= set(small)
+
+
+def test_vectors_by_block(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0, 3.0, 4.0, 5.0]), ("a", [3.0, 2.0, 1.0, 0.0, 1.0]), ("b", []), ("b", None)], "k string, params array<double>")
+    blocks = rep.average_vectors(rep.vector_blocks(df, size=2), ["k", "block"])
+    assert {(r["k"], r["block"]): r["params"] for r in blocks.collect()} == {("a", 0): [2.0, 2.0], ("a", 1): [2.0, 2.0], ("a", 2): [3.0]}

@@ -11,12 +11,25 @@ def test_build_data_end_to_end(spark, tmp_path):
         for lang in (src, tgt):
             lines = [f" the house {lang} number {i} " for i in range(n)] + [f"the house {lang} number 0", "....", ""]
             (folder / f"{src}-{tgt}.{lang}").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    # a pair that lost a line, and one that is only found the other way round
+    for pair, n_src, n_tgt in (("de-es", 5, 4), ("fr-de", 30, 30)):
+        folder = tmp_path / "in" / pair
+        folder.mkdir()
+        for lang, n in zip(pair.split("-"), (n_src, n_tgt)):
+            (folder / f"{pair}.{lang}").write_text("".join(f"word {lang} {i}\n" for i in range(n)), encoding="utf-8")
+    (tmp_path / "pairs.txt").write_text("de-en,en-fr,de-es,de-fr,es-fr\n", encoding="utf-8")
     out = str(tmp_path / "out")
-    build_data.main(["--bitext", str(tmp_path / "in/*/*"), "--out", out, "--vocab-size", "60", "--shards", "4", "--min-lines", "20"])
+    build_data.main(["--bitext", str(tmp_path / "in/*/*"), "--out", out, "--vocab-size", "60", "--shards", "4", "--min-lines", "20",
+                     "--pairs", str(tmp_path / "pairs.txt")])
+    failed = {r["pair"]: r["reason"] for r in spark.read.parquet(f"{out}/failed").collect()}
+    assert failed == {"de-es": "line counts differ", "es-fr": "source missing"}
+    turned = spark.read.parquet(f"{out}/clean").where("pair = 'de-fr'").collect()
+    assert len(turned) == 30 and all(r["src"].startswith("word de") and r["tgt"].startswith("word fr") for r in turned)
     counts = {r["pair"]: r.asDict() for r in spark.read.parquet(f"{out}/counts").collect()}
     assert counts["de-en"]["n_read"] == 63 and counts["de-en"]["n_punct"] == 61 and counts["de-en"]["n_dedup"] == 60
     shards = spark.read.parquet(f"{out}/shards")
-    assert shards.select("shard", "pair").distinct().count() == 8
+    assert shards.select("shard", "pair").distinct().count() == 12
+    assert all(c["n_length"] == c["n_clean"] for c in counts.values()) and set(counts) == {"de-en", "en-fr", "de-fr"}
     assert shards.where("pair = 'de-en'").select("line_no").distinct().count() == counts["de-en"]["n_clean"]
     assert all(r["src_ids"][-1] == 2 and 3 not in r["src_ids"] for r in shards.collect())
 
@@ -28,11 +41,11 @@ def test_evaluate_end_to_end(spark, tmp_path):
     out = str(tmp_path / "out")
     evaluate.main(["--logs", str(tmp_path / "*.raw.txt"), "--checkpoint", "ck", "--out", out, "--detokenize"])
     scores = {(r["metric"], r["src_lang"], r["tgt_lang"]): r["score"] for r in spark.read.parquet(f"{out}/scores").collect()}
-    assert round(scores["spbleu", "en", "de"], 6) == round(scores["chrf", "en", "de"], 6) == 100
-    assert scores["spbleu", "de", "fr"] == 0 and 0 < scores["chrf", "de", "fr"] < 30
+    assert round(scores["bleu", "en", "de"], 6) == round(scores["chrf", "en", "de"], 6) == 100
+    assert scores["bleu", "de", "fr"] == 0 and 0 < scores["chrf", "de", "fr"] < 30
     evaluate.main(["--logs", str(tmp_path / "*.raw.txt"), "--checkpoint", "ck", "--out", out])
     again = sinks.read_results(spark, f"{out}/scores")
     assert spark.read.parquet(f"{out}/scores").count() == 2 * again.count() == 2 * len(scores)
     sheet = next((tmp_path / "out/matrix/ck").glob("*.csv"))
     rows = {(x["metric"], x["src_lang"]): x for x in csv.DictReader(sheet.open())}
-    assert float(rows["spbleu", "en"]["de"]) == 100 and rows["spbleu", "en"]["fr"] == ""
+    assert float(rows["bleu", "en"]["de"]) == 100 and rows["bleu", "en"]["fr"] == ""

@@ -48,7 +48,7 @@ def test_code_translation(spark):
     assert p.translate_code(names, "c", codes, "language", "m2m").first()["translated"] == "th"
     with pytest.raises(ValueError):
         p.translate_code(df, "c", codes, "flores", "m2m")
-    assert codes.where("m2m is not null").count() == 100
+    assert codes.where("m2m is not null").count() == 100 and codes.where("nllb is not null").count() == 200 and codes.select("name").distinct().count() == codes.count() == 202
 
 
 def test_files_are_zipped_line_by_line(spark, tmp_path):

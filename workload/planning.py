@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tandem import fixed_values as fv
 from tandem.operators import pairing, planning as p
 from tandem.operators.numbering import number_rows, range_block
+from tandem.plans.intake import checked_bitext
 from tandem.session import shared_folder
 from tandem.sources import archive, sinks, text as txt
 from workload import tables as t
@@ -92,13 +94,11 @@ def chunk_ceil(spark, sf):
     return p.partition_ceil(total(spark, sf).select("pair", "ord"), 7, ["ord"])
 
 
-# Codes: the languages of the documents and four that test missing and overridden codes.
-view("code_map", """
-  SELECT * FROM (VALUES ('English','en','eng_Latn','eng_Latn'), ('German','de','deu_Latn','deu_Latn'),
-    ('French','fr','fra_Latn','fra_Latn'), ('Spanish','es','spa_Latn','spa_Latn'), ('Chinese','zh','zho_Hans','cmn_Hans'),
-    ('Estonian','et','est_Latn','ekk_Latn'), ('Tagalog','tl','tgl_Latn','fil_Latn'), ('Frisian','fy',NULL,NULL),
-    ('Breton','br',NULL,NULL), ('Kabyle',NULL,'kab_Latn','kab_Latn')) m(name, m2m, nllb, flores)""")
-_CODE_NAMES = ["English", "German", "French", "Spanish", "Chinese", "Estonian", "Tagalog", "Frisian", "Breton", "Kabyle"]
+# Codes: the whole table, and the three names whose evaluation-set code differs.
+_CODE_ROWS = ", ".join("(" + ", ".join("NULL" if v == "-" else f"'{v}'" for v in row.split("|")) + ")" for row in fv.LANGUAGE_CODES.strip().splitlines())
+view("code_map", f"""
+  SELECT name, m2m, nllb, CASE name WHEN 'Chinese' THEN 'cmn_Hans' WHEN 'Estonian' THEN 'ekk_Latn' WHEN 'Tagalog' THEN 'fil_Latn' ELSE nllb END AS flores
+  FROM (VALUES {_CODE_ROWS}) m(name, m2m, nllb)""")
 # every document is asked for its own language and, by source, for one of the special cases
 view("coded", """
   SELECT doc_id, CASE WHEN source IS NULL THEN 'xx' WHEN length(source) % 5 = 0 THEN 'zh' WHEN length(source) % 5 = 1 THEN 'fy'
@@ -128,7 +128,7 @@ def lang_code_translate(spark, sf):
   SELECT name, left_code, right_code, CASE WHEN left_code IS NULL THEN 'right only' WHEN right_code IS NULL THEN 'left only' ELSE 'both' END AS coverage
   FROM l FULL JOIN r USING (name)""".replace("WITH used AS (", "SELECT * FROM (WITH used AS (") + ")")
 def code_map_coverage(spark, sf):
-    codes = p.code_map(spark).where(F.col("name").isin(_CODE_NAMES))
+    codes = p.code_map(spark)
     used = _coded(spark, sf).select("code").distinct()
     left = codes.select("name", F.col("m2m").alias("code")).join(used, "code", "left_semi")
     return p.code_map_coverage(left, codes.select("name", F.col("nllb").alias("code")).where("code is not null"))
@@ -165,6 +165,20 @@ def bitext_align(spark, sf):
     return txt.align_sides(src, tgt).select("pair", "src_lang", "tgt_lang", "line_no", "src", "tgt")
 
 
+@query("oriented_bitext", """
+  SELECT pair, src_lang, tgt_lang, line_no, src, tgt FROM bitext
+  WHERE pair NOT IN (SELECT pair FROM bitext WHERE src_lang = 'de' AND tgt_lang = 'en' AND line_no % 2 = 1)""")
+def oriented_bitext(spark, sf):
+    """Pairs into French are found the other way round; the English side of one pair has lost lines, so that pair is left out."""
+    texts = t.bitext(spark, sf)
+    turned = F.col("tgt_lang") == "fr"
+    found = F.when(turned, p.join_pair(F.col("tgt_lang"), F.col("src_lang"))).otherwise(F.col("pair"))
+    lost = (F.col("src_lang") == "de") & (F.col("tgt_lang") == "en") & (F.col("line_no") % 2 == 1)
+    src = texts.select(found.alias("pair"), "line_no", F.when(turned, F.col("tgt")).otherwise(F.col("src")).alias("src"))
+    tgt = texts.where(~lost).select(found.alias("pair"), "line_no", F.when(turned, F.col("src")).otherwise(F.col("tgt")).alias("tgt"))
+    return checked_bitext(src, tgt, texts.select("pair", "src_lang", "tgt_lang").distinct())[0]
+
+
 # a third of the wanted pairs exists as named, a third only inverted, the rest not at all
 view("available", """
   SELECT CASE WHEN h < 5 THEN pair ELSE tgt_lang || '-' || src_lang END AS pair,
