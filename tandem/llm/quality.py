@@ -71,6 +71,8 @@ class QualityModel:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    #: False if there was nothing to learn from: such a model rejects no text.
+    learned: bool = True
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         sums, sizes = np.zeros((len(texts), 2)), np.zeros((len(texts), 2))
@@ -102,13 +104,14 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit_quality(texts: list[bytes], labels: list[int], share: float | None = None, rounds: int = 120, rate: float = 0.5, decay: float = 1e-6) -> QualityModel:
     """Train on four fifths of the sample, calibrate the slope and shift on the rest, for a corpus with that ``share`` of label 1.
 
-    Without both labels there is nothing to learn: the model then gives the smoothed share of label 1.
+    Without both labels there is nothing to learn: the model then gives the smoothed share of label 1 and rejects nothing.
     """
     size = 1 << HASH_BITS
     y = np.array([1.0 if v > 0 else 0.0 for v in labels])
     prior = (y.sum() + 1) / (len(y) + 2)
     model = QualityModel(np.zeros(size), np.zeros(size), float(np.log(prior / (1 - prior))))
     if len(set(y)) < 2 or not any(t.split() for t in texts):
+        model.learned = False
         return model
     fold = np.arange(len(y)) % 5 == 4
     train = ~fold if len(set(y[fold])) == 2 and len(set(y[~fold])) == 2 else np.ones(len(y), bool)
@@ -175,7 +178,7 @@ def rate_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = (
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated windows. ``score`` is the
     calibrated probability of label 1 over the whole text; a text is kept if its base rules hold and the
-    score reaches ``keep_above``.
+    score reaches ``keep_above``. A model that learned nothing leaves it to the base rules.
 
     Defined results: a null or empty text has zero counts, fails the base rules and gets the model's prior;
     repeated rows give repeated results; columns of the input named like results are not read.
@@ -191,7 +194,7 @@ def rate_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = (
             yield pd.DataFrame(dict(zip(COUNTS, counts.T)) | {"base_failed": failed, "score": scores})
 
     rated = docs.select(*dict.fromkeys([*keep, "text"])).select(*keep, rate("text").alias("_rated")).select(*keep, "_rated.*")
-    return rated.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= keep_above))
+    return rated.withColumn("kept", ~F.col("base_failed") & ((F.col("score") >= keep_above) | F.lit(not model.learned)))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> QualityModel:

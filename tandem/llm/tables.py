@@ -40,7 +40,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     Labels that are null or that ``held_out`` (over ``doc_id``) marks are left out; of several labels of a
     document the largest counts. The ids come from the narrow label table in hash order, so text is
     only read for the chosen ones: the broadcast is of ``rows`` ids. Both bounds hold at every corpus
-    size; documents are taken whole.
+    size; documents are taken whole, see ``within_bound``.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("_label"))
@@ -49,18 +49,34 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     # one text of each document id; in an order that has nothing to do with them, until the character bound
     one = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
     one = staged(one.withColumn("_n", F.length("text")), "labelled")
-    sizes = sorted(one.select("doc_id", "_n", F.hash("doc_id").alias("_h")).collect(), key=lambda r: (r["_h"], r["doc_id"]))
-    kept, total = set(), 0
-    for row in sizes:
-        total += row["_n"]
-        if total > chars and kept:
-            break
-        kept.add(row["doc_id"])
+    sizes = sorted(one.select("doc_id", "_n", "_label", F.hash("doc_id").alias("_h")).collect(), key=lambda r: (r["_h"], r["doc_id"]))
+    kept = within_bound([(r["doc_id"], r["_n"], r["_label"]) for r in sizes], chars)
     picked = sorted((r["doc_id"], r["text"], r["_label"]) for r in one.where(F.col("doc_id").isin(kept)).collect()) if kept else []
     share = known.agg(F.avg("_label")).first()[0]
     return Sample([t.encode("utf-8", "replace") for _, t, _ in picked], [v for _, _, v in picked], 0.5 if share is None else float(share))
 
 
+def within_bound(sizes: list[tuple[int, int, int]], chars: int) -> set[int]:
+    """Of ``doc_id, characters, label`` in the given order, the ids that fit into ``chars``; what does not fit is passed over.
+
+    Each label may fill half of the bound, then what the other left is filled up. A label none of whose documents
+    fits keeps its shortest one, so no label is lost to the bound.
+    """
+    kept, used = {}, {0: 0, 1: 0}
+    for doc_id, n, label in sizes:
+        if used[label] + n <= chars // 2:
+            kept[doc_id] = label
+            used[label] += n
+    left = chars - sum(used.values())
+    for doc_id, n, label in sizes:
+        if doc_id not in kept and n <= left:
+            kept[doc_id] = label
+            left -= n
+    for label in {label for *_, label in sizes} - set(kept.values()):
+        kept[min((n, k, d) for k, (d, n, v) in enumerate(sizes) if v == label)[2]] = label
+    return set(kept)
+
+
 def trained(spark: SparkSession, fit: Callable, sample: Sample):
     """The model ``fit(texts, labels, share)`` makes of a bounded sample, in one task, where numerical libraries keep to one core."""
     shared = spark.sparkContext.broadcast(sample)

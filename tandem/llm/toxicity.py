@@ -223,6 +223,8 @@ class ToxicityModel:
     network: Network
     slope: float = 1.0
     shift: float = 0.0
+    #: False if there was nothing to learn from: such a model calls no text toxic.
+    learned: bool = True
 
     def logits(self, texts: Iterator[bytes]) -> np.ndarray:
         """Largest window logit of each text. Texts are gathered to chunks of bounded size; a longer text is fed part
@@ -274,15 +276,15 @@ def train_network(texts: list[bytes], labels: list[int], share: float | None = N
     first, when scores mean nothing, from all windows of short texts; and from some more at random of texts without label 1.
 
     Adam steps on the cross entropy; a fifth of the texts sets the calibration, for a corpus with that ``share`` of label 1. Without both labels
-    nothing is learned: scores are then the smoothed share of label 1.
+    or any word nothing is learned: scores are then the smoothed share of label 1, and no text is called toxic.
     """
     y = np.array([1.0 if v > 0 else 0.0 for v in labels], np.float32)
     network, rng = Network(seed), np.random.default_rng(seed)
     prior = (float(y.sum()) + 1) / (len(y) + 2)
-    if len(set(y.tolist())) < 2:
+    if len(set(y.tolist())) < 2 or not any(t.translate(_FOLD).split() for t in texts):
         for name in ("out", "bias"):
             network.p[name][:] = 0
-        return ToxicityModel(network, 1.0, float(np.log(prior / (1 - prior))))
+        return ToxicityModel(network, 1.0, float(np.log(prior / (1 - prior))), False)
     words = read_words([t.translate(_FOLD) for t in texts])
     text, first, length = windows_of(words.text_starts)
     many = np.bincount(text, minlength=len(y))
@@ -347,7 +349,8 @@ def _select(words: Words, first: np.ndarray, length: np.ndarray, local: dict) ->
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), toxic_from: float = TOXIC_FROM) -> DataFrame:
     """``keep, score, predicted`` for every document: all overlapping windows of the whole text are scored, the highest counts.
 
-    Defined results: a null or empty text is one window without words and gets the score of the bias; repeated
+    Defined results: a null or empty text is one window without words and gets the score of the bias; a model that
+    learned nothing predicts 0 for all; repeated
     rows give repeated results; an empty table gives no rows; columns of the input named like results are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -358,7 +361,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
             yield pd.Series(shared.value.scores((text or "").encode("utf-8", "replace") for text in batch))
 
     scored = docs.select(*dict.fromkeys([*keep, "text"])).select(*keep, score("text").alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= toxic_from).cast("int"))
+    return scored.withColumn("predicted", ((F.col("score") >= toxic_from) & F.lit(model.learned)).cast("int"))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> ToxicityModel:

@@ -335,3 +335,29 @@ def test_toxicity_held_out(spark, docs, empty):
     again = toxicity.score_toxicity(docs, model).collect()
     assert len(again) == docs.count() and all(0 <= r["score"] <= 1 for r in again)
     assert toxicity.score_toxicity(empty, model).count() == 0 and toxicity.keep_clean(docs, model).columns == docs.columns
+
+
+def test_sample_passes_over_long_texts():
+    # hash order: a text above the whole bound comes first, another in the middle
+    sizes = [(0, 10**9, 0), *((i, 100, i % 2) for i in range(1, 21)), (50, 10**8, 1), *((i, 100, i % 2) for i in range(21, 41))]
+    assert tables.within_bound(sizes, 8000) == set(range(1, 41))
+    kept = tables.within_bound([(1, 400, 0), (2, 400, 0), (3, 50, 1), (4, 60, 0)], 1000)
+    assert kept == {1, 2, 3, 4}
+    assert tables.within_bound([(1, 5000, 0), (2, 4000, 0), (3, 50, 1)], 1000) == {2, 3} and tables.within_bound([], 10) == set()
+
+
+def test_a_long_labelled_text_costs_no_other(spark):
+    rows = [(i, "words of a text " * (100_000 if i % 5 == 0 else 3)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    sample = tables.labelled_sample(docs, labels, "toxic", 100, 1_000_000, tables.F.lit(False))
+    assert len(sample.texts) == 32 and set(sample.labels) == {0, 1}
+
+
+@pytest.mark.parametrize("label", [None, 0, 1])
+def test_models_of_fewer_than_two_labels_reject_nothing(spark, docs, label):
+    labels = spark.createDataFrame([] if label is None else [(5, label, label)], "doc_id long, toxic int, quality int")
+    model = toxicity.train_toxicity(docs, labels)
+    assert toxicity.keep_clean(docs, model).count() == docs.count()
+    rated = quality.rate_quality(docs, quality.train_quality(docs, labels)).collect()
+    assert all(r["kept"] == (not r["base_failed"]) for r in rated) and any(r["kept"] for r in rated)
