@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.packing import SEQUENCE_TOKENS, public_path, token_ids
-from tandem.session import shared_folder
+from tandem.session import shared_folder, staged
 
 ROUNDS, SHARD_SEQUENCES, KEY = 6, 4096, 20
 _ROWS = 200
@@ -42,20 +42,25 @@ def slots(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequence_counts(docs: DataFrame, path: str, tokens: int) -> list[int]:
-    """Sequences of each partition of the table: one number per partition comes to the driver."""
+def _sequences(docs: DataFrame, path: str, tokens: int) -> DataFrame:
+    """``doc_id, start, length, ids`` of every sequence, as the table is read."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        n = sum(-(-len(token_ids(t, path)) // tokens) for batch in batches for t in batch["text"])
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [n]})
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), _ROWS):
+                found = []
+                for doc_id, text in zip(batch["doc_id"].iloc[low : low + _ROWS], batch["text"].iloc[low : low + _ROWS]):
+                    ids = token_ids(text, path)
+                    for start in range(0, len(ids), tokens):
+                        part = ids[start : start + tokens]
+                        whole = np.zeros(tokens, "<u2")
+                        whole[: len(part)] = part
+                        found.append((None if pd.isna(doc_id) else int(doc_id), start, len(part), whole.tobytes()))
+                frame = pd.DataFrame(found, columns=["doc_id", "start", "length", "ids"])
+                frame["doc_id"] = frame["doc_id"].astype("Int64")
+                yield frame
 
-    rows = docs.select("text").mapInPandas(count, "part int, n long").collect()
-    counts = [0] * (max((r["part"] for r in rows), default=-1) + 1)
-    for r in rows:
-        counts[r["part"]] = r["n"]
-    return counts
+    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, start long, length long, ids binary")
 
 
 def write_training_order(docs: DataFrame, folder: str | None = None, key: int = KEY, shard_sequences: int = SHARD_SEQUENCES,
@@ -68,39 +73,26 @@ def write_training_order(docs: DataFrame, folder: str | None = None, key: int =
     (16-bit ids, little-endian), so a reader finds slot ``s`` at record ``s % shard_sequences`` of shard
     ``s // shard_sequences`` and goes on from there after a break.
 
-    ``docs`` is read twice and must be a stored table, whose partitions are the same both times; ids are made
-    again rather than kept, which spares a copy of all of them. A shard is written by one task.
+    Sequences are written once with their places, so numbers stay the same however Spark cuts the table when it reads
+    it again; this costs one copy of all ids. A shard is written by one task.
 
     Defined results: a null or empty text is one sequence of closing ids; repeated rows are sequences of their own;
     an empty table writes no shard; other columns are not read.
     """
     path, spark = path or public_path(), docs.sparkSession
     folder = folder or shared_folder(spark, "training-order")
-    rows = docs.select("doc_id", "text")
-    counts = _sequence_counts(rows, path, tokens)
-    n, starts = sum(counts), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        at = int(starts[TaskContext.get().partitionId()])
-        for batch in batches:
-            for low in range(0, len(batch), _ROWS):
-                found = []
-                for doc_id, text in zip(batch["doc_id"].iloc[low : low + _ROWS], batch["text"].iloc[low : low + _ROWS]):
-                    ids = token_ids(text, path)
-                    for start in range(0, len(ids), tokens):
-                        part = ids[start : start + tokens]
-                        whole = np.zeros(tokens, "<u2")
-                        whole[: len(part)] = part
-                        found.append((None if pd.isna(doc_id) else int(doc_id), start, len(part), whole.tobytes()))
-                frame = pd.DataFrame(found, columns=["doc_id", "start", "length", "ids"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                frame["slot"] = slots(np.arange(at, at + len(frame)), n, key)
-                at += len(frame)
-                yield frame
-
-    placed = rows.mapInPandas(place, "doc_id long, start long, length long, ids binary, slot long")
+    stored = staged(_sequences(docs, path, tokens).withColumn("_place", F.monotonically_increasing_id()), "sequences")
+    # the upper bits of a place name the task that wrote it, the lower ones count from 0 there
+    counts = {r["part"]: r["n"] for r in stored.groupBy(F.shiftright("_place", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = [counts.get(k, 0) for k in range(max(counts, default=-1) + 1)]
+    n, starts = sum(sizes), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    @F.pandas_udf("long")
+    def slot(place: pd.Series) -> pd.Series:
+        at = place.to_numpy(np.int64)
+        return pd.Series(slots(starts[at >> 33] + (at & ((1 << 33) - 1)), n, key))
+
+    placed = stored.select("doc_id", "start", "length", "ids", slot("_place").alias("slot"))
     shards = max(1, -(-n // shard_sequences))
     sharded = placed.withColumn("shard", F.floor(F.col("slot") / shard_sequences).cast("long"))
     sharded.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)

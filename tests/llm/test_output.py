@@ -36,6 +36,19 @@ def test_training_order(spark, tmp_path):
     assert ordering.training_order(empty).count() == 0
 
 
+def test_training_order_of_moving_partitions(spark):
+    import random
+
+    anew = ordering.F.udf(lambda: random.random(), "double").asNondeterministic()
+    rows = [(i, "some words " * (1 + i % 7 * 300)) for i in range(120)]
+    # every read deals the rows to other partitions
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("r", anew()).repartition(5, "r").drop("r")
+    found = ordering.training_order(docs, shard_sequences=16).collect()
+    wanted = sorted((i, a) for i, t in rows for a in range(0, len(packing.token_ids(t)), 1024))
+    assert sorted((r["doc_id"], r["start"]) for r in found) == wanted
+    assert sorted(r["slot"] for r in found) == list(range(len(wanted)))
+
+
 def test_plain_text():
     page = "<html><head><title>T &amp; U</title><script>if (a<b) x()</script></head><body><!-- no --><p>One  <b>two</b></p>3 < 4<br>&eacute;</body>"
     assert warc.plain_text(page) == "T & U\nOne two\n3 < 4\né"
