@@ -38,11 +38,14 @@ class Boosted:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.base + sum((t.values(x) for t in self.trees), np.zeros(len(x)))
 
-    def column(self, features: list[Column]) -> Column:
+    def margin_column(self, features: list[Column]) -> Column:
         total = F.lit(float(self.base))
         for tree in self.trees:
             total = total + tree.column(features)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+        return total
+
+    def column(self, features: list[Column]) -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin_column(features)))
 
 
 def _best_split(x: np.ndarray, gradient: np.ndarray, curve: np.ndarray, ridge: float) -> tuple[int, float]:

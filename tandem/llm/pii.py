@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.boosting import Boosted, fit_boosted, precision_threshold
+from tandem.session import staged
 
 # The base formats. Possessive quantifiers and the look-behind only spare the matcher work on
 # long runs; ``\G`` lets a match begin where the last one ended.
@@ -31,7 +32,7 @@ GENERATORS = [
     ("ip", r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9.])"),
     ("card", r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9]{14,19}(?![0-9])"),
-    ("phone", r"(?<![0-9])\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![0-9])(?:\+?[0-9]{1,3}[\x20.-]?|\+)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     ("phone", r"(?<![0-9])\+[0-9]{10,15}(?![0-9])"),
     ("secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+"),
 ]
@@ -41,8 +42,21 @@ CONTEXT = [
     r"(?i)(card|visa|iban|account)", r"(?i)(host|server|addr|from ip)",
 ]
 CONTEXT_CHARS = 24
-#: Bounds of the training table, and the precision that sets the thresholds.
-SAMPLE_DOCS, SAMPLE_ROWS, PRECISION = 20_000, 20_000, 0.95
+#: The place in ``CONTEXT``, from 1, that announces a kind.
+ANNOUNCED = {"secret": 1, "phone": 2, "email": 3, "card": 4}
+#: Directly before a secret: an assignment, or a word that needs none.
+ASSIGNMENT, TELLING = "[=:]\\s?[\"']?$", "(?i)(bearer|basic|token|key|secret|password|passwd|pwd)\\s[\"']?$"
+# Checks that are not the base formats.
+ADDRESS = r"^[A-Za-z][A-Za-z0-9._%+-]*@[A-Za-z][A-Za-z0-9-]*[A-Za-z0-9]([.]|$)"
+NUMBER = (r"^\+|^(1[\x20.-])?\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}$"
+          r"|^(1[\x20.-])?[2-9][0-9]{2}[.-][2-9][0-9]{2}[.-][0-9]{4}$")
+KEY = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_live_|sk-|xox[abprs]-|AIza|eyJ)"
+#: Secrets in form only: words and numbers joined, a name with a short number, a UUID, a path or a digest that is called one.
+NAME = (r"^([A-Za-z]+|[0-9]+)([_/+-]+([A-Za-z]+|[0-9]+))*[_/+-]*$|^[A-Za-z]+[0-9]{1,4}$"
+        r"|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")
+CALLED = r"(?i)(commit|sha-?[0-9]*|md5|hash|checksum|digest|uuid|guid|build|version|isbn|doi|href|src|www|file|path)[^A-Za-z0-9]{0,3}$|[/.@#&?]$"
+#: Bound of the training table, the precision that sets the thresholds, and steps of a score's logit when they are counted.
+SAMPLE_ROWS, PRECISION, BUCKETS = 20_000, 0.95, 50
 
 _SPAN = "array<struct<start: bigint, stop: bigint, txt: string>>"
 
@@ -109,7 +123,7 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def with_candidates(found: DataFrame) -> DataFrame:
-    """Adds ``_candidates``: ``start, stop, gen, kind, covered, exact`` and the features ``f0 .. fn`` of every proposal."""
+    """Adds ``_candidates``: ``start, stop, gen, kind, covered, exact, glued, named`` and the features ``f0 .. fn`` of every proposal."""
     text = F.col("_t")
 
     def proposed(g: int, kind: int):
@@ -130,7 +144,8 @@ def with_candidates(found: DataFrame) -> DataFrame:
         met = lambda b: (b["start"] < c["stop"]) & (b["stop"] > c["start"])
         features = [f.cast("double").alias(f"f{i}") for i, f in enumerate(_features(c))]
         return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["gen"].alias("gen"), c["kind"].alias("kind"),
-                        F.exists("_base", met).alias("covered"), F.exists("_base", same).alias("exact"), *features)
+                        F.exists("_base", met).alias("covered"), F.exists("_base", same).alias("exact"),
+                        _glued(c).alias("glued"), (c["txt"].rlike(NAME) | c["before"].rlike(CALLED)).alias("named"), *features)
 
     return found.withColumn("_candidates", F.transform("_proposals", described))
 
@@ -140,7 +155,8 @@ def _char_class(c: Column) -> Column:
 
 
 def _features(c: Column) -> list[Column]:
-    """Format: generator, length, digits, letters, capitals, other characters, dots, hexadecimal throughout. Context: neighbours, words before, an assignment."""
+    """Format: generator, length, digits, letters, capitals, other characters, dots, hexadecimal throughout. Context: neighbours, words before,
+    an assignment (1) or a telling word (2) directly before. Last, whether it stands free and passes the check of its kind."""
     txt, before = c["txt"], c["before"]
     n, digits = F.length(txt), F.length(_digits(txt))
     letters = F.length(F.regexp_replace(txt, "[^A-Za-z]", ""))
@@ -151,11 +167,28 @@ def _features(c: Column) -> list[Column]:
         c["gen"], n, digits, letters, F.length(F.regexp_replace(txt, "[^A-Z]", "")), n - digits - letters,
         F.length(F.regexp_replace(txt, "[^.]", "")), F.when(txt.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 1).otherwise(0),
         _char_class(F.substr(before, F.length(before), F.lit(1))), _char_class(c["after"]), spoken,
-        F.when(before.rlike("[=:]\\s?[\"']?$"), 1).otherwise(0),
+        F.when(before.rlike(ASSIGNMENT), 1).when(before.rlike(TELLING), 2).otherwise(0), F.when(_checked(c), 1).otherwise(0),
     ]
 
 
-N_FEATURES = 12
+N_FEATURES, SAID, ASSIGNED, CHECKED = 13, 10, 11, 12
+LABEL_GIVING = [SAID, ASSIGNED, CHECKED]
+
+
+def _glued(c: Column) -> Column:
+    """Part of a longer word, number, address or path."""
+    return c["before"].rlike("[A-Za-z0-9_/@.-]$") | c["after"].rlike("[A-Za-z0-9_/@-]") | (c["kind"] == KINDS.index("email")) & c["after"].rlike("[:(]")
+
+
+def _checked(c: Column) -> Column:
+    txt, kind = c["txt"], c["kind"]
+    passed = F.lit(False)
+    for name, check in {
+        "email": txt.rlike(ADDRESS), "ip": VALID["ip"](txt), "card": VALID["card"](txt),
+        "phone": F.length(_digits(txt)).between(10, 15) & txt.rlike(NUMBER), "secret": txt.rlike(KEY),
+    }.items():
+        passed = F.when(kind == KINDS.index(name), check).otherwise(passed)
+    return passed & ~_glued(c)
 
 
 @dataclass
@@ -166,38 +199,81 @@ class PiiModel:
     thresholds: list[float]
 
 
-def train_pii(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> PiiModel:
-    """Trees from weak labels: a candidate that is a base span is right, one that meets none is wrong.
+def _evidence(c: Column) -> Column:
+    """1 for a candidate that is right, 0 for one that is wrong, null where nothing is known.
 
-    For secrets, which no base format covers, a candidate assigned to a telling name is right. Candidates that only
-    overlap a base span are left out. About ``sample_docs`` documents, picked by hash, give at most
-    ``sample_rows`` distinct feature rows with their counts. Half of them, by hash, fit the trees; on the
-    other half each generator's threshold is the smallest score from which on ``precision`` of its candidates are right.
+    A base span is right; candidates that only overlap one are unknown. Of the others, which base formats do not
+    cover, those are right that stand free and pass a check of their kind, or that words of their kind announce. All others are wrong; of
+    secrets only those that look like names, paths or digests, the rest is unknown.
+    """
+    said = F.lit(False)
+    for kind, word in ANNOUNCED.items():
+        said = said | ((c["kind"] == KINDS.index(kind)) & (c[f"f{SAID}"] == word))
+    secret = c["kind"] == KINDS.index("secret")
+    right = (c[f"f{CHECKED}"] == 1) | said & F.when(secret, c[f"f{ASSIGNED}"] > 0).otherwise(~c["glued"])
+    known = F.when(right, 1).when(~secret | c["named"], 0)
+    return F.when(c["exact"], 1).when(~c["covered"], known)
+
+
+def _hidden(names: list[str]) -> list[Column]:
+    """The features without those that give the labels."""
+    return [(F.lit(0.0) if i in LABEL_GIVING else F.col(f)).alias(f) for i, f in enumerate(names)]
+
+
+def _shares(counts: dict[tuple, int], rows: int) -> dict[tuple, float]:
+    """Of each stratum the share that is taken, so that together about ``rows`` are: small ones whole, the others alike."""
+    shares, left = {}, rows
+    for k, (stratum, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        taken = min(n, left // (len(counts) - k))
+        shares[stratum], left = taken / n, left - taken
+    return shares
+
+
+def train_pii(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> PiiModel:
+    """Trees from weak labels, see ``_evidence``, and thresholds from all documents.
+
+    The distinct feature rows of all documents are counted once and written. About ``sample_rows`` of them, picked by
+    hash evenly over generators and labels, fit the trees. Each row takes part twice, once without the features
+    that give labels, so that format alone can carry a selection. Then all counted rows, seen both ways again, are summed by generator
+    and score: each generator's threshold is the smallest score from which on ``precision`` of its candidates that meet no base
+    span are right. Where none of these is right, base spans take part, with the weight of the wrong ones.
     """
-    n = docs.count()
-    share = min(1.0, sample_docs / max(1, n))
-    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    found = with_candidates(with_base(docs.select("doc_id", "text").where(at < int(share * (1 << 20)) + 1)))
-    one = found.select(F.explode("_candidates").alias("c"))
-    secret = KINDS.index("secret")
-    said = (F.col("c.f10") == 1) & (F.col("c.f11") == 1)
-    label = F.when(F.col("c.kind") == secret, said).otherwise(F.col("c.exact"))
     names = [f"f{i}" for i in range(N_FEATURES)]
-    counted = (
-        one.where((F.col("c.kind") == secret) | F.col("c.exact") | ~F.col("c.covered"))
-        .select(*[F.col(f"c.{f}").alias(f) for f in names], label.cast("int").alias("y")).groupBy(*names, "y").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("h", F.xxhash64(*names, "y")).orderBy("h", *names, "y").limit(sample_rows)
-    )
-    rows = counted.collect()
+    found = with_candidates(with_base(docs.select("text")))
+    one = found.select(F.explode("_candidates").alias("c"))
+    one = one.select(*[F.col(f"c.{f}").alias(f) for f in names], F.col("c.covered").alias("covered"), _evidence(F.col("c")).alias("y"))
+    counted = one.where(F.col("y").isNotNull()).groupBy(*names, "covered", "y").agg(F.count(F.lit(1)).alias("n"))
+    counted = staged(counted.withColumn("h", F.pmod(F.xxhash64(*names, "y"), F.lit(1 << 30))), "pii-features")
+    strata = {(r["f0"], r["y"]): r["n"] for r in counted.groupBy("f0", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares, share = _shares(strata, sample_rows), F.lit(0.0)
+    for (g, y), part in shares.items():
+        share = F.when((F.col("f0") == g) & (F.col("y") == y), part).otherwise(share)
+    picked = counted.where(F.col("h") < share * (1 << 30)).orderBy("h", *names, "covered", "y").limit(sample_rows)
+    rows = picked.collect()
     x = np.array([[r[f] for f in names] for r in rows], float).reshape(-1, N_FEATURES)
-    y, w = np.array([r["y"] for r in rows], float), np.array([r["n"] for r in rows], float)
-    fit = np.array([r["h"] % 2 == 0 for r in rows], bool)
-    trees = fit_boosted(x[fit], y[fit], w[fit])
-    scores = 1 / (1 + np.exp(-trees.margin(x)))
+    y = np.array([r["y"] for r in rows], float)
+    w = np.array([r["n"] / shares[(r["f0"], r["y"])] for r in rows], float)
+    bare = x.copy()
+    bare[:, LABEL_GIVING] = 0
+    trees = fit_boosted(np.concatenate([x, bare]), np.concatenate([y, y]), np.concatenate([w, w]))
+    both = counted.select(*names, "covered", "y", "n").union(counted.select(*_hidden(names), "covered", "y", "n"))
+    margin = trees.margin_column([F.col(f) for f in names])
+    bucket = F.floor(F.greatest(F.least(margin, F.lit(30.0)), F.lit(-30.0)) * BUCKETS).alias("b")
+    sums = both.select("f0", "covered", bucket, "y", "n").groupBy("f0", "covered", "b").agg(F.sum(F.col("y") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect()
     limits = []
     for g in range(len(GENERATORS)):
-        own = ~fit & (x[:, 0] == g)
-        limits.append(precision_threshold(scores[own], y[own], w[own], precision))
+        own = [r for r in sums if r["f0"] == g]
+        open_ = [r for r in own if not r["covered"]]
+        known = any(r["right"] for r in open_)
+        own = open_ if known else own
+        # base spans stand in for right candidates where there are none, with the weight of the wrong ones
+        scale = sum(r["n"] for r in open_) / max(1, sum(r["n"] for r in own if r["covered"])) or 1.0
+        # a little below the bucket's edge, so that rounding leaves none of it out
+        low = np.array([1 / (1 + np.exp(-(r["b"] - 1e-6) / BUCKETS)) for r in own], float)
+        n = np.array([r["n"] for r in own], float)
+        right = np.array([r["right"] for r in own], float) / np.maximum(n, 1)
+        weight = n * np.array([scale if r["covered"] else 1.0 for r in own], float)
+        limits.append(precision_threshold(low, right, weight, precision))
     return PiiModel(trees, limits)
 
 
