@@ -42,6 +42,15 @@ def slots(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def record(ids: np.ndarray, tokens: int) -> bytes:
+    """Little-endian 16-bit ids, filled up with the closing id; larger ids are refused."""
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        raise ValueError(f"id {int(ids.max())} does not fit into 16 bits")
+    whole = np.zeros(tokens, "<u2")
+    whole[: len(ids)] = ids
+    return whole.tobytes()
+
+
 def _sequences(docs: DataFrame, path: str, tokens: int) -> DataFrame:
     """``doc_id, start, length, ids`` of every sequence, as the table is read."""
 
@@ -53,9 +62,7 @@ def _sequences(docs: DataFrame, path: str, tokens: int) -> DataFrame:
                     ids = token_ids(text, path)
                     for start in range(0, len(ids), tokens):
                         part = ids[start : start + tokens]
-                        whole = np.zeros(tokens, "<u2")
-                        whole[: len(part)] = part
-                        found.append((None if pd.isna(doc_id) else int(doc_id), start, len(part), whole.tobytes()))
+                        found.append((None if pd.isna(doc_id) else int(doc_id), start, len(part), record(part, tokens)))
                 frame = pd.DataFrame(found, columns=["doc_id", "start", "length", "ids"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from tandem.llm import ordering, packing, warc
 
@@ -15,6 +16,12 @@ def test_slots_are_a_permutation():
     assert not np.array_equal(ordering.slots(np.arange(100), 100, 1), ordering.slots(np.arange(100), 100, 2))
 
 
+def test_records_refuse_ids_above_16_bits():
+    assert ordering.record(np.array([1, 65_535], "<u4"), 3) == b"\x01\0\xff\xff\0\0"
+    with pytest.raises(ValueError):
+        ordering.record(np.array([65_536], "<u4"), 3)
+
+
 def test_training_order(spark, tmp_path):
     texts = [None, "", "hello there", "many words " * 900, "many words " * 900]
     rows = [(i, t, 7) for i, t in enumerate(texts)] + [(None, "x", 7)]
