@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tandem.llm import embeddings, licenses, mixing, ordering, packing, pii, quality, simhash, toxicity, warc
+from tandem.llm import bpe, embeddings, licenses, mixing, ordering, packing, pii, quality, runs, simhash, spelling, toxicity, warc
 from tandem.llm.tables import held_out_fold, read_table
 
 
@@ -56,6 +56,19 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate_quality(docs, quality.train_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_documents(read_table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.word_runs(read_table(spark, sf_dir, "documents"), runs.altered))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix,
     "op2_license_scan": license_scan,
@@ -67,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_derivatives": warc_derivatives,
     "op9_packing": pack,
     "op10_quality_rules": quality_rules,
+    "op11_spelling_variants": spelling_variants,
+    "op12_bpe_codec": bpe_codec,
+    "op13_periodic_runs": periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL}
