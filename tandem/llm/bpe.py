@@ -9,15 +9,16 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.packing import PATTERN, byte_symbols, public_path
 
 #: Characters a text is cut into words at a time, words remembered by a worker, and the longest word it remembers.
 BLOCK_CHARS, REMEMBERED, REMEMBERED_CHARS = 200_000, 500_000, 64
+_ROWS = 200
 
 
 class Codec:
@@ -119,8 +120,8 @@ class Codec:
 
     def decode(self, ids: bytes) -> str:
         """The vocabulary strings of the ids, joined and read as bytes; bytes that are no UTF-8 give the replacement character."""
-        strings = self.strings
-        joined = "".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        strings, n = self.strings, len(self.strings)
+        joined = "".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist() if i < n])
         return codecs.charmap_encode(joined, "strict", self.to_bytes)[0].decode("utf-8", "replace")
 
 
@@ -134,38 +135,40 @@ def codec(path: str) -> Codec:
     return _held[path]
 
 
-def encode_ids(text: Column | str, path: str | None = None) -> Column:
-    """Ids of a text as binary, four bytes an id, little-endian; a null text is empty."""
-    path = path or public_path()
-
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([codec(path).encode(t or "") for t in batch], dtype=object)
-
-    return encode(text)
+def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded`` of every document: its ids, and the text they give back.
 
+    Row-local, without a shuffle. A text is cut into words block by block, so besides the text and its ids a task holds
+    one block of words; results leave it after ``_ROWS`` texts. A word of any length takes time in proportion to its length times its logarithm.
 
-def decode_ids(ids: Column | str, path: str | None = None) -> Column:
-    """The text of ids as ``encode_ids`` gives them; null ids give an empty text."""
+    Defined results: a null or empty text has no ids; repeated rows are encoded each; an empty table
+    gives no rows; a null id is kept; other columns are not read.
+    """
     path = path or public_path()
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.Series([codec(path).decode(i or b"") for i in batch], dtype=object)
+            held = codec(path)
+            for low in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(low, _ROWS)
+                ids = [held.encode(t or "") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(held.decode, ids), pa.string())],
+                    names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return decode(ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(code, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded`` of every document: its ids, and the text they give back.
+def decode_documents(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, decoded`` of rows of ``doc_id, ids``; null ids give an empty text, ids outside the vocabulary nothing."""
+    path = path or public_path()
 
-    Row-local, without a shuffle. A text is cut into words block by block, so besides the text and its ids a task holds
-    one block; a word of any length takes time in proportion to its length times its logarithm.
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = codec(path)
+            for low in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(low, _ROWS)
+                texts = [held.decode(i or b"") for i in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
-    Defined results: a null or empty text has no ids; repeated rows are encoded each; an empty table
-    gives no rows; a null id is kept; other columns are not read.
-    """
-    coded = docs.select("doc_id", encode_ids("text", path).alias("ids"))
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", decode_ids("ids", path).alias("decoded"))
+    return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(decode, "doc_id long, decoded string")
