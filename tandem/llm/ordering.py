@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.packing import SEQUENCE_TOKENS, public_path, token_ids
-from tandem.session import shared_folder, staged
+from tandem.session import shared_folder
 
 ROUNDS, SHARD_SEQUENCES, KEY = 6, 4096, 20
 _ROWS = 200
@@ -42,17 +42,20 @@ def slots(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def record(ids: np.ndarray, tokens: int) -> bytes:
-    """Little-endian 16-bit ids, filled up with the closing id; larger ids are refused."""
+def short_ids(ids: np.ndarray) -> bytes:
+    """Little-endian 16-bit ids; larger ids are refused."""
     if len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError(f"id {int(ids.max())} does not fit into 16 bits")
-    whole = np.zeros(tokens, "<u2")
-    whole[: len(ids)] = ids
-    return whole.tobytes()
+    return ids.astype("<u2").tobytes()
+
+
+def record(ids: np.ndarray, tokens: int) -> bytes:
+    """The ids of a sequence, filled up with the closing id."""
+    return short_ids(ids).ljust(2 * tokens, b"\0")
 
 
 def _sequences(docs: DataFrame, path: str, tokens: int) -> DataFrame:
-    """``doc_id, start, length, ids`` of every sequence, as the table is read."""
+    """``doc_id, start, length, ids`` of every sequence, as the table is read; the last one of a document may be short."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -62,7 +65,7 @@ def _sequences(docs: DataFrame, path: str, tokens: int) -> DataFrame:
                     ids = token_ids(text, path)
                     for start in range(0, len(ids), tokens):
                         part = ids[start : start + tokens]
-                        found.append((None if pd.isna(doc_id) else int(doc_id), start, len(part), record(part, tokens)))
+                        found.append((None if pd.isna(doc_id) else int(doc_id), start, len(part), short_ids(part)))
                 frame = pd.DataFrame(found, columns=["doc_id", "start", "length", "ids"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
@@ -81,14 +84,18 @@ def write_training_order(docs: DataFrame, folder: str | None = None, key: int =
     ``s // shard_sequences`` and goes on from there after a break.
 
     Sequences are written once with their places, so numbers stay the same however Spark cuts the table when it reads
-    it again; this costs one copy of all ids. A shard is written by one task.
+    it again; this costs one copy of all ids, compressed and without the closing ids that fill sequences up: those are
+    added as a shard is written. A shard is written by one task.
 
     Defined results: a null or empty text is one sequence of closing ids; repeated rows are sequences of their own;
     an empty table writes no shard; other columns are not read.
     """
     path, spark = path or public_path(), docs.sparkSession
     folder = folder or shared_folder(spark, "training-order")
-    stored = staged(_sequences(docs, path, tokens).withColumn("_place", F.monotonically_increasing_id()), "sequences")
+    numbered = _sequences(docs, path, tokens).withColumn("_place", F.monotonically_increasing_id())
+    places = shared_folder(spark, "sequences")
+    numbered.write.option("compression", "zstd").parquet(places)
+    stored = spark.read.schema(numbered.schema).parquet(places)
     # the upper bits of a place name the task that wrote it, the lower ones count from 0 there
     counts = {r["part"]: r["n"] for r in stored.groupBy(F.shiftright("_place", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = [counts.get(k, 0) for k in range(max(counts, default=-1) + 1)]
@@ -102,14 +109,21 @@ def write_training_order(docs: DataFrame, folder: str | None = None, key: int =
     placed = stored.select("doc_id", "start", "length", "ids", slot("_place").alias("slot"))
     shards = max(1, -(-n // shard_sequences))
     sharded = placed.withColumn("shard", F.floor(F.col("slot") / shard_sequences).cast("long"))
-    sharded.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    ordered = sharded.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot")
+    filled = ordered.withColumn("ids", F.expr(f"rpad(ids, {2 * tokens}, X'00')"))
+    filled.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
     return folder
 
 
-def read_training_order(spark, folder: str) -> DataFrame:
-    """``shard, record, slot, doc_id, start, length, ids`` of the written shards."""
+def read_training_order(spark, folder: str, from_slot: int = 0, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
+    """``doc_id, start, length, ids, slot, shard`` of the written shards, from a slot on.
+
+    A run that broke off goes on at ``from_slot``: shards before it are not opened, records before it in its shard are
+    skipped by the file's own statistics. ``shard_sequences`` must be that of the writer.
+    """
     schema = "doc_id long, start long, length long, ids binary, slot long, shard long"
-    return spark.read.schema(schema).parquet(folder)
+    stored = spark.read.schema(schema).parquet(folder)
+    return stored.where((F.col("shard") >= from_slot // shard_sequences) & (F.col("slot") >= from_slot)) if from_slot else stored
 
 
 def training_order(docs: DataFrame, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY) -> DataFrame:

@@ -37,6 +37,10 @@ def test_training_order(spark, tmp_path):
         ids = packing.token_ids(t).tolist()
         wanted += [(str(i), a, ids[a : a + 1024]) for a in range(0, len(ids), 1024)]
     assert got == sorted(wanted)
+    for at in (1, 4, len(found) - 1, len(found)):
+        rest = ordering.read_training_order(spark, folder, at, shard_sequences=4)
+        assert sorted(r["slot"] for r in rest.collect()) == list(range(at, len(found)))
+        assert "PartitionFilters: [isnotnull(shard" in rest._jdf.queryExecution().toString()
     digests = {(str(r["doc_id"]), r["start"]): r["ids_crc32"] for r in ordering.training_order(docs).collect()}
     assert digests[("2", 0)] == ordering.checksum(np.pad(packing.token_ids("hello there"), (0, 1024 - len(packing.token_ids("hello there")))))
     empty = docs.limit(0).write.mode("overwrite").parquet(stored + "-empty") or spark.read.parquet(stored + "-empty")
