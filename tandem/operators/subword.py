@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.fixed_values import EOS, SPECIALS, UNK, VOCABULARY_SPECIALS, WORD_MARK
 from tandem.functions.text import char_pieces, decode_pieces, word_pieces, words
-from tandem.session import cut_lineage
+from tandem.session import discard, shared_folder
 
 VOCAB_SIZE = 160_000
-
-# Symbols are kept in one string, each between an opening and a closing mark, so that
-# a merge is one plain replace: the marks keep matches whole and non-overlapping.
-OPEN, CLOSE = "\x02", "\x03"
+#: Segments of one size that are written again as one; words a task of a pass looks at.
+MERGE_SEGMENTS, TASK_WORDS = 8, 2_000
+BETWEEN = "\x01"
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -25,65 +26,194 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.explode(word_pieces(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _symbols(state: Column) -> Column:
-    inner = F.substr(state, F.lit(2), F.length(state) - 2)
-    return F.split(inner, CLOSE + OPEN)
+@dataclass
+class Learned:
+    """Merges in order, and for each pass the merges it made and the distinct words it had to look at."""
+
+    merges: list[tuple[str, str]]
+    passes: list[tuple[int, int]]
+
+
+class _PairState:
+    """What training keeps in the shared folder: pair counts by deltas, and which words hold a pair.
+
+    Both are one append-only table of ``left, right, word, cnt, delta, held``: how much a word changed the count of
+    a pair, and whether the word held the pair then. A pair's count is the sum of its deltas; its words
+    are those of its rows, also ones that have lost it since, which then change nothing. Each pass
+    appends a segment. Every ``MERGE_SEGMENTS`` segments of a size are written again as one of the next size, so a row is written
+    a logarithmic number of times; counts are folded into one row a pair as often.
+    """
+
+    def __init__(self, changes: DataFrame):
+        self.spark = changes.sparkSession
+        self.levels: list[list[str]] = [[]]
+        self.counts: str | None = None
+        self.recent: list[str] = []
+        base = self._write(self._clustered(changes), "subword-changes")
+        self.levels.append([base])
+        self.counts = self._write(self._summed(self._read([base])), "subword-counts")
+
+    def _write(self, df: DataFrame, purpose: str) -> str:
+        path = shared_folder(self.spark, purpose)
+        df.write.parquet(path)
+        return path
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(CHANGE).parquet(*paths)
+
+    @staticmethod
+    def _clustered(changes: DataFrame) -> DataFrame:
+        """Rows of a pair side by side in one file, so that a lookup skips the pages without it."""
+        return changes.repartition("left", "right").sortWithinPartitions("left", "right")
+
+    @staticmethod
+    def _summed(changes: DataFrame) -> DataFrame:
+        return changes.groupBy("left", "right").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+
+    def append(self, changes: DataFrame) -> None:
+        path = self._write(changes, "subword-changes")
+        self.levels[0].append(path)
+        self.recent.append(path)
+        if len(self.recent) == MERGE_SEGMENTS:
+            old, self.counts = self.counts, self._write(self._summed(self._deltas()), "subword-counts")
+            discard(self.spark, old)
+            self.recent = []
+        for level, paths in enumerate(self.levels):
+            if len(paths) >= MERGE_SEGMENTS:
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(self._write(self._clustered(self._read(paths)), "subword-changes"))
+                self.levels[level] = []
+                for path in paths:
+                    discard(self.spark, path)
+
+    def _deltas(self) -> DataFrame:
+        columns = ["left", "right", "delta"]
+        counted = self.spark.read.schema("left string, right string, delta long").parquet(self.counts)
+        return counted.union(self._read(self.recent).select(*columns)) if self.recent else counted
+
+    def top(self, n: int) -> list[tuple[str, str, int]]:
+        ranked = self._summed(self._deltas()).orderBy(F.desc("delta"), "left", "right").limit(n)
+        return [tuple(r) for r in ranked.select("left", "right", "delta").collect()]
+
+    def close(self) -> None:
+        for path in [self.counts, *(p for paths in self.levels for p in paths)]:
+            discard(self.spark, path)
+
+    def words(self, pairs: list[tuple[str, str]], tasks: int) -> DataFrame:
+        """``word, cnt`` of the words that hold one of the pairs, or did."""
+        both = F.concat("left", F.lit(BETWEEN), "right").isin([a + BETWEEN + b for a, b in pairs])
+        # the plain condition reaches the files, whose statistics then skip most of the rows
+        held = self._read([p for paths in self.levels for p in paths]).where("held").where(F.col("left").isin([a for a, _ in pairs]) & both)
+        # dealt by word first, the copies meet without another shuffle
+        return held.select("word", "cnt").repartition(tasks, "word").distinct()
+
+
+def numbered(merges: list[tuple[str, str]]) -> dict[tuple[str, str], int | list[int]]:
+    """The number of each pair; a list where a pair is merged again."""
+    places: dict[tuple[str, str], int | list[int]] = {}
+    for i, pair in enumerate(merges):
+        seen = places.get(pair)
+        places[pair] = i if seen is None else [seen, i] if isinstance(seen, int) else [*seen, i]
+    return places
+
+
+def apply_in_order(symbols: list[str], places: dict[tuple[str, str], int | list[int]], low: int, high: int) -> list[str]:
+    """The symbols after the merges numbered ``low`` to ``high - 1``, one after the other; ``places`` has the numbers of each pair."""
+    at = low - 1
+    while len(symbols) > 1:
+        best, pair = high, None
+        for both in zip(symbols, symbols[1:]):
+            number = places.get(both, high)
+            if isinstance(number, list):
+                number = next((k for k in number if k > at), high)
+            if at < number < best:
+                best, pair = number, both
+        if pair is None:
+            break
+        symbols, at = merge_pair(symbols, pair), best
+    return symbols
+
+
+def merge_pair(symbols: list[str], pair: tuple[str, str]) -> list[str]:
+    """Every occurrence of the pair as one symbol, from the left."""
+    merged, i = [], 0
+    while i < len(symbols):
+        if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
+            merged.append(symbols[i] + symbols[i + 1])
+            i += 2
+        else:
+            merged.append(symbols[i])
+            i += 1
+    return merged
 
 
-def train_subwords(counts: DataFrame, vocab_size: int = VOCAB_SIZE, top: int = 256, checkpoint_every: int = 20,
-                   partitions: int | None = None) -> list[tuple[str, str]]:
+CHANGE = "left string, right string, word string, cnt long, delta long, held boolean"
+
+
+def _pair_changes(words: DataFrame, merges: list[tuple[str, str]], done: int) -> DataFrame:
+    """The rows of a segment: what the merges from number ``done`` on change in each word; with no merges, all pairs of the word."""
+    shared = words.sparkSession.sparkContext.broadcast(merges)
+
+    def change(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = numbered(shared.value)
+        for batch in batches:
+            rows = []
+            for word, cnt in zip(batch["word"], batch["cnt"]):
+                before = apply_in_order(list(word), places, 0, done)
+                after = apply_in_order(before, places, done, len(shared.value))
+                if merges and after == before:
+                    continue
+                was = Counter(zip(before, before[1:])) if merges else Counter()
+                now = Counter(zip(after, after[1:]))
+                for pair in {**was, **now}:
+                    if now[pair] != was[pair]:
+                        rows.append((*pair, word, cnt, (now[pair] - was[pair]) * cnt, now[pair] > 0))
+            yield pd.DataFrame(rows, columns=["left", "right", "word", "cnt", "delta", "held"])
+
+    return words.select("word", "cnt").mapInPandas(change, CHANGE)
+
+
+def learn_subwords(counts: DataFrame, vocab_size: int = VOCAB_SIZE, top: int = 256) -> Learned:
     """Byte-pair merges in order; ties go to the smaller pair.
 
-    ``counts`` has one row per distinct word, far fewer than the corpus has tokens.
-    Each pass counts adjacent symbols with a distributed aggregate and brings only the
-    ``top`` pairs to the driver. A pass applies several merges when that provably
-equals doing them one at a time: the leading pairs must not overlap each other (no
-    right symbol is another's left symbol), each must be strictly more frequent than the
+    ``counts`` has one row per distinct word, far fewer than the corpus has tokens. Pairs are counted once; a pass then looks only
+    at the words that hold a pair it merges, and appends what that changes. A word's symbols are not
+    stored: they follow from the word and the merges so far. Only the ``top`` pairs come to the driver.
+
+    A pass applies several merges when that provably equals doing them one at a time: the
+    leading pairs must not overlap each other (no right symbol is another's left symbol), each must be strictly more frequent than the
     first pair that does overlap, which bounds the count of every pair a merge creates,
     and no merge may spell an existing symbol.
-
-    The words stay in executor memory between passes; a reliable checkpoint every
-    ``checkpoint_every`` passes bounds what a lost executor makes Spark redo.
     """
-    state = counts.where(F.length("word") > 0).select(
-        "cnt", F.regexp_replace("word", "(?s)(.)", OPEN + "$1" + CLOSE).alias("state")
-    )
-    # an explicit width: the words are few bytes but every pass works on all of them
-    state = cut_lineage(state.repartition(partitions or counts.sparkSession.sparkContext.defaultParallelism, "state")).persist()
-    alphabet = state.select(F.explode(_symbols(F.col("state"))).alias("s")).distinct().count()
+    spark, listed = counts.sparkSession, shared_folder(counts.sparkSession, "subword-words")
+    counts.where(F.length("word") > 0).groupBy("word").agg(F.sum("cnt").alias("cnt")).write.parquet(listed)
+    words = spark.read.schema("word string, cnt long").parquet(listed)
+    cores = spark.sparkContext.defaultParallelism
+    state = _PairState(_pair_changes(words.repartition(cores, "word"), [], 0))
+    alphabet = words.select(F.explode(F.split("word", ""))).distinct().count()
     budget = max(vocab_size - alphabet - len(VOCABULARY_SPECIALS), 0)
     merges: list[tuple[str, str]] = []
-    passes, previous = 0, None
-    while len(merges) < budget:
-        # counting also brings the new state into memory, after which the old one can go
-        ranked = _top_pairs(state, top)
-        if previous is not None:
-            previous.unpersist()
-        if not ranked:
-            break
+    passes: list[tuple[int, int]] = []
+    while len(merges) < budget and (ranked := state.top(top)):
         made = {left + right for left, right in merges}
         batch = _independent_prefix(ranked, made, complete=len(ranked) < top)[: budget - len(merges)]
-        col = F.col("state")
-        for left, right in batch:
-            col = F.replace(col, F.lit(OPEN + left + CLOSE + OPEN + right + CLOSE), F.lit(OPEN + left + right + CLOSE))
+        done = len(merges)
         merges += batch
-        passes += 1
-        previous, state = state, state.withColumn("state", col)
-        state = (cut_lineage(state) if passes % checkpoint_every == 0 else state).persist()
-    for held in (previous, state):
-        if held is not None:
-            held.unpersist()
-    return merges
-
-
-def _top_pairs(state: DataFrame, top: int) -> list[tuple[str, str, int]]:
-    adjacent = "inline(arrays_zip(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1))) AS (left, right)"
-    ranked = (
-        state.select("cnt", _symbols(F.col("state")).alias("s")).where("size(s) > 1").selectExpr("cnt", adjacent)
-        .groupBy("left", "right").agg(F.sum("cnt").alias("n"))
-        .orderBy(F.desc("n"), "left", "right").limit(top)
-    )
-    return [tuple(r) for r in ranked.collect()]
+        seen = Observation()
+        # few bytes but much work a word: as many tasks as the pass before had words for, not as many as bytes would give
+        tasks = min(cores, 1 + 2 * passes[-1][1] // TASK_WORDS) if passes else cores
+        touched = state.words(batch, tasks).observe(seen, F.count(F.lit(1)).alias("words"))
+        state.append(_pair_changes(touched, merges, done))
+        passes.append((len(batch), seen.get["words"]))
+    state.close()
+    discard(spark, listed)
+    return Learned(merges, passes)
+
+
+def train_subwords(counts: DataFrame, vocab_size: int = VOCAB_SIZE, top: int = 256) -> list[tuple[str, str]]:
+    """The merges of ``learn_subwords``."""
+    return learn_subwords(counts, vocab_size, top).merges
 
 
 def _independent_prefix(ranked: list[tuple[str, str, int]], made: set[str], complete: bool) -> list[tuple[str, str]]:
@@ -112,15 +242,7 @@ def encode_words(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
         best = min(zip(symbols, symbols[1:]), key=lambda pair: ranks.get(pair, len(ranks)))
         if best not in ranks:
             break
-        merged, i = [], 0
-        while i < len(symbols):
-            if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
-                merged.append(symbols[i] + symbols[i + 1])
-                i += 2
-            else:
-                merged.append(symbols[i])
-                i += 1
-        symbols = merged
+        symbols = merge_pair(symbols, best)
     return symbols
 
 

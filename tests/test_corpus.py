@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -9,6 +10,7 @@ from tandem.functions import arrays as a
 from tandem.operators import corpus as d
 from tandem.operators import subword as s
 from tandem.operators import tokens as k
+from tandem.session import checkpoint_root
 
 
 def numbered(spark, counts):
@@ -102,10 +104,46 @@ def test_merges_equal_one_at_a_time(spark, seed, letters):
     random.seed(seed)
     counts = {"▁" + "".join(random.choices(letters, k=random.randint(1, 7))): random.randint(1, 50) for _ in range(60)}
     alphabet = len(set("".join(counts)))
-    got = s.train_subwords(words(spark, counts), 3 + alphabet + 12, top=16, checkpoint_every=4)
+    got = s.train_subwords(words(spark, counts), 3 + alphabet + 12, top=16)
     assert got == brute_merges(counts, 12)
 
 
+def test_passes_touch_only_words_with_a_merged_pair(spark, monkeypatch):
+    """Many segments of several sizes; all are gone at the end."""
+    monkeypatch.setattr(s, "MERGE_SEGMENTS", 2)
+    random.seed(4)
+    counts = {"▁" + "".join(random.choices("aaabcdefgh", k=random.randint(1, 9))): random.randint(1, 50) for _ in range(300)}
+    alphabet = len(set("".join(counts)))
+    before = set(os.listdir(checkpoint_root(spark)))
+    learned = s.learn_subwords(words(spark, counts), 3 + alphabet + 60, top=8)
+    assert learned.merges == brute_merges(counts, 60) and set(os.listdir(checkpoint_root(spark))) == before
+    assert sum(n for n, _ in learned.passes) == 60
+    done = 0
+    for n, looked in learned.passes:
+        places = s.numbered(learned.merges[: done + n])
+        held = [s.apply_in_order(list(w), places, 0, done) for w in counts]
+        changed = sum(s.apply_in_order(x, places, done, done + n) != x for x in held)
+        assert changed <= looked <= len(counts)
+        done += n
+    touched = [looked for _, looked in learned.passes]
+    assert sum(touched[-5:]) < sum(touched[:5]) / 2
+
+
+def test_a_pair_merged_again(spark):
+    """Sequential order also holds where a pair returns after another merge has spelled its symbol anew."""
+    merges = [("a", "b"), ("ab", "c"), ("abc", "x"), ("b", "c"), ("a", "bc"), ("abc", "x")]
+    places = s.numbered(merges)
+    state = [list("abcx"), list("zabcx"), list("abbcx"), list("aabcxbc")]
+    for low in range(len(merges)):
+        state = [s.merge_pair(x, merges[low]) for x in state]
+        assert state == [s.apply_in_order(list(w), places, 0, low + 1) for w in ("abcx", "zabcx", "abbcx", "aabcxbc")]
+    assert places[("abc", "x")] == [2, 5]
+
+
+def test_no_words_no_merges(spark):
+    assert s.train_subwords(spark.createDataFrame([], "word string, cnt long"), 100) == []
+
+
 def test_bpe_round_trip(spark):
     text = ["Hallo Welt", "Hallo  Hallo", "", "größer"]
     df = spark.createDataFrame([(t,) for t in text], "text string")

@@ -45,7 +45,7 @@ def test_matches_sql(spark, duck, name):
     assert _rows(frame.collect(), frame.columns) == _rows(cursor.fetchall(), columns)
 
 
-def test_bpe_queries(spark):
+def test_bpe_ranks(spark):
     merges = QUERIES["bpe_merges"](spark, SF).orderBy("rank").collect()
     assert [m["rank"] for m in merges] == list(range(1, len(merges) + 1)) and len(merges) > 50
     rows = QUERIES["encode_bpe"](spark, SF).collect()

@@ -85,14 +85,34 @@ def decode_pieces(spark, sf):
 
 BPE_VOCAB = 200
 
-
-@query("bpe_merges")
+# one merge at a time over all distinct words; symbols stand between two marks, so a merge is a plain replace
+view("line_words", "SELECT doc_id, line_no, lang, '▁' || w AS word FROM (SELECT doc_id, line_no, lang, unnest(string_split(line, ' ')) AS w FROM lines) WHERE w <> ''")
+view("bpe_steps", f"""
+  WITH RECURSIVE counted AS (SELECT word, count(*) AS cnt FROM line_words GROUP BY word),
+  room AS (SELECT {BPE_VOCAB} - 3 - count(DISTINCT c) AS n FROM (SELECT unnest(string_split(word, '')) AS c FROM counted)),
+  step AS (
+    SELECT 0 AS k, word, cnt, string_split(word, '') AS s, CAST(NULL AS VARCHAR) AS l, CAST(NULL AS VARCHAR) AS r FROM counted
+    UNION ALL (
+      WITH best AS (
+        SELECT l, r FROM (SELECT s[i] AS l, s[i + 1] AS r, cnt FROM (SELECT s, cnt, unnest(range(1, len(s))) AS i FROM step))
+        GROUP BY l, r ORDER BY sum(cnt) DESC, l, r LIMIT 1)
+      SELECT k + 1, word, cnt, string_split(replace(chr(2) || array_to_string(s, chr(3) || chr(2)) || chr(3),
+               chr(2) || b.l || chr(3) || chr(2) || b.r || chr(3), chr(2) || b.l || b.r || chr(3))[2:-2], chr(3) || chr(2)), b.l, b.r
+      FROM step, best b WHERE k < (SELECT n FROM room)))
+  SELECT * FROM step""")
+
+
+@query("bpe_merges", "SELECT DISTINCT CAST(k AS INTEGER) AS rank, l AS left, r AS right FROM bpe_steps WHERE k > 0")
 def bpe_merges(spark, sf):
     merges = s.train_subwords(s.word_counts(t.lines(spark, sf), "line"), BPE_VOCAB)
     return spark.createDataFrame([(i, a_, b) for i, (a_, b) in enumerate(merges, 1)], "rank int, left string, right string")
 
 
-@query("encode_bpe")
+@query("encode_bpe", """
+  SELECT lang, same, count(*) AS lines, CAST(sum(n) AS BIGINT) AS pieces FROM (
+    SELECT l.lang, coalesce(bool_and(array_to_string(b.s, '') = b.word), true) AS same, coalesce(sum(len(b.s)), 0) AS n
+    FROM lines l LEFT JOIN line_words w USING (doc_id, line_no) LEFT JOIN (SELECT * FROM bpe_steps WHERE k = (SELECT max(k) FROM bpe_steps)) b USING (word)
+    GROUP BY l.doc_id, l.line_no, l.lang) GROUP BY lang, same""")
 def encode_bpe(spark, sf):
     """Train on all lines, encode all lines, decode again: ``same`` must hold everywhere."""
     merges = s.train_subwords(s.word_counts(t.lines(spark, sf), "line"), BPE_VOCAB)
