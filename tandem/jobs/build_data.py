@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 
 from tandem.operators import subword as s
+from tandem.operators.unigram import unigram_vocabulary
 from tandem.plans.clean import CleanConfig, clean_corpus, stage_counts, with_length_counts
 from tandem.plans.dataset import DatasetConfig, learn_subwords, shards_of, trimmed_pieces
 from tandem.plans.intake import checked_bitext
@@ -23,6 +24,7 @@ def main(argv: list[str] | None = None) -> None:
     cli.add_argument("--pairs", help="text file of comma-separated wanted pairs; every found pair if absent")
     cli.add_argument("--histogram", help="Parquet of lang, ch, keep; computed from the text if absent")
     cli.add_argument("--vocab-size", type=int, default=s.VOCAB_SIZE)
+    cli.add_argument("--subwords", choices=["bpe", "unigram"], default=DatasetConfig.mode)
     cli.add_argument("--shards", type=int, default=DatasetConfig.n_shards)
     cli.add_argument("--min-lines", type=int, default=DatasetConfig.min_lines)
     cli.add_argument("--sample", type=int, help="random sentences the subwords are learned from; all if absent")
@@ -37,14 +39,20 @@ def main(argv: list[str] | None = None) -> None:
     cfg = CleanConfig(seed=args.seed)
     sinks.write_bitext(clean_corpus(raw, cfg, histogram), f"{args.out}/clean")
     clean = spark.read.parquet(f"{args.out}/clean")
-    merges = learn_subwords(clean, args.vocab_size, args.sample, args.seed)
-    spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges, 1)], "rank int, left string, right string").write.mode(
-        "overwrite").parquet(f"{args.out}/merges")
-    data = DatasetConfig(n_shards=args.shards, min_lines=args.min_lines, seed=args.seed)
-    pieces = trimmed_pieces(clean, merges, data)
+    learned = learn_subwords(clean, args.vocab_size, args.sample, args.seed, args.subwords)
+    dictionary = None
+    if args.subwords == "unigram":
+        vocabulary = unigram_vocabulary(spark, learned)
+        vocabulary.write.mode("overwrite").parquet(f"{args.out}/vocabulary")
+        dictionary = s.build_dictionary(vocabulary)
+    else:
+        ranked = [(i, a, b) for i, (a, b) in enumerate(learned, 1)]
+        spark.createDataFrame(ranked, "rank int, left string, right string").write.mode("overwrite").parquet(f"{args.out}/merges")
+    data = DatasetConfig(mode=args.subwords, n_shards=args.shards, min_lines=args.min_lines, seed=args.seed)
+    pieces = trimmed_pieces(clean, learned, data)
     counts = with_length_counts(stage_counts(raw, cfg, histogram), pieces)
     counts.write.mode("overwrite").parquet(f"{args.out}/counts")
-    sinks.write_shards(shards_of(pieces, None, args.vocab_size, data), f"{args.out}/shards")
+    sinks.write_shards(shards_of(pieces, dictionary, args.vocab_size, data), f"{args.out}/shards")
 
 
 if __name__ == "__main__":

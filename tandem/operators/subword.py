@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tandem.fixed_values import EOS, SPECIALS, UNK, VOCABULARY_SPECIALS, WORD_MARK
 from tandem.functions.text import char_pieces, decode_pieces, word_pieces, words
+from tandem.operators.unigram import UnigramModel, unigram_pieces
 from tandem.session import discard, shared_folder
 
 VOCAB_SIZE = 160_000
@@ -169,7 +170,8 @@ def _pair_changes(words: DataFrame, merges: list[tuple[str, str]], done: int) ->
                 for pair in {**was, **now}:
                     if now[pair] != was[pair]:
                         rows.append((*pair, word, cnt, (now[pair] - was[pair]) * cnt, now[pair] > 0))
-            yield pd.DataFrame(rows, columns=["left", "right", "word", "cnt", "delta", "held"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["left", "right", "word", "cnt", "delta", "held"])
 
     return words.select("word", "cnt").mapInPandas(change, CHANGE)
 
@@ -273,8 +275,12 @@ def bpe_pieces(df: DataFrame, col: str, merges: list[tuple[str, str]], name: str
     return df.withColumn(name, encode(F.col(col)))
 
 
-def encode_pieces(df: DataFrame, cols: dict[str, str], mode: str = "word", merges: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Add pieces for each ``text column -> piece column``; mode ``word``, ``char`` or ``bpe``."""
+def encode_pieces(df: DataFrame, cols: dict[str, str], mode: str = "word", merges: list[tuple[str, str]] | UnigramModel | None = None) -> DataFrame:
+    """Add pieces for each ``text column -> piece column``; mode ``word``, ``char``, ``bpe`` with its merges or ``unigram`` with its model."""
+    if mode == "unigram":
+        for text, pieces in cols.items():
+            df = unigram_pieces(df, text, merges, pieces)
+        return df
     if mode == "bpe":
         for text, pieces in cols.items():
             df = bpe_pieces(df, text, merges or [], pieces)

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from tandem.operators import cleaning as c
 from tandem.operators import corpus as d
 from tandem.operators import subword as s
+from tandem.operators import unigram as u
 from tandem.session import staged
 
+Subwords = list[tuple[str, str]] | u.UnigramModel
+
 
 @dataclass(frozen=True)
 class DatasetConfig:
@@ -23,27 +26,28 @@ class DatasetConfig:
     seed: int = 1
 
 
-def learn_subwords(bitext: DataFrame, vocab_size: int = s.VOCAB_SIZE, sample: int | None = None, seed: int = 1) -> list[tuple[str, str]]:
-    """Merges from each language's text with the hub; from that many random sentences if ``sample`` is given."""
+def learn_subwords(bitext: DataFrame, vocab_size: int = s.VOCAB_SIZE, sample: int | None = None, seed: int = 1, mode: str = "bpe") -> Subwords:
+    """Merges or a unigram model from each language's text with the hub; from that many random sentences if ``sample`` is given."""
     mono = d.mono_corpus(bitext)
     if sample is not None:
         mono = d.sample_exact(mono, sample, seed, ("lang", "pair", "line_no"))
-    return s.train_subwords(s.word_counts(mono), vocab_size)
+    counts = s.word_counts(mono)
+    return u.train_unigram(counts, vocab_size) if mode == "unigram" else s.train_subwords(counts, vocab_size)
 
 
-def encode_and_trim(bitext: DataFrame, merges: list[tuple[str, str]] | None, cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
+def encode_and_trim(bitext: DataFrame, merges: Subwords | None, cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
     """Pieces of both sides, then the length and ratio filters: no shuffle."""
     df = s.encode_pieces(bitext, {"src": "src_pieces", "tgt": "tgt_pieces"}, cfg.mode, merges)
     return c.filter_ratio(c.filter_length(df, cfg.min_pieces, cfg.max_pieces), cfg.ratio)
 
 
-def training_shards(bitext: DataFrame, merges: list[tuple[str, str]] | None, dictionary: DataFrame | None = None,
+def training_shards(bitext: DataFrame, merges: Subwords | None, dictionary: DataFrame | None = None,
                     vocab_size: int = s.VOCAB_SIZE, cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
     """``shard, pair, line_no, src_ids, tgt_ids``: every shard holds every pair, in random chunks."""
     return shards_of(trimmed_pieces(bitext, merges, cfg), dictionary, vocab_size, cfg)
 
 
-def trimmed_pieces(bitext: DataFrame, merges: list[tuple[str, str]] | None, cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
+def trimmed_pieces(bitext: DataFrame, merges: Subwords | None, cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
     """Pieces within the limits, written once: vocabulary, counts and numbering read them again."""
     return staged(encode_and_trim(bitext, merges, cfg).drop("src", "tgt"), "pieces")
 
@@ -58,7 +62,7 @@ def shards_of(pieces: DataFrame, dictionary: DataFrame | None = None, vocab_size
     return d.fill_shards(ids, cfg.n_shards).select("shard", "pair", "line_no", "src_ids", "tgt_ids")
 
 
-def validation_shards(texts: DataFrame, directions: DataFrame, merges: list[tuple[str, str]] | None, dictionary: DataFrame,
+def validation_shards(texts: DataFrame, directions: DataFrame, merges: Subwords | None, dictionary: DataFrame,
                       cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
     """The validation set of every direction, whole, in every shard; each text is encoded once."""
     encoded = s.encode_pieces(texts, {"text": "pieces"}, cfg.mode, merges)

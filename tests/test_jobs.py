@@ -34,6 +34,20 @@ def test_build_data_end_to_end(spark, tmp_path):
     assert all(r["src_ids"][-1] == 2 and 3 not in r["src_ids"] for r in shards.collect())
 
 
+def test_build_data_with_unigram_pieces(spark, tmp_path):
+    folder = tmp_path / "in" / "de-en"
+    folder.mkdir(parents=True)
+    for lang in ("de", "en"):
+        (folder / f"de-en.{lang}").write_text("".join(f"the house {lang} number {i}\n" for i in range(30)), encoding="utf-8")
+    out = str(tmp_path / "out")
+    build_data.main(["--bitext", str(tmp_path / "in/*/*"), "--out", out, "--vocab-size", "40", "--shards", "2", "--min-lines", "20", "--subwords", "unigram"])
+    vocabulary = {r["rank"]: r["token"] for r in spark.read.parquet(f"{out}/vocabulary").collect()}
+    assert sorted(vocabulary) == list(range(1, 41))
+    lines = {(r["line_no"]): "".join(vocabulary[i] for i in r["src_ids"][:-1]) for r in spark.read.parquet(f"{out}/shards").where("shard = 0").collect()}
+    texts = {r["line_no"]: "".join("▁" + w for w in r["src"].split()) for r in spark.read.parquet(f"{out}/clean").collect()}
+    assert lines and all(texts[k] == v for k, v in lines.items())
+
+
 def test_evaluate_end_to_end(spark, tmp_path):
     for pair, hyp in (("en-de", "eins zwei drei vier"), ("de-fr", "quelque chose d' autre ici")):
         lines = [f"S-{i}\t__{pair[-2:]}__ one two\nT-{i}\teins zwei drei vier\nH-{i}\t-0.1\t{hyp}" for i in (1, 0)]

@@ -9,6 +9,7 @@ from tandem.operators import cleaning as c
 from tandem.operators import corpus as d
 from tandem.operators import subword as s
 from tandem.operators import tokens as k
+from tandem.operators import unigram as u
 from tandem.session import shared_folder, staged
 from tandem.sources import sinks
 from workload import tables as t
@@ -122,6 +123,28 @@ def encode_bpe(spark, sf):
     return df.groupBy("lang", "same").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("p")).alias("pieces"))
 
 
+UNIGRAM_VOCAB, UNIGRAM_SEED = 1_000, 20_000
+
+
+def unigram_model(spark, sf):
+    return u.train_unigram(s.word_counts(t.lines(spark, sf), "line"), UNIGRAM_VOCAB, UNIGRAM_SEED)
+
+
+@query("unigram_vocab")
+def unigram_vocab(spark, sf):
+    """No SQL: forward and backward sums over all segmentations; the tests enumerate them."""
+    return u.unigram_vocabulary(spark, unigram_model(spark, sf)).select("rank", "token", t.r6(F.col("score")).alias("score"))
+
+
+@query("encode_unigram")
+def encode_unigram(spark, sf):
+    """Train on all lines, encode all lines, decode again: ``same`` must hold everywhere."""
+    df = s.encode_pieces(t.lines(spark, sf), {"line": "p"}, "unigram", unigram_model(spark, sf))
+    plain = F.array_join(F.filter(F.split("line", " "), lambda w: w != ""), " ")
+    df = s.decode(df, "p", "back").withColumn("same", F.col("back") == plain)
+    return df.groupBy("lang", "same").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("p")).alias("pieces"))
+
+
 VOCAB = t.VOCAB
 view("dictionary", f"""
   SELECT token, 1 AS cnt, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS token_id FROM (
