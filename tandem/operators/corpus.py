@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +152,96 @@ def token_batches(df: DataFrame, max_tokens: int = 12_000, max_sents: int | None
     return indexed.withColumn("batch", F.floor(F.col("_idx") / rows).cast("long")).drop("_idx")
 
 
+@dataclass(frozen=True)
+class _Stretch:
+    """Sequences of one length, ``low`` to ``high - 1`` in their order: every ``size`` of them are a batch, the first of which is ``first``."""
+
+    length: int
+    low: int
+    high: int
+    first: int
+    size: int
+
+
+def batch_plan(lengths: list[tuple[int, int]], max_tokens: int, max_sents: int, multiple: int = 1) -> list[_Stretch]:
+    """Where batches begin when sequences in length order fill them one after the other, from ``length, count`` alone.
+
+    A batch takes sequences while their number times the longest stays within ``max_tokens`` and their number within
+    ``max_sents``; if there are ``multiple`` or more, it keeps the largest multiple of that, and the rest opens the next batch.
+    The last batch keeps all it has. A sequence longer than ``max_tokens`` is a batch of its own.
+
+    While a batch stays among sequences of one length its size depends on that length only, so all such batches are one
+    stretch; only batches that cross to longer sequences are followed one by one. The work and the plan are bounded by the number of lengths times
+    ``max_sents``, not by the number of sequences.
+    """
+    def most(length: int) -> int:
+        return min(max_sents, max_tokens // length) if length else max_sents
+
+    lengths = sorted(lengths)
+    starts = [0]
+    for _, n in lengths:
+        starts.append(starts[-1] + n)
+    total, plan = starts[-1], []
+    at = batch = k = 0
+    while at < total:
+        while starts[k + 1] <= at:
+            k += 1
+        length, end = lengths[k][0], starts[k + 1]
+        full = max(1, most(length))
+        size = full - full % multiple if full >= multiple else full
+        # the batch after these is decided within this length too: it is known to be full before the length ends
+        inside = max(0, (end - at - full - 1) // size + 1) if end - at > full else 0
+        if inside:
+            plan.append(_Stretch(length, at - starts[k], at - starts[k] + inside * size, batch, size))
+            at, batch = at + inside * size, batch + inside
+            continue
+        took, j = 0, k
+        while j < len(lengths) and took < max_sents:
+            room = max(0, most(lengths[j][0]) - took) if took else max(1, most(lengths[j][0]))
+            have = starts[j + 1] - max(at, starts[j])
+            took += min(room, have)
+            if room < have:
+                break
+            j += 1
+        if at + took < total and took >= multiple:
+            took -= took % multiple
+        j, left = k, took
+        while left:
+            low = max(at, starts[j]) - starts[j]
+            part = min(left, starts[j + 1] - starts[j] - low)
+            plan.append(_Stretch(lengths[j][0], low, low + part, batch, part))
+            left, j = left - part, j + 1
+        at, batch = at + took, batch + 1
+    return plan
+
+
+def sorted_token_batches(df: DataFrame, max_tokens: int = 12_000, max_sents: int = 128, multiple: int = 8, order: tuple[str, ...] = ("pair", "line_no"),
+                         block: Column | None = None, length: Column | None = None) -> DataFrame:
+    """``length, batch``: sequences of the whole set ordered by length, then ``order``, and filled into batches as ``batch_plan`` does.
+
+    Nothing is sorted or summed over the whole set: the counts by length, at most as many as there are lengths, give the
+    plan, and a sequence needs only its number among those of its length, which ``number_rows`` finds block by block. ``block`` must grow with
+    ``order``, which must be unique. ``df`` is read twice.
+
+    Defined results: null ids count as none; an empty sequence costs no tokens; an empty table gives no rows.
+    """
+    if max_tokens < 1 or max_sents < 1 or multiple < 1:
+        raise ValueError("max_tokens, max_sents and multiple are at least 1")
+    size = length if length is not None else F.greatest(F.size("src_ids"), F.size("tgt_ids"))
+    sized = df.withColumn("length", F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("int"))
+    block = block if block is not None else F.concat_ws(SEPARATOR, F.col(order[0]), F.lpad(range_block(F.col(order[-1])).cast("string"), 19, "0"))
+    counts = [(r["length"], r["count"]) for r in sized.groupBy("length").count().collect()]
+    plan = [(s.length, s.low, s.high, s.first, s.size) for s in batch_plan(counts, max_tokens, max_sents, multiple)]
+    starts = df.sparkSession.createDataFrame(plan, "length int, _low long, _high long, _first long, _size long")
+    placed = number_rows(sized, ["length"], list(order), block, "_place", 1)
+    # a length has few stretches, and both numbers are bounded by the longest sequence and the largest batch
+    by_length = starts.groupBy("length").agg(F.collect_list(F.struct("_low", "_high", "_first", "_size")).alias("_plan"))
+    own = F.filter("_plan", lambda s: (F.col("_place") >= s["_low"]) & (F.col("_place") < s["_high"]))[0]
+    found = placed.join(F.broadcast(by_length), "length").withColumn("_own", own)
+    batch = F.col("_own._first") + F.floor((F.col("_place") - F.col("_own._low")) / F.col("_own._size"))
+    return found.withColumn("batch", batch.cast("long")).drop("_plan", "_own", "_place")
+
+
 def worker_slice(df: DataFrame, num_shards: int, shard_id: int) -> DataFrame:
     """The batches of one worker out of ``num_shards``."""
     return df.where(F.pmod("batch", F.lit(num_shards)) == shard_id)

@@ -161,3 +161,50 @@ def test_lookup_keeps_rows_apart(spark):
     assert {r["token"]: r["token_id"] for r in dictionary.collect()} == {"b": 4, "a": 5}
     got = sorted((r["line_no"], r["ids"]) for r in s.binarize(df, dictionary, {"p": "ids"}).collect())
     assert got == [(1, [5, 4, 3, 2]), (2, [2]), (3, [4, 4, 2]), (3, [5, 2]), (4, [2])]
+
+
+def one_at_a_time(lengths, max_tokens, max_sents, multiple):
+    """Batches as lists of places, filled one sequence after the other in length order."""
+    out, batch, lengths = [], [], sorted(lengths)
+    i = 0
+    while i < len(lengths):
+        if batch and ((len(batch) + 1) * lengths[i] > max_tokens or len(batch) == max_sents):
+            keep = len(batch) - len(batch) % multiple if len(batch) >= multiple else len(batch)
+            out.append(batch[:keep])
+            i, batch = batch[0] + keep, []
+            continue
+        batch.append(i)
+        i += 1
+    return out + [batch] if batch else out
+
+
+def test_batch_plan_equals_filling_one_at_a_time():
+    random.seed(11)
+    for _ in range(1500):
+        longest = random.choice([1, 3, 12, 40])
+        lengths = [random.randint(0, longest) for _ in range(random.randint(0, 150))]
+        args = random.choice([8, 30, 100]), random.choice([1, 3, 8, 20]), random.choice([1, 2, 4, 8])
+        found = {}
+        for x in d.batch_plan(list(Counter(lengths).items()), *args):
+            for place in range(x.low, x.high):
+                found[x.length, place] = x.first + (place - x.low) // x.size
+        places = []
+        for n in sorted(lengths):
+            places.append((n, sum(1 for m, _ in places if m == n)))
+        wanted = {places[i]: b for b, batch in enumerate(one_at_a_time(lengths, *args)) for i in batch}
+        assert found == wanted, (lengths, args)
+
+
+def test_plan_is_bounded_by_the_number_of_lengths():
+    plan = d.batch_plan([(n, 10**12) for n in range(1, 257)], 4096, 64, 8)
+    assert len(plan) < 256 * 16
+
+
+def test_sorted_batches_of_odd_rows(spark):
+    rows = [("b", 1, [1] * 5, [1]), ("a", 2, None, None), ("a", 1, [1] * 50, [2]), ("b", 2, [], []), ("a", 3, [1], [1] * 5)]
+    df = spark.createDataFrame(rows, "pair string, line_no long, src_ids array<int>, tgt_ids array<int>").withColumn("batch", F.lit("x"))
+    got = {(r["pair"], r["line_no"]): (r["length"], r["batch"]) for r in d.sorted_token_batches(df, 10, 8, 2).collect()}
+    assert got == {("a", 2): (0, 0), ("b", 2): (0, 0), ("a", 3): (5, 1), ("b", 1): (5, 1), ("a", 1): (50, 2)}
+    assert d.sorted_token_batches(df.limit(0), 10).count() == 0
+    with pytest.raises(ValueError):
+        d.sorted_token_batches(df, 0)

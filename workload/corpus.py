@@ -299,6 +299,25 @@ def token_batches(spark, sf):
     return batched(spark, sf).select("pair", "line_no", "bucket", "batch")
 
 
+# one batch after the other: from each place how many sequences a batch takes, then a walk over the places
+view("by_length", "SELECT pair, line_no, CAST(n AS INTEGER) AS length, row_number() OVER (ORDER BY n, pair, line_no) - 1 AS p FROM (SELECT pair, line_no, greatest(len(src_ids), len(tgt_ids)) AS n FROM token_ids)")
+view("batch_starts", """
+  WITH RECURSIVE taken AS (
+    SELECT a.p, greatest(CAST(count(*) FILTER (WHERE (a.p + k + 1 - a.p) * b.length <= 1000) AS BIGINT), 1) AS m
+    FROM by_length a, (SELECT unnest(range(32)) AS k) ks, by_length b WHERE b.p = a.p + k GROUP BY a.p),
+  step AS (SELECT p, CASE WHEN p + m < (SELECT count(*) FROM by_length) AND m >= 8 THEN m - m % 8 ELSE m END AS m FROM taken),
+  walk AS (SELECT CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS p WHERE EXISTS (FROM by_length) UNION ALL
+    SELECT batch + 1, walk.p + m FROM walk JOIN step USING (p) WHERE walk.p + m < (SELECT count(*) FROM by_length))
+  SELECT * FROM walk""")
+
+
+@query("sorted_token_batches", "SELECT pair, line_no, length, batch FROM by_length ASOF JOIN batch_starts ON by_length.p >= batch_starts.p")
+def sorted_token_batches(spark, sf):
+    ids = staged(token_ids(spark, sf).select("pair", "line_no", F.size("src_ids").alias("n_src"), F.size("tgt_ids").alias("n_tgt")), "lengths")
+    found = d.sorted_token_batches(ids, 1000, 32, 8, length=F.greatest("n_src", "n_tgt"))
+    return found.select("pair", "line_no", "length", "batch")
+
+
 @query("worker_slice", "SELECT pair, line_no, bucket, batch FROM batched WHERE batch % 4 = 1")
 def worker_slice(spark, sf):
     return d.worker_slice(batched(spark, sf), 4, 1).select("pair", "line_no", "bucket", "batch")
