@@ -5,37 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.operators.numbering import number_rows
-from tandem.session import shared_folder
+from tandem.sources.numbered import numbered_text
 
 _PAIR_FILE = r"([A-Za-z_]+)-([A-Za-z_]+)\.([A-Za-z_]+)(?:\.[a-z0-9]+)?$"
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], staging: str | None = None) -> DataFrame:
-    """``path, line_no, value`` with the 1-based line number inside each file.
-
-    The splits of a file are read in parallel, so a line only knows its place in
-    its split. The scan is written once as Parquet below ``staging`` (a folder all
-    executors share): the two passes of the numbering then see the same splits, and
-    later stages read columns instead of text. A split is cut further by position,
-    so that a compressed file, which is a single split, is not one sort group.
-    """
-    staging = staging or shared_folder(spark, "lines")
-    (spark.read.text(path)
-     .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
-             F.monotonically_increasing_id().alias("seq"), "value")
-     .write.mode("overwrite").parquet(staging))
-    lines = spark.read.parquet(staging)
-    block = F.struct("split", F.shiftright("seq", 20).alias("part"))
-    numbered = number_rows(lines, ["path"], ["seq"], block, "line_no", 1)
-    return numbered.select("path", (F.col("line_no") + 1).alias("line_no"), "value")
-
-
 def read_bitext(spark: SparkSession, src_path: str, tgt_path: str, pair: str) -> DataFrame:
     """Two line-aligned files as ``pair, src_lang, tgt_lang, line_no, src, tgt``; stops at the shorter."""
     src_lang, tgt_lang = pair.split("-")
-    src = numbered_lines(spark, src_path).select("line_no", F.col("value").alias("src"))
-    tgt = numbered_lines(spark, tgt_path).select("line_no", F.col("value").alias("tgt"))
+    src = numbered_text(spark, src_path).select("line_no", F.col("value").alias("src"))
+    tgt = numbered_text(spark, tgt_path).select("line_no", F.col("value").alias("tgt"))
     return align_sides(
         src.withColumn("pair", F.lit(pair)), tgt.withColumn("pair", F.lit(pair))
     ).select("pair", F.lit(src_lang).alias("src_lang"), F.lit(tgt_lang).alias("tgt_lang"), "line_no", "src", "tgt")
@@ -43,7 +22,7 @@ def read_bitext(spark: SparkSession, src_path: str, tgt_path: str, pair: str) ->
 
 def read_sides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Both sides of every ``{src}-{tgt}.{lang}`` file below a glob, in one scan over all pairs."""
-    lines = numbered_lines(spark, path).select(*_file_names(F.col("path")), "line_no", "value")
+    lines = numbered_text(spark, path).select(*_file_names(F.col("path")), "line_no", "value")
     src = lines.where(F.col("lang") == F.col("src_lang")).select("pair", "src_lang", "tgt_lang", "line_no", F.col("value").alias("src"))
     return src, lines.where(F.col("lang") == F.col("tgt_lang")).select("pair", "line_no", F.col("value").alias("tgt"))
 
@@ -69,7 +48,7 @@ def align_sides(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
 def read_parallel_set(spark: SparkSession, path: str) -> DataFrame:
     """``{split}.{lang}`` files of an N-way parallel set as ``split, sent_id, lang, text``."""
-    lines = numbered_lines(spark, path)
+    lines = numbered_text(spark, path)
     name = r"([^/.]+)\.([^/.]+)$"
     return lines.select(
         F.regexp_extract("path", name, 1).alias("split"), F.col("line_no").alias("sent_id"),
@@ -90,7 +69,7 @@ def read_pair_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_generation_log(spark: SparkSession, path: str) -> DataFrame:
     """``pair, line_no, line`` of ``{src}-{tgt}.raw.txt`` logs."""
-    return numbered_lines(spark, path).select(
+    return numbered_text(spark, path).select(
         F.regexp_extract("path", r"([^/]+)\.raw\.txt$", 1).alias("pair"), "line_no", F.col("value").alias("line")
     )
 
@@ -98,7 +77,7 @@ def read_generation_log(spark: SparkSession, path: str) -> DataFrame:
 def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
     """``checkpoint, metric, line_no, line`` of ``{checkpoint}.{metric}`` logs."""
     name = r"([^/]+)\.([a-z]+)$"
-    return numbered_lines(spark, path).select(
+    return numbered_text(spark, path).select(
         F.regexp_extract("path", name, 1).alias("checkpoint"), F.regexp_extract("path", name, 2).alias("metric"),
         "line_no", F.col("value").alias("line"),
     )

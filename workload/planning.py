@@ -265,13 +265,40 @@ def text_roundtrip(spark, sf):
     """Source sides written as text files and read back with line numbers, in the order of the part files."""
     path = shared_folder(spark, "sides")
     sinks.write_side_text(t.bitext(spark, sf), "src", path)
-    lines = txt.numbered_lines(spark, path).withColumn("pair", F.regexp_extract("path", "pair=([^/]+)/", 1))
+    lines = txt.numbered_text(spark, path).withColumn("pair", F.regexp_extract("path", "pair=([^/]+)/", 1))
     files = lines.groupBy("pair", "path").agg(F.max("line_no").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("pair").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = files.withColumn("_before", before).select("pair", "path", "_before")
     return lines.join(offsets, ["pair", "path"]).select("pair", (F.col("line_no") + F.col("_before")).alias("line_no"), F.col("value").alias("src"))
 
 
+def _in_files(df, group, order, name):
+    """Numbered rows of a group, cut into files of bounded size: ``file, ord`` and the columns; the part is the number in the file's name."""
+    rows = number_rows(df, [group], [order], range_block(F.col(order)), "ord")
+    part = range_block(F.col("ord"), t.FILE_LINES).cast("string")
+    return rows.withColumn("file", name(part))
+
+
+@query("parallel_set_read", "SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY sent_id) AS sent_id, text FROM parallel_set")
+def parallel_set_read(spark, sf):
+    """The parallel set as files of one language each, read back with line numbers."""
+    root = shared_folder(spark, "parallel-set")
+    files = _in_files(t.parallel_set(spark, sf), "lang", "sent_id", lambda part: F.concat(part, F.lit("."), F.col("lang")))
+    t.write_files(files.withColumnRenamed("text", "line"), root)
+    first = F.col("split").cast("long") * t.FILE_LINES
+    return txt.read_parallel_set(spark, f"{root}/*").select("lang", (F.col("sent_id") + first).alias("sent_id"), "text")
+
+
+@query("generation_log_read", "SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY line_no) AS line_no, line FROM gen_log")
+def generation_log_read(spark, sf):
+    """Generation logs as files by direction, read back with line numbers."""
+    root = shared_folder(spark, "logs")
+    t.write_files(_in_files(t.gen_log(spark, sf), "pair", "line_no", lambda part: F.concat_ws(".", "pair", part, F.lit("raw"), F.lit("txt"))), root)
+    name = F.split("pair", "[.]")
+    return txt.read_generation_log(spark, f"{root}/*").select(
+        name[0].alias("pair"), (F.col("line_no") + name[1].cast("long") * t.FILE_LINES).alias("line_no"), "line")
+
+
 @query("archive_lines", "SELECT pair || '.' || lang AS member, line_no, line FROM (SELECT pair, src_lang AS lang, row_number() OVER (PARTITION BY pair ORDER BY line_no) AS line_no, src AS line FROM bitext UNION ALL SELECT pair, tgt_lang, row_number() OVER (PARTITION BY pair ORDER BY line_no), tgt FROM bitext)")
 def archive_lines(spark, sf):
     """Bitext packed into zip archives by the tasks and read back; a pair spans archives of bounded size."""

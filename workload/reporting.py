@@ -8,7 +8,7 @@ from tandem.fixed_values import METRIC_KEYS
 from tandem.operators import planning as p
 from tandem.operators import report as r
 from tandem.session import shared_folder
-from tandem.sources import sinks
+from tandem.sources import sinks, text as txt
 from workload import tables as t
 from workload.registry import query, view
 
@@ -44,6 +44,20 @@ def metric_log_parse(spark, sf):
     return r.parse_metric_log(metric_log(spark, sf), keys=METRIC_KEYS)
 
 
+@query("metric_log_read", """
+  SELECT 'c1' AS checkpoint, metric, row_number() OVER (PARTITION BY metric ORDER BY src_lang, tgt_lang, k) AS line_no,
+         CASE k WHEN 0 THEN src_lang || '-' || tgt_lang ELSE '"score": ' || n || '.25, "signature": y' END AS line
+  FROM grid, (SELECT unnest([0, 1]) AS k)""")
+def metric_log_read(spark, sf):
+    """Metric logs as files by checkpoint and metric, as long as there are directions, read back with line numbers."""
+    root = shared_folder(spark, "metric-logs")
+    pair = F.concat_ws("-", F.col("src_lang").cast("string"), F.col("tgt_lang").cast("string"))
+    score = F.concat(F.lit('"score": '), F.col("n").cast("string"), F.lit('.25, "signature": y'))
+    rows = t.grid(spark, sf).select(F.concat(F.lit("c1."), F.col("metric")).alias("file"), "src_lang", "tgt_lang", F.posexplode(F.array(pair, score)).alias("k", "line"))
+    t.write_files(rows.select("file", ((F.col("src_lang") * 1000 + F.col("tgt_lang")) * 2 + F.col("k")).alias("ord"), "line"), root)
+    return txt.read_metric_log(spark, f"{root}/*")
+
+
 view("matrix", """
   SELECT metric, d.src_lang, d.tgt_lang, coalesce(score, 0) AS score, score IS NULL AS missing
   FROM (SELECT src_lang, tgt_lang, unnest(['spbleu', 'chrf']) AS metric FROM all_directions) d

@@ -40,6 +40,27 @@ def r6(col: Column) -> Column:
     return F.floor(col * 1e6 + 0.5) / 1e6
 
 
+#: Lines of a text file the queries write.
+FILE_LINES = 1 << 16
+
+
+def write_files(df: DataFrame, root: str) -> None:
+    """The lines of each ``file`` in the order of ``ord``, as one text file below ``root``; a file is written by one task and must be of bounded size."""
+
+    def write(key, rows):
+        import pandas as pd
+        from pyarrow import fs
+
+        filesystem, inner = fs.FileSystem.from_uri(root)
+        filesystem.create_dir(inner, recursive=True)
+        with filesystem.open_output_stream(f"{inner}/{key[0]}") as out:
+            for line in rows.sort_values("ord")["line"]:
+                out.write(line.encode() + b"\n")
+        return pd.DataFrame({"file": [key[0]]})
+
+    df.select("file", "ord", "line").groupBy("file").applyInPandas(write, "file string").write.format("noop").mode("overwrite").save()
+
+
 def join_ints(col: Column) -> Column:
     return F.array_join(F.transform(col, lambda x: x.cast("string")), " ")
 
