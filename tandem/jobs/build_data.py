@@ -1,6 +1,6 @@
 """Check and clean bitext files, learn subwords and write training shards.
 
-spark-submit -m tandem.jobs.build_data --bitext 'in/*/*' --out out [--histogram hist.parquet]
+spark-submit -m tandem.jobs.build_data --bitext 'in/*/*' (or --archives 'zips/*.zip') --out out [--histogram hist.parquet]
 """
 
 from __future__ import annotations
@@ -14,12 +14,15 @@ from tandem.plans.dataset import DatasetConfig, learn_subwords, shards_of, trimm
 from tandem.plans.intake import checked_bitext
 from tandem.session import build_session, staged
 from tandem.sources import sinks
+from tandem.sources.archive import read_archive_bitext
 from tandem.sources.text import read_pair_list, read_sides
 
 
 def main(argv: list[str] | None = None) -> None:
     cli = argparse.ArgumentParser()
-    cli.add_argument("--bitext", required=True, help="glob of {src}-{tgt}.{lang} files")
+    source = cli.add_mutually_exclusive_group(required=True)
+    source.add_argument("--bitext", help="glob of {src}-{tgt}.{lang} files")
+    source.add_argument("--archives", help="glob of {src}-{tgt}.zip archives")
     cli.add_argument("--out", required=True)
     cli.add_argument("--pairs", help="text file of comma-separated wanted pairs; every found pair if absent")
     cli.add_argument("--histogram", help="Parquet of lang, ch, keep; computed from the text if absent")
@@ -32,7 +35,10 @@ def main(argv: list[str] | None = None) -> None:
     args = cli.parse_args(argv)
     spark = build_session("build-data")
     wanted = read_pair_list(spark, args.pairs) if args.pairs else None
-    raw, failed = checked_bitext(*read_sides(spark, args.bitext), wanted)
+    if args.archives:
+        raw, failed = read_archive_bitext(spark, args.archives, wanted)
+    else:
+        raw, failed = checked_bitext(*read_sides(spark, args.bitext), wanted)
     failed.write.mode("overwrite").parquet(f"{args.out}/failed")
     raw = staged(raw, "checked")
     histogram = spark.read.schema("lang string, ch string, keep boolean").parquet(args.histogram) if args.histogram else None

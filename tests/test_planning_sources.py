@@ -84,6 +84,32 @@ def test_archive_drops_other_members(spark, tmp_path):
         ("N.x-y.x", 1, "1"), ("N.x-y.x", 2, "2"), ("N.x-y.x", 3, "3"), ("N.x-y.y", 1, "eins"), ("N.x-y.y", 2, "zwei")]
 
 
+def test_archives_as_bitext(spark, tmp_path):
+    def pack(name, members):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            for member, body in members.items():
+                z.writestr(member, body)
+
+    pack("a-b.zip", {"S.a-b.a": "1\r\n2\n3", "S.a-b.b": "x\ny\n\n", "S.a-b.scores": "0\n", "README": "r"})
+    pack("c-a.txt.zip", {"S.c-a.c": "é\n", "S.c-a.a": "e\n"})
+    pack("a-d.zip", {"S.a-d.a": "1\n2\n", "S.a-d.d": "1\n"})
+    pack("a-e.zip", {"S.a-e.a": "1\n"})
+    (tmp_path / "a-f.zip").write_bytes(b"no archive")
+    pack("a-g.zip", {"S.a-g.a": "", "S.a-g.g": ""})
+    pack("a-h.zip", {"x.a": "1\n", "x.h": "1\n"})
+    pack("a-h.txt.zip", {"x.a": "1\n", "x.h": "1\n"})
+    pairs = ["a-b", "a-c", "a-d", "a-e", "a-f", "a-g", "a-h", "a-i", "a-ns"]
+    wanted = spark.createDataFrame([(x, *x.split("-")) for x in pairs], "pair string, src_lang string, tgt_lang string")
+    rows, failed = archive.read_archive_bitext(spark, str(tmp_path / "*.zip"), wanted, batch_rows=2)
+    assert sorted(tuple(r) for r in rows.collect()) == [
+        ("a-b", "a", "b", 1, "1", "x"), ("a-b", "a", "b", 2, "2", "y"), ("a-b", "a", "b", 3, "3", ""), ("a-c", "a", "c", 1, "e", "é")]
+    assert {r["pair"]: r["reason"] for r in failed.collect()} == {
+        "a-d": "line counts differ", "a-e": "member missing", "a-f": "cannot be unpacked", "a-h": "several archives", "a-i": "source missing"}
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    every, _ = archive.read_archive_bitext(spark, str(tmp_path / "*.zip"))
+    assert sorted(r["pair"] for r in every.select("pair").distinct().collect()) == ["a-b", "c-a"]
+
+
 def test_sources_are_resolved_and_checked(spark):
     wanted = spark.createDataFrame([("a-b", "a", "b"), ("a-c", "a", "c"), ("a-d", "a", "d"), ("a-ns", "a", "ns")], "pair string, src_lang string, tgt_lang string")
     available = spark.createDataFrame([("a-b", "1"), ("c-a", "2")], "pair string, path string")

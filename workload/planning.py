@@ -9,7 +9,7 @@ from tandem import fixed_values as fv
 from tandem.operators import pairing, planning as p
 from tandem.operators.numbering import number_rows, range_block
 from tandem.plans.intake import checked_bitext
-from tandem.session import shared_folder
+from tandem.session import shared_folder, staged
 from tandem.sources import archive, sinks, text as txt
 from workload import tables as t
 from workload.registry import query, view
@@ -311,7 +311,61 @@ def archive_lines(spark, sf):
     return lines.select("member", (F.col("line_no") + part * ARCHIVE_LINES).alias("line_no"), "line")
 
 
+@query("archive_bitext", """
+  SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY line_no) AS line_no, src, tgt FROM bitext WHERE pair NOT IN ('en-fr', 'es-fr')
+  UNION ALL SELECT DISTINCT pair, -1, 'line counts differ', NULL FROM bitext WHERE pair = 'en-fr'
+  UNION ALL SELECT DISTINCT pair, -1, 'source missing', NULL FROM bitext WHERE pair = 'es-fr'""")
+def archive_bitext(spark, sf):
+    """Archives read as bitext: de-es is packed the other way round, en-fr has lost a line, es-fr is missing; a letter behind the codes numbers the parts."""
+    root = shared_folder(spark, "pair-archives")
+    packed = number_rows(t.bitext(spark, sf), ["pair"], ["line_no"], range_block(F.col("line_no")))
+    packed = staged(packed.withColumn("part", range_block(F.col("row_idx"), ARCHIVE_LINES)), "packed")
+    packed.where("pair <> 'es-fr'").groupBy("pair", "part").applyInPandas(_pair_zip_writer(root), "path string").write.format("noop").mode("overwrite").save()
+    mark = F.translate(F.col("part").cast("string"), "0123456789", PART_LETTERS)
+    wanted = packed.groupBy("src_lang", "tgt_lang", "part").count().select(
+        F.concat("src_lang", mark).alias("src_lang"), F.concat("tgt_lang", mark).alias("tgt_lang"),
+        F.concat("src_lang", mark, F.lit("-"), "tgt_lang", mark).alias("pair"))
+    rows, failed = archive.read_archive_bitext(spark, f"{root}/*.zip", wanted)
+    plain = F.regexp_replace("pair", f"[{PART_LETTERS}]", "")
+    part = F.translate(F.regexp_extract("pair", f"([{PART_LETTERS}]+)-", 1), PART_LETTERS, "0123456789").cast("long")
+    rows = rows.select(plain.alias("pair"), (F.col("line_no") + part * ARCHIVE_LINES).alias("line_no"), "src", "tgt")
+    lost = failed.select(plain.alias("pair"), F.lit(-1).cast("long").alias("line_no"), F.col("reason").alias("src"), F.lit(None).cast("string").alias("tgt"))
+    return rows.union(lost.distinct())
+
+
 ARCHIVE_LINES = 1 << 16
+PART_LETTERS = "ABCDEFGHIJ"
+
+
+def _pair_zip_writer(root: str):
+    def write(key, rows):
+        import io
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        pair, part = key
+        mark = "".join(PART_LETTERS[int(x)] for x in str(part))
+        langs = [f"{x}{mark}" for x in pair.split("-")]
+        rows = rows.sort_values("row_idx")
+        texts = dict(zip(langs, (list(rows["src"]), list(rows["tgt"]))))
+        if pair == "en-fr":
+            texts[langs[1]].pop()
+        name = "-".join(langs[::-1] if pair == "de-es" else langs)
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as out:
+            for lang, lines in texts.items():
+                out.writestr(f"set.{name}.{lang}", "".join(line + "\n" for line in lines))
+            out.writestr(f"set.{name}.scores", "0\n")
+        filesystem, folder = fs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
+        filesystem.create_dir(folder, recursive=True)
+        with filesystem.open_output_stream(f"{folder}/{name}.txt.zip") as sink:
+            sink.write(data.getvalue())
+        return pd.DataFrame({"path": [name]})
+
+    return write
+
 
 
 def _zip_writer(root: str):
