@@ -1,49 +1,68 @@
 """Score generation logs and write the scores and the overview table.
 
 spark-submit -m tandem.jobs.evaluate --logs 'results/ck/*.raw.txt' --checkpoint ck --out out [--detokenize] [--swap-roles]
+spark-submit -m tandem.jobs.evaluate --arrivals results --out out
 """
 
 from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem import fixed_values as fv
 from tandem.operators import planning as p
 from tandem.operators import report as r
 from tandem.plans.evaluate import aligned, direction_scores, overview
-from tandem.session import build_session
+from tandem.session import build_session, staged
 from tandem.sources import sinks
 from tandem.sources.text import read_generation_log
+from tandem.streaming.arrivals import read_committed, score_arrivals
 
 
 def main(argv: list[str] | None = None) -> None:
     cli = argparse.ArgumentParser()
-    cli.add_argument("--logs", required=True)
-    cli.add_argument("--checkpoint", required=True)
+    source = cli.add_mutually_exclusive_group(required=True)
+    source.add_argument("--logs", help="glob of the {src}-{tgt}.raw.txt logs of --checkpoint")
+    source.add_argument("--arrivals", help="folder of {checkpoint}/{src}-{tgt}.raw.txt; only logs not scored before are")
+    cli.add_argument("--checkpoint", help="with --logs")
     cli.add_argument("--out", required=True)
     cli.add_argument("--detokenize", action="store_true")
     cli.add_argument("--swap-roles", action="store_true")
     cli.add_argument("--merges", help="Parquet of rank, left, right; words are scored if absent")
     args = cli.parse_args(argv)
+    if args.logs and not args.checkpoint:
+        cli.error("--logs needs --checkpoint")
     spark = build_session("evaluate")
     merges = None
     if args.merges:
         table = spark.read.schema("rank int, left string, right string").parquet(args.merges)
         # bounded by the vocabulary size
         merges = [(m["left"], m["right"]) for m in table.orderBy("rank").collect()]
-    rows = aligned(read_generation_log(spark, args.logs), args.detokenize)
-    scores = direction_scores(rows, merges, args.swap_roles)
-    sinks.append_results(scores.withColumn("checkpoint", F.lit(args.checkpoint)), f"{args.out}/scores")
-    stored = sinks.read_results(spark, f"{args.out}/scores")
-    stored = stored.where(F.col("checkpoint") == args.checkpoint).drop("checkpoint")
+    if args.arrivals:
+        score_arrivals(spark, args.arrivals, f"{args.out}/scores", f"{args.out}/state", merges, args.detokenize, args.swap_roles)
+        stored = read_committed(spark, f"{args.out}/scores")
+    else:
+        rows = aligned(read_generation_log(spark, args.logs), args.detokenize)
+        scores = direction_scores(rows, merges, args.swap_roles)
+        sinks.append_results(scores.withColumn("checkpoint", F.lit(args.checkpoint)), f"{args.out}/scores")
+        stored = sinks.read_results(spark, f"{args.out}/scores").where(F.col("checkpoint") == args.checkpoint)
+    stored = staged(stored, "scores")
+    # one row per checkpoint
+    for row in stored.select("checkpoint").distinct().orderBy("checkpoint").collect():
+        export_report(stored.where(F.col("checkpoint") == row["checkpoint"]).drop("checkpoint"), args.out, row["checkpoint"])
+
+
+def export_report(scores: DataFrame, out: str, checkpoint: str) -> None:
+    """The overview bar and the score matrix of one checkpoint."""
+    spark = scores.sparkSession
     dim = p.language_dim(spark, fv.LANGUAGE_FAMILIES, fv.BRIDGES, fv.HUB)
     families = list(fv.LANGUAGE_FAMILIES)
-    bar = overview(stored, dim, p.extra_pairs(spark, fv.EXTRA_PAIRS), families, families[0])
-    sinks.export_matrix(bar, f"{args.out}/overview/{args.checkpoint}")
+    bar = overview(scores, dim, p.extra_pairs(spark, fv.EXTRA_PAIRS), families, families[0])
+    sinks.export_matrix(bar, f"{out}/overview/{checkpoint}")
     langs = [x for group in fv.LANGUAGE_FAMILIES.values() for x in group]
-    sinks.export_matrix(r.score_matrix(r.dense_matrix(stored, dim), langs), f"{args.out}/matrix/{args.checkpoint}")
+    sinks.export_matrix(r.score_matrix(r.dense_matrix(scores, dim), langs), f"{out}/matrix/{checkpoint}")
 
 
 if __name__ == "__main__":
