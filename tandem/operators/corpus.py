@@ -116,21 +116,43 @@ def temperature_weights(df: DataFrame, temperature: float = 1.0) -> DataFrame:
     return counts.withColumn("_raw", raw).select("pair", "n", (F.col("_raw") / F.sum("_raw").over(every)).alias("weight"))
 
 
-def unit_hash(seed: int, *cols: str) -> Column:
-    """Uniform number in [0, 1) from the first 8 hex digits of an md5."""
-    digest = F.md5(F.concat_ws(SEPARATOR, F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+def exact_shares(weights: DataFrame, budget: int) -> DataFrame:
+    """``pair, n, share``: the budget cut into whole numbers that add up to it; what rounding down leaves goes to the largest remainders, then by pair."""
+    # over one row per pair
+    every = Window.partitionBy()
+    wanted = F.col("weight") * F.lit(float(budget))
+    floored = weights.withColumn("_whole", F.floor(wanted + 1e-9)).withColumn("_rest", F.round(wanted - F.col("_whole"), 9))
+    left = F.lit(budget) - F.sum("_whole").over(every)
+    place = F.row_number().over(Window.orderBy(F.desc("_rest"), "pair"))
+    return floored.select("pair", "n", (F.col("_whole") + (place <= left).cast("long")).alias("share"))
 
 
 def temperature_sample(df: DataFrame, weights: DataFrame, budget: int, seed: int = 1) -> DataFrame:
-    """Repeat or thin each pair to its share of ``budget``: the expected copies per row
-    are split into a whole part and a fraction decided by the row's own hash."""
-    rate = weights.select("pair", (F.col("weight") * F.lit(float(budget)) / F.col("n")).alias("_rate"))
-    drawn = df.join(F.broadcast(rate), "pair").withColumn("_u", unit_hash(seed, "pair", "line_no"))
-    whole = F.floor("_rate")
-    copies = (whole + F.when(F.col("_u") < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
-    drawn = drawn.withColumn("_copies", copies).where("_copies > 0")
-    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_rate", "_u", "_copies")
+    """Repeat or thin each pair to exactly its share of ``budget``; ``copy`` numbers the copies of a row.
+
+    Every row is taken as often as its pair's rows go into the share, and those with the smallest hashes once more until the share is
+    full. Which hash is the last one is found without sorting a pair: rows are counted by pair and the first four digits of the
+    hash, and only the rows of the one prefix in which the share ends are put in order. ``df`` is read three times, twice only its
+    ``pair`` and ``line_no``, which must be unique together; the plan has one row per pair. A pair without weight is left out.
+    """
+    key = F.md5(F.concat_ws(SEPARATOR, F.lit(str(seed)), F.col("pair"), F.col("line_no").cast("string")))
+    shares = exact_shares(weights, budget).select(
+        "pair", F.expr("share div n").alias("_copies"), (F.col("share") % F.col("n")).alias("_more"))
+    keyed = df.select("pair", "line_no", key.alias("_key")).withColumn("_prefix", hash_block(F.col("_key")))
+    counts = keyed.groupBy("pair", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    # over at most 65,536 prefixes of a pair
+    before = F.sum("_n").over(Window.partitionBy("pair").orderBy("_prefix")) - F.col("_n")
+    ends = counts.withColumn("_before", before).join(F.broadcast(shares), "pair").where("_before < _more AND _more <= _before + _n")
+    ends = ends.select("pair", "_prefix", (F.col("_more") - F.col("_before")).alias("_place"))
+    at_end = keyed.join(F.broadcast(ends), ["pair", "_prefix"])
+    place = F.row_number().over(Window.partitionBy("pair").orderBy("_key", "line_no"))
+    last = at_end.withColumn("_nr", place).where("_nr = _place").select("pair", F.struct("_key", "line_no").alias("_last"))
+    plan = staged(shares.join(last, "pair", "left"), "mixing-plan")
+    drawn = df.join(F.broadcast(plan), "pair")
+    once_more = F.coalesce(F.struct(key.alias("_key"), "line_no") <= F.col("_last"), F.lit(False))
+    times = (F.col("_copies") + once_more.cast("long")).cast("int")
+    drawn = drawn.withColumn("_times", times).where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return drawn.drop("_copies", "_more", "_last", "_times")
 
 
 # Batches ---------------------------------------------------------------------------------------

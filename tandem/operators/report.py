@@ -5,6 +5,10 @@ All tables here are dimensions: languages, directions, metrics, checkpoints.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,20 +198,97 @@ def last_k(df: DataFrame, k: int = 5) -> DataFrame:
     return numbered.orderBy(F.desc("update_no"), "name").limit(k)
 
 
-def vector_blocks(df: DataFrame, vector: str = "params", size: int = 1 << 16) -> DataFrame:
-    """``block`` and that part of the vector: with ``block`` among the keys a mean never gathers more than ``size`` elements in a row.
+def vector_blocks(df: DataFrame, vector: str = "params", size: int = 1 << 16, name: str = "block") -> DataFrame:
+    """``block`` (or another ``name``) and that part of the vector: with ``block`` among the keys a mean never gathers more than ``size`` elements in a row.
 
     A null or empty vector has no blocks.
     """
     last = F.floor((F.size(vector) - 1) / size).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("block"), F.slice(vector, i * size + 1, F.lit(size)).alias("_part")))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias(name), F.slice(vector, i * size + 1, F.lit(size)).alias("_part")))
     rest = [c for c in df.columns if c != vector]
     return df.where(F.size(vector) > 0).select(*rest, F.inline(blocks)).withColumnRenamed("_part", vector)
 
 
+def _block_sums(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each element as a number, zero where it is null, and whether it counts."""
+    return values.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False), values.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _grown(buffer: np.ndarray, size: int) -> np.ndarray:
+    return buffer if len(buffer) >= size else np.concatenate([buffer, np.zeros(size - len(buffer), buffer.dtype)])
+
+
+def _add(held: dict, key: tuple, sums: np.ndarray, counts: np.ndarray) -> None:
+    if key not in held:
+        held[key] = [sums.copy(), counts.copy()]
+        return
+    for own, more in zip((0, 1), (sums, counts)):
+        grown = held[key][own] = _grown(held[key][own], len(more))
+        grown[: len(more)] += more
+
+
+def average_blocks(df: DataFrame, keys: list[str], vector: str = "params", size: int = 1 << 16, held_elements: int = 1 << 22,
+                   name: str = "block") -> DataFrame:
+    """Element-wise means per group, ``size`` elements a row: ``keys, block`` and that part of the mean.
+
+    A task adds the parts of its vectors in numpy buffers and hands on one row per key and block, at the latest when it holds ``held_elements``; the
+    partial sums of a block then meet sorted, and are added as they come. So no element is a row of its own, and no task holds more than its buffers or one
+    block, however long a vector is and however many there are of a key.
+
+    Null elements do not count, and a place no vector of the group fills is null; shorter vectors count where they are; a null or empty vector has no blocks.
+    """
+    cut = vector_blocks(df.select(*keys, vector), vector, size, name)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    names = [*keys, name]
+
+    def rows(held: dict, schema: list[pa.DataType], closing: bool) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in held], kind) for i, kind in enumerate(schema)]
+        if closing:
+            ((sums, counts),) = held.values()
+            mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(mean)], pa.int32()), mean)], names=[*names, vector])
+        sums, counts = (pa.array([x[i].tobytes() for x in held.values()], pa.binary()) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([*columns, sums, counts], names=[*names, "_sums", "_counts"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        schema: list[pa.DataType] = []
+        elements = 0
+        for batch in batches:
+            schema = [batch.schema.field(i).type for i in range(len(names))]
+            places = list(zip(*(batch.column(i).to_pylist() for i in range(len(names)))))
+            for row, key in enumerate(places):
+                part = batch.column(len(names))[row].values
+                elements += len(part) if key not in held else 0
+                _add(held, key, *_block_sums(part))
+                if elements >= held_elements:
+                    yield rows(held, schema, False)
+                    held, elements = {}, 0
+        if held:
+            yield rows(held, schema, False)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        schema: list[pa.DataType] = []
+        for batch in batches:
+            schema = [batch.schema.field(i).type for i in range(len(names))]
+            places = list(zip(*(batch.column(i).to_pylist() for i in range(len(names)))))
+            for row, key in enumerate(places):
+                if held and key not in held:
+                    yield rows(held, schema, True)
+                    held = {}
+                sums, counts = (np.frombuffer(batch.column(len(names) + i)[row].as_py(), kind) for i, kind in ((0, np.float64), (1, np.int64)))
+                _add(held, key, sums, counts)
+        if held:
+            yield rows(held, schema, True)
+
+    summed = cut.select(*names, vector).mapInArrow(partial, f"{kinds}, `{name}` int, _sums binary, _counts binary")
+    sorted_ = summed.repartition(*names).sortWithinPartitions(*names)
+    return sorted_.mapInArrow(total, f"{kinds}, `{name}` int, `{vector}` array<double>")
+
+
 def average_vectors(df: DataFrame, keys: list[str], vector: str = "params") -> DataFrame:
-    """Element-wise mean of arrays per group, summed by position with partial aggregation."""
-    elements = df.select(*keys, F.posexplode(vector).alias("_pos", "_value"))
-    means = elements.groupBy(*keys, "_pos").agg(F.avg(F.col("_value").cast("double")).alias("_mean"))
-    rows = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_mean"))).alias("_v"))
-    return rows.select(*keys, F.transform("_v", lambda x: x["_mean"]).alias(vector))
+    """Element-wise mean of arrays per group as one row a group; for vectors that do not fit into one, ``average_blocks``."""
+    blocks = average_blocks(df, keys, vector, name="_block")
+    rows = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", vector))).alias("_v"))
+    return rows.select(*keys, F.flatten(F.transform("_v", lambda x: x[vector])).alias(vector))

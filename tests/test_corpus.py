@@ -44,7 +44,24 @@ def test_temperature(spark):
     w5 = {r["pair"]: r["weight"] for r in d.temperature_weights(df, 5).collect()}
     assert w1 == pytest.approx({"big": 0.9, "small": 0.1}) and w5 == pytest.approx({"big": 0.608, "small": 0.392}, abs=1e-3)
     drawn = Counter(r["pair"] for r in d.temperature_sample(df, d.temperature_weights(df, 5), 1000).collect())
-    assert drawn["small"] == pytest.approx(392, abs=40) and drawn["big"] == pytest.approx(608, abs=60)
+    assert drawn == {"small": 392, "big": 608}
+
+
+@pytest.mark.parametrize("budget", [0, 1, 7, 50, 333, 1000, 5003])
+def test_the_budget_is_drawn_exactly(spark, budget):
+    sizes = {"big": 700, "mid": 31, "one": 1, "two": 2}
+    df = numbered(spark, sizes)
+    weights = d.temperature_weights(df, 3)
+    shares = {r["pair"]: r["share"] for r in d.exact_shares(weights, budget).collect()}
+    assert sum(shares.values()) == budget and all(abs(shares[r["pair"]] - r["weight"] * budget) < 1 for r in weights.collect())
+    rows = sorted((r["pair"], r["line_no"], r["copy"]) for r in d.temperature_sample(df, weights, budget, seed=9).collect())
+    wanted = []
+    for pair, n in sizes.items():
+        order = sorted(range(1, n + 1), key=lambda i: (hashlib.md5(f"9\x01{pair}\x01{i}".encode()).hexdigest(), i))
+        for place, i in enumerate(order):
+            wanted += [(pair, i, k) for k in range(1, shares[pair] // n + (place < shares[pair] % n) + 1)]
+    assert rows == sorted(wanted)
+    assert d.temperature_sample(df.limit(0), weights, budget).count() == 0
 
 
 def test_batches_stay_in_budget(spark):

@@ -3,6 +3,7 @@ import string
 from collections import Counter
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,38 @@ def test_vectors_by_block(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0, 3.0, 4.0, 5.0]), ("a", [3.0, 2.0, 1.0, 0.0, 1.0]), ("b", []), ("b", None)], "k string, params array<double>")
     blocks = rep.average_vectors(rep.vector_blocks(df, size=2), ["k", "block"])
     assert {(r["k"], r["block"]): r["params"] for r in blocks.collect()} == {("a", 0): [2.0, 2.0], ("a", 1): [2.0, 2.0], ("a", 2): [3.0]}
+
+
+@pytest.mark.parametrize("size,held", [(2, 1), (3, 5), (1 << 16, 1 << 22)])
+def test_mean_blocks_against_plain_means(spark, size, held):
+    rng = np.random.default_rng(size)
+    rows = [(k, None if k % 3 else "x", [None if rng.random() < 0.2 else float(v) for v in rng.normal(size=rng.integers(0, 12))]) for k in [0, 1, 2, 3] * 9]
+    rows += [(None, "x", [1.0]), (None, "x", [2.0]), (5, "x", None)]
+    df = spark.createDataFrame(rows, "k long, l string, params array<double>").repartition(5)
+    wanted = {}
+    for k, l, v in rows:
+        for i, x in enumerate(v or []):
+            cell = wanted.setdefault((k, l), {}).setdefault(i, [])
+            if x is not None:
+                cell.append(x)
+    got = {}
+    for r in rep.average_blocks(df, ["k", "l"], size=size, held_elements=held).collect():
+        assert len(r["params"]) <= size
+        got.setdefault((r["k"], r["l"]), {}).update({r["block"] * size + i: x for i, x in enumerate(r["params"])})
+    assert {k: set(v) for k, v in got.items()} == {k: set(v) for k, v in wanted.items()}
+    for k, cells in wanted.items():
+        for i, xs in cells.items():
+            assert got[k][i] is None if not xs else got[k][i] == pytest.approx(sum(xs) / len(xs))
+    assert rep.average_blocks(df.limit(0), ["k", "l"]).count() == 0
+
+
+def test_long_vectors_stay_in_blocks(spark):
+    """Two vectors of ten million elements: no element is a row, and the mean comes in blocks."""
+    long = spark.range(2).selectExpr("'m' AS k", "transform(sequence(1, 10000000), x -> CAST(x AS DOUBLE) * (id + 1)) AS params")
+    found = rep.average_blocks(long, ["k"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Exchange hashpartitioning") == 1
+    sums = found.selectExpr("block", "size(params) AS n", "params[0] AS first", "aggregate(params, 0D, (a, x) -> a + x) AS s").collect()
+    assert sum(r["n"] for r in sums) == 10_000_000 and len(sums) == 153
+    assert sum(r["s"] for r in sums) == pytest.approx(1.5 * 10_000_000 * 10_000_001 / 2)
+    assert all(r["first"] == 1.5 * (r["block"] * 65_536 + 1) for r in sums)

@@ -271,12 +271,17 @@ def temperature_weights(spark, sf):
     return d.temperature_weights(t.bitext(spark, sf), 5).select("pair", "n", t.r6(F.col("weight")).alias("weight"))
 
 
+view("shares", """
+  SELECT pair, n, w + CASE WHEN row_number() OVER (ORDER BY rest DESC, pair) <= 5000 - sum(w) OVER () THEN 1 ELSE 0 END AS share
+  FROM (SELECT pair, n, floor(weight * 5000.0 + 1e-9) AS w, round(weight * 5000.0 - floor(weight * 5000.0 + 1e-9), 9) AS rest FROM weights)""")
+
+
 @query("temperature_sample", """
   SELECT pair, line_no, CAST(copy AS INTEGER) AS copy FROM (
-    SELECT pair, line_no, unnest(range(1, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) + 1)) AS copy FROM (
-      SELECT pair, line_no, weight * 5000.0 / n AS rate,
-             CAST('0x' || substr(md5('1' || chr(1) || pair || chr(1) || line_no), 1, 8) AS BIGINT) / 4294967296.0 AS u
-      FROM bitext JOIN weights USING (pair)))""")
+    SELECT pair, line_no, unnest(range(1, CAST(share // n + CASE WHEN nr <= share % n THEN 1 ELSE 0 END AS BIGINT) + 1)) AS copy FROM (
+      SELECT pair, line_no, n, CAST(share AS BIGINT) AS share,
+             row_number() OVER (PARTITION BY pair ORDER BY md5('1' || chr(1) || pair || chr(1) || line_no), line_no) AS nr
+      FROM bitext JOIN shares USING (pair)))""")
 def temperature_sample(spark, sf):
     texts = t.bitext(spark, sf)
     return d.temperature_sample(texts, d.temperature_weights(texts, 5), 5000).select("pair", "line_no", "copy")
