@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,13 +61,52 @@ def shuffle_positions(df: DataFrame, seed: int = 1) -> DataFrame:
 # Character histograms -----------------------------------------------------------------------
 
 
+#: Counts a task holds before it hands them on: far more than an alphabet has characters.
+HELD_COUNTS = 1 << 20
+
+
+def char_counts(df: DataFrame, by: tuple[str, ...] = ("lang",), text: str = "text") -> DataFrame:
+    """``ch, cnt`` per group: each task counts the code points of its texts and hands on one row per group and character, not one per occurrence.
+
+    A null or empty text has no characters.
+    """
+    names = [*by, "ch"]
+
+    def rows(held: dict[tuple, Counter], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        found = [(*key, chr(point), n) for key, counts in held.items() for point, n in counts.items()]
+        columns = list(zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [*kinds, pa.string(), pa.int64()])], names=[*names, "cnt"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Counter] = {}
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(len(by))]
+            groups: dict[tuple, list[str]] = {}
+            for *key, value in zip(*(batch.column(i).to_pylist() for i in range(len(by) + 1))):
+                if value:
+                    groups.setdefault(tuple(key), []).append(value)
+            for key, texts in groups.items():
+                points = np.bincount(np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4"))
+                found = np.flatnonzero(points)
+                held.setdefault(key, Counter()).update(dict(zip(found.tolist(), points[found].tolist())))
+            if sum(map(len, held.values())) > HELD_COUNTS:
+                yield rows(held, kinds)
+                held = {}
+        if held:
+            yield rows(held, kinds)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
+    counted = df.select(*by, text).mapInArrow(count, f"{schema}, ch string, cnt long")
+    return counted.groupBy(*names).agg(F.sum("cnt").alias("cnt"))
+
+
 def build_char_histogram(df: DataFrame, coverage: float = 0.99, by: tuple[str, ...] = ("lang",), text: str = "text") -> DataFrame:
     """``ch, cnt, cum_share, keep`` per language; kept characters make up the first ``coverage`` of the text.
 
-    Counted with partial aggregation; the window then runs over distinct characters.
+    Counted inside the tasks; the window then runs over distinct characters.
     """
-    exploded = df.select(*by, F.explode(F.split(text, "")).alias("ch")).where("ch <> ''")
-    counts = exploded.groupBy(*by, "ch").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = char_counts(df, by, text)
     whole = Window.partitionBy(*by)
     ranked = whole.orderBy(F.desc("cnt"), "ch")
     running = F.sum("cnt").over(ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,15 @@ def test_detokenize_rules(spark):
     df = spark.createDataFrame(cases, "t string, lang string, want string")
     for row in df.select("want", detokenize(F.col("t"), F.col("lang")).alias("got")).collect():
         assert row["got"] == row["want"]
+
+
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_char_counts_against_counter(spark, monkeypatch, held):
+    monkeypatch.setattr(c, "HELD_COUNTS", held)
+    rng = random.Random(held)
+    letters = ["a", "b", "é", "漢", "\U0001f600", " ", "\n", "e\u0301", "\x00"]
+    rows = [(rng.choice(["x", "y", None]), "".join(rng.choices(letters, k=rng.randrange(30)))) for _ in range(300)] + [("x", None), ("z", ""), ("y", "a" * 200_000)]
+    df = spark.createDataFrame(rows, "lang string, text string").withColumn("ch", F.lit("taken")).repartition(4)
+    wanted = Counter((lang, ch) for lang, text in rows for ch in text or "")
+    assert {(r["lang"], r["ch"]): r["cnt"] for r in c.char_counts(df).collect()} == wanted
+    assert c.char_counts(df.limit(0)).count() == 0
