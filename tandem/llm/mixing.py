@@ -95,14 +95,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats:
     search runs on a written table of ids, hashes and sizes; nothing is sorted and no text is shuffled.
 
     Defined results: a null text has no words; a null source is a source, the last one; empty texts are
-    taken as their hash says and weigh nothing; equal rows are taken alike; an empty table gives an
+    taken as their hash says, at most ``repeats`` times, and weigh nothing; equal rows are taken alike; an empty table gives an
     empty mix; columns of the input named like results are not read.
     """
     sized = sized_documents(docs.select(*dict.fromkeys(["doc_id", "text", "source"])))
     narrow = staged(sized.select("_key", "_place", "size", "doc_id"), "mix-sizes")
     plan = staged(thresholds(narrow, source_targets(narrow, weights, repeats)), "mix-plan")
     rows = narrow if keep == ("doc_id",) else sized_documents(docs.select(*dict.fromkeys([*keep, "doc_id", "text", "source"])))
-    times = F.col("_times") + F.when(F.col("_place") < F.col("_until"), 1).otherwise(0)
+    # a source at its limit has nothing left for one more turn, so its documents without words get none either
+    times = F.least(F.col("_times") + F.when(F.col("_place") < F.col("_until"), 1).otherwise(0), F.lit(repeats))
     mixed = rows.join(plan, "_key").withColumn("times", times.cast("long"))
     return mixed.select(*keep, "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
@@ -131,6 +132,6 @@ filled AS (
   SELECT k, place, words, coalesce(sum(words) OVER (PARTITION BY k ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM alike),
 taken AS (SELECT k, place, before + words / 2 <= target - times * source_size AS once_more FROM filled JOIN repeated USING (k))
-SELECT doc_id, size, source_size, target, times + once_more::INT AS times, size * (times + once_more::INT) AS taken
+SELECT doc_id, size, source_size, target, least(times + once_more::INT, 3) AS times, size * least(times + once_more::INT, 3) AS taken
 FROM sized JOIN repeated USING (k) JOIN taken USING (k, place)
 """

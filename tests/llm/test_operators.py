@@ -64,6 +64,15 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_repeats_no_empty_document_a_fourth_time(spark):
+    # the large source has weight 2 or 1 next to small ones, which stop at three times their words
+    rows = [(i, "a b c", "a") for i in range(9)] + [(100 + i, "", "a") for i in range(40)] + [(200 + i, "x " * 50, "b") for i in range(200)]
+    rows += [(900 + i, None if i % 2 else " ", "no words") for i in range(5)]
+    mixed = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["times"] for r in mixed if r["doc_id"] < 100} == {3} == {r["times"] for r in mixed if 100 <= r["doc_id"] < 200}
+    assert all(r["times"] <= 3 for r in mixed) and len(mixed) == len(rows)
+
+
 def test_mixing_reaches_targets(spark):
     docs = _real(spark)
     for exact in (1, 4096):
