@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from tandem.llm.quality import calibrate
 from tandem.llm.tables import held_out_fold, labelled_sample, trained
 
 #: Words of a window and from one window to the next, sizes of the network, and its hash tables.
-WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, HASH_BITS = 64, 48, 8, 8, 8, 12
+WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, HASH_BITS = 64, 32, 8, 8, 8, 12
 #: Bounds of the labelled sample, and the score from which on a text is toxic.
 SAMPLE_ROWS, SAMPLE_CHARS, TOXIC_FROM = 4_000, 8_000_000, 0.3
 EPOCHS, BATCH, RATE, SEED = 12, 256, 0.01, 4
@@ -48,8 +47,7 @@ def _hash(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def read_words(texts: list[bytes]) -> Words:
-    """Every byte of a word opens a trigram with its neighbours; the word's frame, a space on each side, counts as such.
-    A word said several times in a row is one word: it says no more than once, and no window is a single word over and over."""
+    """Every byte of a word opens a trigram with its neighbours; the word's frame, a space on each side, counts as such."""
     buffer = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8).astype(np.uint64)
     inside = buffer != 32
     place = np.flatnonzero(inside)
@@ -62,14 +60,7 @@ def read_words(texts: list[bytes]) -> Words:
     spread = (since * np.uint64(2) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
     word = np.add.reduceat(buffer[place] * (spread ^ spread >> np.uint64(31)), first)
     starts = np.searchsorted(place[first], ends)
-    sizes = np.diff(np.append(first, len(place)))
-    new = np.ones(len(word), bool)
-    new[1:] = (word[1:] != word[:-1]) | (sizes[1:] != sizes[:-1])
-    new[starts[:-1][starts[:-1] < len(word)]] = True
-    sizes, trigram = sizes * new, trigram[np.repeat(new, sizes)]
-    sizes = sizes[new]
-    text_starts = np.concatenate([[0], np.cumsum(new)])[starts]
-    return Words(_hash(word[new], HASH_BITS), _hash(trigram + np.uint64(1), HASH_BITS), np.cumsum(sizes) - sizes, text_starts)
+    return Words(_hash(word, HASH_BITS), _hash(trigram + np.uint64(1), HASH_BITS), first, starts)
 
 
 def windows_of(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,7 +256,7 @@ def window_parts(folded: bytes) -> Iterator[bytes]:
     if len(folded) <= _CHUNK_BYTES:
         yield folded
         return
-    words = [word for word, _ in groupby(folded.split())]
+    words = folded.split()
     step = _PART_WINDOWS * STRIDE
     for at in range(0, max(1, len(words) - (WINDOW - STRIDE)), step):
         yield b" ".join(words[at : at + step + WINDOW - STRIDE])

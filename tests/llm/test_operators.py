@@ -324,9 +324,67 @@ def test_toxicity_gradient():
         assert abs((ends[0] - ends[1]) / 0.02 - g[at]) < 1e-3
 
 
+def _slow_logit(network, text):
+    """Highest logit of all windows, word by word and gate by gate: every word as it stands, a window every 32 of them."""
+    p, mod, bits, size = network.p, 1 << 64, toxicity.HASH_BITS, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def hashed(x):
+        x = x * 0x9E3779B97F4A7C15 % mod
+        return ((x ^ x >> 29) * 0xD6E8FEB86659FD93 % mod) >> (64 - bits)
+
+    def vector(word):
+        spread = [(2 * i + 1) * 0xC2B2AE3D27D4EB4F % mod for i in range(len(word))]
+        code = hashed(sum(b * (s ^ s >> 31) for b, s in zip(word, spread)) % mod)
+        framed = b" " + word + b" "
+        grams = [p["chars"][hashed((framed[i] << 16 | framed[i + 1] << 8 | framed[i + 2]) + 1)] for i in range(len(word))]
+        return np.concatenate([p["words"][code], np.mean(grams, 0)])
+
+    def states(vectors, way):
+        h, out = np.zeros(size), []
+        for x in vectors:
+            a, u = x @ p["W" + way] + p["b" + way], h @ p["U" + way]
+            r, z = sigmoid(a[:size] + u[:size]), sigmoid(a[size : 2 * size] + u[size : 2 * size])
+            n = np.tanh(a[2 * size :] + r * u[2 * size :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    words = [vector(w) for w in text.translate(toxicity._FOLD).split()]
+    best, at = -np.inf, 0
+    while True:
+        window = words[at : at + 64]
+        if not window:
+            return max(best, float(p["bias"][0]))
+        both = np.array([np.concatenate(x) for x in zip(states(window, "f"), states(window[::-1], "b")[::-1])])
+        weight = np.exp(both @ p["att"] - (both @ p["att"]).max())
+        best = max(best, float((weight / weight.sum()) @ both @ p["out"] + p["bias"][0]))
+        if at + 64 >= len(words):
+            return best
+        at += 32
+
+
+def test_toxicity_scores_against_plain_loops():
+    network, rng = toxicity.Network(3), np.random.default_rng(3)
+    network.p["bias"][:] = 0.25
+    vocabulary = ["a", "b", "You", "idiot", "Stra\u00dfe", "\u6f22\u5b57", "it's", "x" * 40]
+    texts = ["", " \n", "one", "a " * 64, "a " * 65, "a " * 200, "b b a a a b " * 30]
+    texts += [" ".join(rng.choice(vocabulary, n)) for n in (3, 63, 64, 65, 96, 97, 128, 129, 300)]
+    texts = [t.encode() for t in texts]
+    got = toxicity.ToxicityModel(network).logits(iter(texts))
+    assert np.allclose(got, [_slow_logit(network, t) for t in texts], atol=1e-4)
+
+
+@pytest.mark.parametrize("size", [1, 10, 32])
+def test_toxicity_every_passage_lies_whole_in_a_window(size):
+    for n in (size, 64, 65, 95, 96, 97, 500):
+        _, first, length = toxicity.windows_of(np.array([0, n]))
+        assert all(((first <= i) & (first + length >= i + size)).any() for i in range(n - size + 1))
+
+
 def test_toxicity_windows_cover_long_texts(monkeypatch):
     model = toxicity.ToxicityModel(toxicity.Network(2))
-    text = " ".join(f"w{i % 977}" for i in range(3000)).encode()
+    text = " ".join(f"w{i % 977}" for i in range(3000)).encode() + b" same" * 700
     whole = model.logits(iter([b"", text, b"hello"]))
     monkeypatch.setattr(toxicity, "_CHUNK_BYTES", 2000)
     monkeypatch.setattr(toxicity, "_PART_WINDOWS", 4)
