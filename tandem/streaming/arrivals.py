@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.operators.report import skip_measured
-from tandem.plans.evaluate import aligned, direction_scores
+from tandem.plans.evaluate import Detector, SegmentScorer, aligned, direction_scores
 from tandem.session import staged
 from tandem.sources.text import read_generation_log
 
@@ -42,7 +42,8 @@ def read_committed(spark: SparkSession, path: str, but: str | None = None) -> Da
 
 
 def score_arrivals(spark: SparkSession, folder: str, out: str, state: str, merges: list[tuple[str, str]] | None = None, detokenized: bool = False,
-                   swap_roles: bool = False, files_per_batch: int = 1_000, after_write: Callable[[str], None] | None = None) -> int:
+                   swap_roles: bool = False, files_per_batch: int = 1_000, after_write: Callable[[str], None] | None = None,
+                   scorer: SegmentScorer | None = None, detector: Detector | None = None) -> int:
     """Score the logs ``{folder}/{checkpoint}/{src}-{tgt}.raw.txt`` that were not scored before; the number of batches it took.
 
     A file stream that takes what there is and ends: ``state`` remembers which files it has handed out in which batch. A run that dies is
@@ -67,7 +68,7 @@ def score_arrivals(spark: SparkSession, folder: str, out: str, state: str, merge
         if not paths:
             return
         taken.append(batch)
-        rows = [score_checkpoint(spark, name, own, merges, detokenized, swap_roles) for name, own in _by_checkpoint(paths)]
+        rows = [score_checkpoint(spark, name, own, merges, detokenized, swap_roles, scorer, detector) for name, own in _by_checkpoint(paths)]
         found = rows[0]
         for more in rows[1:]:
             found = found.unionByName(more)
@@ -87,7 +88,8 @@ def _by_checkpoint(paths: list[str]) -> list[tuple[str, list[str]]]:
     return sorted(groups.items())
 
 
-def score_checkpoint(spark: SparkSession, checkpoint: str, paths: list[str], merges=None, detokenized: bool = False, swap_roles: bool = False) -> DataFrame:
+def score_checkpoint(spark: SparkSession, checkpoint: str, paths: list[str], merges=None, detokenized: bool = False, swap_roles: bool = False,
+                     scorer: SegmentScorer | None = None, detector: Detector | None = None) -> DataFrame:
     """The scores of one checkpoint's logs, written once: they are small, and the log is read once for them."""
-    scores = direction_scores(aligned(read_generation_log(spark, paths), detokenized), merges, swap_roles)
+    scores = direction_scores(aligned(read_generation_log(spark, paths), detokenized), merges, swap_roles, scorer, detector)
     return staged(scores.withColumn("checkpoint", F.lit(checkpoint)), "scores")

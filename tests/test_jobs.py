@@ -1,5 +1,7 @@
 import csv
 
+import pytest
+
 from tandem.jobs import build_data, evaluate
 from tandem.sources import sinks
 
@@ -63,3 +65,33 @@ def test_evaluate_end_to_end(spark, tmp_path):
     sheet = next((tmp_path / "out/matrix/ck").glob("*.csv"))
     rows = {(x["metric"], x["src_lang"]): x for x in csv.DictReader(sheet.open())}
     assert float(rows["bleu", "en"]["de"]) == 100 and rows["bleu", "en"]["fr"] == ""
+
+
+def test_evaluate_benchmark_with_all_metrics(spark, tmp_path, monkeypatch):
+    """Four metrics and the report by resource class; directions outside what scorer or detector know have no such score."""
+    (tmp_path / "halves.py").write_text(
+        "def load():\n    return 0.5\n\n\ndef score(model, batch):\n    return (batch['hyp'] == batch['ref']) * model\n", encoding="utf-8")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "halves.py"))
+    german, english = "das haus und der baum", "the house and the tree"
+    spark.createDataFrame([("de", german), ("en", english), ("xx", "zz"), (None, "zz")], "lang string, text string").write.parquet(str(tmp_path / "texts"))
+    logs = tmp_path / "results" / "ck"
+    logs.mkdir(parents=True)
+    # two right lines and an English one; a target the detector does not know; a target the scorer does not know
+    for pair, hyps in (("en-de", [german, german, english, english]), ("en-kab", [english] * 4), ("de-mt", [german] * 4)):
+        lines = [f"S-{i}\ts\nT-{i}\t{german}\nH-{i}\t-0.1\t{h}" for i, h in enumerate(hyps)]
+        (logs / f"{pair}.raw.txt").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    wanted = {("comet", "en", "de"): 25.0, ("offtarget", "en", "de"): 50.0}
+    for source in (["--logs", str(logs / "*.raw.txt"), "--checkpoint", "ck"], ["--arrivals", str(tmp_path / "results")]):
+        out = tmp_path / source[0].strip("-")
+        evaluate.main([*source, "--out", str(out), "--scorer", "halves", "--detector-text", str(tmp_path / "texts"), "--benchmark"])
+        sheet = next((out / "matrix/ck").glob("*.csv"))
+        cells = {(x["metric"], x["src_lang"]): x for x in csv.DictReader(sheet.open())}
+        assert len(cells) == 4 * 41 and {k: float(cells[k[:2]][k[2]]) for k in wanted} == wanted
+        assert cells["comet", "en"]["kab"] == cells["offtarget", "en"]["kab"] == cells["comet", "de"]["mt"] == cells["offtarget", "de"]["mt"] == ""
+        assert float(cells["chrf", "de"]["mt"]) == float(cells["bleu", "de"]["mt"]) == 100
+        report = {(x["metric"], x["label"]): x["score"] for x in csv.DictReader(next((out / "benchmark/ck").glob("*.csv")).open())}
+        # en and de are of one class of eleven languages, all of which the scorer knows
+        assert float(report["comet", "hub2m"]) == 25 and float(report["comet", "h2h"]) * 110 == pytest.approx(25)
+        assert float(report["comet", "~2h"]) == pytest.approx(25 / 110 / 4)
+        assert len(report) == 4 * (5 + 16 + 8)

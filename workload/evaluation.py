@@ -9,6 +9,7 @@ from tandem.fixed_values import STRIP_CHARACTERS
 from tandem.functions.text import strip_lang_tag as strip_tag
 from tandem.operators import metrics as m
 from tandem.operators import records as r
+from tandem.plans import evaluate as plan
 from workload import tables as t
 from workload.registry import query, view
 
@@ -255,3 +256,45 @@ def detect_language(spark, sf):
 def offtarget_ratio(spark, sf):
     rows = detected(spark, sf).select(F.col("lang").alias("pair"), F.col("lang").alias("tgt_lang"), "pred_lang")
     return m.offtarget_ratio(rows).withColumn("ratio", t.r6(F.col("ratio")))
+
+
+# All metrics of all directions ------------------------------------------------------------------
+
+view("hyp_chars", f"""
+  SELECT pair, sample_id, tgt_lang, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM (SELECT pair, sample_id, tgt_lang, {_CH.format('hyp')} AS w FROM hr)""")
+view("hyp_grams", """
+  SELECT pair, sample_id, tgt_lang, gram FROM (
+    SELECT pair, sample_id, tgt_lang, c || lead(c, 1) OVER s || lead(c, 2) OVER s AS gram FROM hyp_chars
+    WINDOW s AS (PARTITION BY pair, sample_id ORDER BY i)) WHERE gram IS NOT NULL
+  UNION ALL SELECT pair, sample_id, tgt_lang, '  ' FROM hr WHERE hyp = ''""")
+_UNSEEN = ", ".join(f"CAST(floor(ln(1 / CAST(sum(n_{i}) + count(*) AS DOUBLE)) * 1000000 + 0.5) AS BIGINT) AS u_{i}" for i in range(4))
+view("unseen_gram", f"SELECT {_UNSEEN} FROM gram_counts")
+view("hyp_detected", f"""
+  SELECT pair, sample_id, tgt_lang, {_BEST} AS pred_lang FROM (
+    SELECT pair, sample_id, tgt_lang, {", ".join(f"sum(coalesce(lp_{i}, u_{i})) AS s_{i}" for i in range(4))}
+    FROM hyp_grams LEFT JOIN gram_model USING (gram), unseen_gram GROUP BY ALL)""")
+
+
+@query("direction_scores", f"""
+  SELECT metric, split_part(pair, '-', 1) AS src_lang, split_part(pair, '-', 2) AS tgt_lang, floor(score * 1e6 + 0.5) / 1e6 AS score FROM (
+    SELECT 'bleu' AS metric, pair, 100 * CASE WHEN hyp1 >= ref_len THEN 1.0 ELSE exp(1 - ref_len / CAST(hyp1 AS DOUBLE)) END * exp(({_LOGS}) / 4) AS score
+    FROM (SELECT pair, {_N4}, max(f) FILTER (n = 1) AS ref_len FROM bleu_sums GROUP BY pair)
+    UNION ALL SELECT 'chrf', pair, 500 * p * r / (4 * p + r)
+    FROM (SELECT pair, ({_P}) / 8 AS p, ({_R}) / 8 AS r FROM (SELECT pair, {_N8} FROM chrf_sums GROUP BY pair))
+    UNION ALL SELECT 'comet', pair, avg(length(hyp) / CAST(length(ref) + length(ref) + 1 AS DOUBLE)) * 100 FROM hr
+    WHERE src_lang IN ('de', 'en') AND tgt_lang IN ('de', 'en') GROUP BY pair
+    UNION ALL SELECT 'offtarget', pair, count(*) FILTER (pred_lang <> tgt_lang) / CAST(count(*) AS DOUBLE) * 100 FROM hyp_detected GROUP BY pair)""")
+def direction_scores(spark, sf):
+    """All four metrics; the stand-in scorer knows two languages, the detector all."""
+
+    def load():
+        return 1.0
+
+    def score(model, batch: pd.DataFrame) -> pd.Series:
+        return batch["hyp"].str.len() / (batch["src"].str.len() + batch["ref"].str.len() + model)
+
+    texts = t.lines(spark, sf).select("lang", F.col("line").alias("text"))
+    detector = plan.Detector(m.train_langid(texts, t.LANGS), t.LANGS)
+    rows = t.hr(spark, sf).withColumn("src", F.col("ref"))
+    found = plan.direction_scores(rows, scorer=plan.SegmentScorer(load, score, ["de", "en"]), detector=detector)
+    return found.withColumn("score", t.r6(F.col("score")))

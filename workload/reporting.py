@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tandem.fixed_values import METRIC_KEYS
 from tandem.operators import planning as p
 from tandem.operators import report as r
+from tandem.plans import evaluate as plan
 from tandem.session import shared_folder
 from tandem.sources import sinks, text as txt
 from workload import tables as t
@@ -188,6 +189,21 @@ def class_marginals(spark, sf):
     return r.class_marginals(classed(spark, sf)).withColumn("score", t.r6(F.col("score")))
 
 
+view("hub_means", f"""
+  SELECT metric, {_nz('src_lang = 0')} AS h, {_nz('tgt_lang = 0')} AS m, {_nz('src_lang <> 0 AND tgt_lang <> 0')} AS z, {_nz('true')} AS a FROM matrix GROUP BY metric""")
+
+
+@query("benchmark_report", f"""
+  SELECT metric, label, {s6('score')} AS score FROM (
+    SELECT metric, unnest(['hub2m', 'm2hub', 'supervised', 'zero', 'averaged']) AS label, unnest([h, m, (h + m) / 2, z, a]) AS score FROM hub_means
+    UNION ALL SELECT metric, src_class || '2' || tgt_class, score FROM class_avg
+    UNION ALL SELECT metric, '~2' || tgt_class, sum(score) / 4 FROM class_avg GROUP BY metric, tgt_class
+    UNION ALL SELECT metric, src_class || '2~', sum(score) / 4 FROM class_avg GROUP BY metric, src_class)""")
+def benchmark_report(spark, sf):
+    df = plan.benchmark_report(matrix(spark, sf), 0, t.classes(spark, sf), t.supported(spark, sf))
+    return df.withColumn("score", t.r6(F.col("score")))
+
+
 @query("report_all_metrics", f"SELECT metric, label, n, {s6('score')} AS score FROM all_means")
 def report_all_metrics(spark, sf):
     df = r.report(scores(spark, sf), t.lang_dim(spark, sf), t.extra(spark, sf))
