@@ -45,21 +45,22 @@ def parallel_directions(texts: DataFrame, directions: DataFrame) -> DataFrame:
 def sample_exact(df: DataFrame, n: int, seed: int = 1, key: tuple[str, ...] = ("pair", "line_no")) -> DataFrame:
     """Exactly the ``n`` rows with the smallest hash, for any ``n``.
 
-    A histogram of hash prefixes (65,536 rows at most) tells the prefix where the n-th
-    row lies; that one row comes to the driver. Rows below it are kept by a filter, and
-    only the rows of that prefix are sorted. ``key`` must identify a row.
+    ``df`` is read twice: its key columns for a narrow table of hashes, and whole by the filter at the end. A histogram of
+    hash prefixes (65,536 rows at most) tells the prefix where the n-th row lies; only the hashes of that prefix are put
+    in order, and the n-th one is the limit every row is compared with. ``key`` must identify a row.
     """
+    if n <= 0:
+        return df.where(F.lit(False))
     digest = F.md5(F.concat_ws(SEPARATOR, F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
-    keyed = df.withColumns({"_key": digest, "_prefix": hash_block(digest), "_one": F.lit(0)})
+    hashes = staged(df.select(digest.alias("_key")), "sample-keys").withColumns({"_prefix": hash_block(F.col("_key")), "_one": F.lit(0)})
     start, end = F.col("block_start"), F.col("block_start") + F.col("block_rows")
-    edge = block_starts(keyed, ["_one"], "_prefix").where((start < n) & (end >= n)).first()
+    edge = block_starts(hashes, ["_one"], "_prefix").where((start < n) & (end >= n)).first()
     if edge is None:
-        return df if n > 0 else df.where(F.lit(False))
-    helper = ["_key", "_prefix", "_one"]
-    at_edge = staged(keyed.where(F.col("_prefix") == edge["_prefix"]), "sample-edge")
-    chosen = number_rows(at_edge, ["_prefix"], ["_key"], F.substring("_key", 5, 2), "_pos", 1)
-    chosen = chosen.where(F.col("_pos") < n - edge["block_start"]).drop("_pos")
-    return keyed.where(F.col("_prefix") < edge["_prefix"]).drop(*helper).unionByName(chosen.drop(*helper))
+        return df
+    at_edge = hashes.where(F.col("_prefix") == edge["_prefix"])
+    placed = number_rows(at_edge, ["_prefix"], ["_key"], F.substring("_key", 5, 2), "_pos", 1)
+    limit = placed.where(F.col("_pos") == n - 1 - edge["block_start"]).first()["_key"]
+    return df.where(digest <= limit)
 
 
 # Sharding -----------------------------------------------------------------------------------
@@ -71,18 +72,18 @@ def assign_chunk(df: DataFrame, n_shards: int = N_SHARDS, min_lines: int = MIN_C
     A pair is cut into ``n_shards`` chunks when each would reach ``min_lines``, else
     into chunks of about ``min_lines``; a chunk holds one line more than that size.
     Rows are cut in the order of ``line_no``, or with a ``seed`` in a random order, so that a chunk is a sample of its pair.
+    ``df`` is read twice, once only its keys: the counts that number the rows also tell how many lines a pair has.
     """
-    totals = df.groupBy("pair").agg(F.count(F.lit(1)).alias("_total"))
     per_shard = F.floor(F.col("_total") / n_shards)
     size = F.when(per_shard >= min_lines, per_shard).otherwise(F.lit(min_lines)) + 1
-    sizes = totals.select("pair", size.alias("_size"), F.ceil(F.col("_total") / size).cast("int").alias("n_chunks"))
     if seed is None:
-        indexed = number_rows(df, ["pair"], ["line_no"], range_block(F.col("line_no")))
+        indexed = number_rows(df, ["pair"], ["line_no"], range_block(F.col("line_no")), total="_total")
     else:
         keyed = df.withColumn("_key", shuffle_key(seed, "pair", "line_no"))
-        indexed = number_rows(keyed, ["pair"], ["_key", "line_no"], hash_block(F.col("_key")), levels=1).drop("_key")
-    # one row per pair: a join on the pair itself would gather a large pair in one task
-    return indexed.join(F.broadcast(sizes), "pair").withColumn("chunk", F.floor(F.col("row_idx") / F.col("_size")).cast("int")).drop("_size")
+        indexed = number_rows(keyed, ["pair"], ["_key", "line_no"], hash_block(F.col("_key")), levels=1, total="_total").drop("_key")
+    return indexed.withColumn("_size", size).withColumns({
+        "n_chunks": F.ceil(F.col("_total") / F.col("_size")).cast("int"),
+        "chunk": F.floor(F.col("row_idx") / F.col("_size")).cast("int")}).drop("_size", "_total")
 
 
 def fill_shards(df: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:

@@ -26,7 +26,7 @@ def hash_block(md5_hex: Column, digits: int = 4) -> Column:
 
 
 def block_starts(df: DataFrame, group: list[str], block: str, levels: int = 1) -> DataFrame:
-    """Rows before each block of its group (``block_start``) and in it (``block_rows``).
+    """Rows before each block of its group (``block_start``), in it (``block_rows``) and in the whole group (``group_rows``).
 
     With two ``levels``, numeric blocks are first summed in spans of ``SPAN_BLOCKS``: a
     group whose row numbers have gaps, and therefore many small blocks, is then not
@@ -38,26 +38,30 @@ def block_starts(df: DataFrame, group: list[str], block: str, levels: int = 1) -
         earlier = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(rows).over(earlier), F.lit(0))
 
+    def total(rows: str) -> Column:
+        return F.sum(rows).over(Window.partitionBy(*group))
+
     if levels == 1:
-        return sizes.withColumn("block_start", before("block_rows", group, block))
+        return sizes.select("*", before("block_rows", group, block).alias("block_start"), total("block_rows").alias("group_rows"))
     sizes = sizes.withColumn("_span", F.floor(F.col(block) / SPAN_BLOCKS))
     spans = sizes.groupBy(*group, "_span").agg(F.sum("block_rows").alias("_span_rows"))
-    spans = spans.select(*group, "_span", before("_span_rows", group, "_span").alias("_span_start"))
+    spans = spans.select(*group, "_span", before("_span_rows", group, "_span").alias("_span_start"), total("_span_rows").alias("group_rows"))
     inside = sizes.withColumn("_inside", before("block_rows", [*group, "_span"], block))
     return inside.join(spans, [*group, "_span"]).select(
-        *group, block, "block_rows", (F.col("_span_start") + F.col("_inside")).alias("block_start"))
+        *group, block, "block_rows", (F.col("_span_start") + F.col("_inside")).alias("block_start"), "group_rows")
 
 
 def number_rows(df: DataFrame, group: list[str], order: list[str], block: Column, name: str = "row_idx",
-                levels: int = 2) -> DataFrame:
-    """Add the 0-based position of each row within its group.
+                levels: int = 2, total: str | None = None) -> DataFrame:
+    """Add the 0-based position of each row within its group, and as ``total`` the rows of the group.
 
     ``block`` must grow with ``order``, and ``order`` must be unique in a group.
     ``levels=2`` needs a numeric block. Group columns must not be null. ``df`` is read twice, so it must be
     deterministic; the second read needs only the key columns.
     """
     keyed = df.withColumn("_nr_block", block)
-    starts = block_starts(keyed, group, "_nr_block", levels).withColumnRenamed("block_start", "_nr_start").drop("block_rows")
+    starts = block_starts(keyed, group, "_nr_block", levels).select(
+        *group, "_nr_block", F.col("block_start").alias("_nr_start"), *([F.col("group_rows").alias(total)] if total else []))
     inside = Window.partitionBy(*group, "_nr_block").orderBy(*order)
     return (
         keyed.withColumn("_nr_pos", F.row_number().over(inside) - 1)

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.text import strip_lang_tag, to_base2
+from tandem.operators.numbering import number_rows
 
 _LOADED: dict[str, Any] = {}
+#: Samples of one direction that are put in order in one task.
+LOG_SAMPLES = 1 << 14
 
 
 def apply_model(df: DataFrame, load: Callable[[], Any], predict: Callable[[Any, pd.DataFrame], pd.DataFrame],
@@ -55,13 +58,21 @@ def emit_records(df: DataFrame, score_format: str | None = None) -> DataFrame:
     Input: ``src, tgt`` and ``hyps`` (array of struct ``score, text, detok, positional``
     with base-2 scores, and optionally ``alignment``, ``steps``, ``history``). Scores are
     printed as they are unless ``score_format`` is given; positional scores get 4 decimals.
+    An ``alignment`` of structs ``src, tgt`` is printed as linked positions, one of number arrays
+    as soft alignment: a list of source weights for each target token.
     """
     sid = F.col("sample_id").cast("string")
 
     def score(value):
         return F.format_string(score_format, value) if score_format else value.cast("string")
 
-    fields = {f.name for f in df.schema["hyps"].dataType.elementType.fields}
+    fields = {f.name: f.dataType for f in df.schema["hyps"].dataType.elementType.fields}
+    soft = "alignment" in fields and fields["alignment"].elementType.typeName() == "array"
+
+    def aligned(p):
+        if soft:
+            return F.array_join(F.transform(p, lambda weight: weight.cast("string")), ",")
+        return F.concat_ws("-", p["src"].cast("string"), p["tgt"].cast("string"))
 
     def line(kind, *parts):
         return F.struct(F.lit(kind).alias("kind"), F.concat_ws("\t", F.concat(F.lit(kind + "-"), sid), *parts).alias("line"))
@@ -70,8 +81,7 @@ def emit_records(df: DataFrame, score_format: str | None = None) -> DataFrame:
         positional = F.array_join(F.transform(h["positional"], lambda x: F.format_string("%.4f", x)), " ")
         lines = [line("H", score(h["score"]), h["text"]), line("D", score(h["score"]), h["detok"]), line("P", positional)]
         if "alignment" in fields:
-            lines.append(line("A", F.array_join(F.transform(
-                h["alignment"], lambda p: F.concat_ws("-", p["src"].cast("string"), p["tgt"].cast("string"))), " ")))
+            lines.append(line("A", F.array_join(F.transform(h["alignment"], aligned), " ")))
         if "steps" in fields:
             lines.append(line("I", h["steps"].cast("string")))
         out = F.array(*lines)
@@ -87,6 +97,46 @@ def emit_records(df: DataFrame, score_format: str | None = None) -> DataFrame:
     )
 
 
+def result_string(bleu: DataFrame) -> DataFrame:
+    """``pair, result`` from the counts of ``corpus_bleu``: score, precisions of the orders, brevity, lengths."""
+    orders = [n for n in range(1, 10) if f"match{n}" in bleu.columns]
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    precision = [F.format_string("%.1f", part(100.0 * F.col(f"match{n}"), F.col(f"hyp{n}"))) for n in orders]
+    sys_len, ref_len = F.col("sys_len"), F.col("ref_len")
+    ratio = part(sys_len, ref_len)
+    brevity = F.when(sys_len >= ref_len, F.lit(1.0)).when(sys_len == 0, F.lit(0.0)).otherwise(F.exp(1 - ref_len / sys_len))
+    return bleu.select("pair", F.concat(
+        F.lit(f"BLEU{len(orders)} = "), F.format_string("%.2f", "bleu"), F.lit(", "), F.concat_ws("/", *precision),
+        F.lit(" (BP="), F.format_string("%.3f", brevity), F.lit(", ratio="), F.format_string("%.3f", ratio),
+        F.lit(", syslen="), sys_len.cast("string"), F.lit(", reflen="), ref_len.cast("string"), F.lit(")")).alias("result"))
+
+
+def close_records(records: DataFrame, results: DataFrame, subset: str = "test", beam: int = 5) -> DataFrame:
+    """The records and behind the samples of each direction one line with its result; a direction without a result has none.
+
+    The closing line has neither kind nor sample, and as ``seq`` 0; in a log it follows the last sample. One row per direction
+    is added, so the records are neither shuffled nor sorted for it.
+    """
+    told = F.concat(F.lit(f"Generate {subset} with beam={beam}: "), F.col("result"))
+    closing = results.select("pair", F.lit(None).cast("long").alias("sample_id"), F.lit(0).alias("seq"),
+                             F.lit(None).cast("string").alias("kind"), told.alias("line"))
+    return records.select("pair", "sample_id", "seq", "kind", "line").unionByName(closing)
+
+
+def generation_log(closed: DataFrame) -> DataFrame:
+    """``pair, line_no, line``: records with their closing lines, numbered in the order of a log.
+
+    Samples come by number; a block of numbers is sorted in one task, never a direction.
+    """
+    # a sample's number leaves room below it for its lines; the closing line stands behind all numbers
+    span = F.lit(1 << 20)
+    last = closed.groupBy("pair").agg(F.max("sample_id").alias("_last"))
+    at = F.coalesce(F.col("sample_id"), F.coalesce(F.col("_last"), F.lit(-1)) + 1) * span + F.col("seq")
+    placed = closed.join(F.broadcast(last), "pair").withColumn("_at", at)
+    numbered = number_rows(placed, ["pair"], ["_at"], F.floor(F.col("_at") / span / LOG_SAMPLES).cast("long"), "line_no")
+    return numbered.select("pair", "line_no", "line")
+
+
 def generation_counters(df: DataFrame) -> DataFrame:
     """Sentences and generated tokens per direction from ``hyps`` (the first of each sample), and seconds if given."""
     aggs = [F.count(F.lit(1)).alias("sentences"), F.sum(F.size("tokens")).alias("generated_tokens")]
@@ -115,13 +165,14 @@ def parse_records(df: DataFrame) -> DataFrame:
 def align_hyp_ref(records: DataFrame) -> DataFrame:
     """``pair, sample_id, src, hyp, ref`` of samples that have all three.
 
-    The three kinds meet in one aggregate, not in joins: the log is shuffled once.
-    Of several hypotheses the first line counts.
+    The three kinds meet in one aggregate, not in joins. As the lines are dealt by sample before it, the log is shuffled
+    and sorted once, and both halves of the aggregate run through the sorted lines. Of several hypotheses the first line counts.
     """
     def first(kind: str):
         return F.min_by("text", F.when(F.col("kind") == kind, F.col("line_no")))
 
-    wide = records.where(F.col("kind").isin("S", "H", "T")).groupBy("pair", "sample_id").agg(
+    slim = records.where(F.col("kind").isin("S", "H", "T")).select("pair", "sample_id", "kind", "line_no", "text")
+    wide = slim.repartition("pair", "sample_id").groupBy("pair", "sample_id").agg(
         first("S").alias("src"), first("H").alias("hyp"), first("T").alias("ref")
     )
     complete = F.col("src").isNotNull() & F.col("hyp").isNotNull() & F.col("ref").isNotNull()

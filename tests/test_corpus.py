@@ -38,6 +38,22 @@ def test_exact_sample_is_the_smallest_hashes(spark):
         assert got == set(sorted(rows, key=key)[:n])
 
 
+def test_sample_keeps_whole_rows_and_reads_its_input_twice(spark):
+    df = spark.createDataFrame([("p", i, "x" * (i % 7), None) for i in range(200)], "pair string, line_no long, text string, extra string")
+    got = d.sample_exact(df, 40)
+    assert got.columns == df.columns and got.count() == 40 and got.exceptAll(df).count() == 0
+    assert d.sample_exact(df, 0).count() == 0 and d.sample_exact(df.limit(0), 3).count() == 0
+    # no join and no union: the second read is a filter
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
+
+
+def test_chunks_cut_in_random_order_have_the_same_sizes(spark):
+    rows = numbered(spark, {"x": 23, "z": 400})
+    sizes = lambda seed: sorted(map(tuple, d.assign_chunk(rows, 5, 9, seed).groupBy("pair", "chunk", "n_chunks").count().collect()))
+    assert sizes(None) == sizes(7) and d.assign_chunk(rows.limit(0), 5, 9).count() == 0
+
+
 def test_temperature(spark):
     df = numbered(spark, {"big": 900, "small": 100})
     w1 = {r["pair"]: r["weight"] for r in d.temperature_weights(df, 1).collect()}

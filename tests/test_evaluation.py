@@ -90,6 +90,42 @@ def test_records_survive_tabs_and_parse_back(spark):
     assert (row["src"], row["hyp"], row["ref"]) == ("s\tx", "h\tz", "t\ty")
 
 
+def test_soft_alignment_prints_a_list_of_weights_for_each_target_token(spark):
+    hyp = "struct<score:double,text:string,detok:string,positional:array<double>,alignment:array<array<string>>>"
+    rows = [("a-b", 1, "s", "t", [(-1.0, "h i", "h i", [-0.5], [["0.75", "0.25"], ["0.10", "0.90"]])]), ("a-b", 2, "s", "t", [(-1.0, "", "", [], [])])]
+    df = spark.createDataFrame(rows, f"pair string, sample_id long, src string, tgt string, hyps array<{hyp}>")
+    lines = {x["sample_id"]: x["line"] for x in r.emit_records(df).where("kind = 'A'").collect()}
+    assert lines == {1: "A-1\t0.75,0.25 0.10,0.90", 2: "A-2\t"}
+
+
+def test_log_ends_with_one_closing_line_per_direction(spark, monkeypatch):
+    monkeypatch.setattr(r, "LOG_SAMPLES", 2)
+    records = spark.createDataFrame(
+        [(p, s, q, k, f"{k}-{s}") for p in ("a-b", "c-d", "e-f") for s in (9, 0, 4, 70_000) for q, k in enumerate("STH")],
+        "pair string, sample_id long, seq int, kind string, line string").orderBy(F.rand(3))
+    # "x-y" has a result and no samples, "e-f" samples and no result
+    bleu = spark.createDataFrame([("a-b", 10, 8, 6, 10, 3, 9, 1, 8, 1, 7, 21.5), ("c-d", 0, 4, 0, 0, 0, 0, 0, 0, 0, 0, 0.0), ("x-y", 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0.0)],
+                                 "pair string, sys_len long, ref_len long, " + ", ".join(f"match{n} long, hyp{n} long" for n in range(1, 5)) + ", bleu double")
+    log = r.generation_log(r.close_records(records, r.result_string(bleu), "valid", 4)).orderBy("pair", "line_no").collect()
+    of = {p: [x["line"] for x in log if x["pair"] == p] for p in ("a-b", "c-d", "e-f", "x-y")}
+    body = [f"{k}-{s}" for s in (0, 4, 9, 70_000) for k in "STH"]
+    assert of["a-b"] == [*body, "Generate valid with beam=4: BLEU4 = 21.50, 60.0/33.3/12.5/14.3 (BP=1.000, ratio=1.250, syslen=10, reflen=8)"]
+    assert of["c-d"] == [*body, "Generate valid with beam=4: BLEU4 = 0.00, 0.0/0.0/0.0/0.0 (BP=0.000, ratio=0.000, syslen=0, reflen=4)"]
+    assert of["e-f"] == body and len(of["x-y"]) == 1
+    assert all([x["line_no"] for x in log if x["pair"] == p] == list(range(len(of[p]))) for p in of)
+    # what reads logs takes the samples and passes over the closing line
+    parsed = r.parse_records(spark.createDataFrame(log)).where("pair = 'a-b'")
+    assert parsed.count() == 12 and r.generation_log(r.close_records(records.limit(0), r.result_string(bleu.limit(0)))).count() == 0
+
+
+def test_samples_meet_in_one_exchange_and_one_sort(spark):
+    log = spark.createDataFrame([("a-b", i, f"{k}-{i // 3}\t-1\tx") for i, k in enumerate("STH" * 50)], "pair string, line_no long, line string")
+    aligned = r.align_hyp_ref(r.parse_records(log))
+    plan = aligned._jdf.queryExecution().sparkPlan().toString(), aligned._jdf.queryExecution().executedPlan().toString()
+    assert plan[1].count("Exchange hashpartitioning") == 1 and plan[1].count("Sort [") <= 1
+    assert aligned.count() == 50
+
+
 def test_model_is_loaded_per_task_and_batches_are_bounded(spark):
     def load():
         return 10

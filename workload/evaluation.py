@@ -75,6 +75,34 @@ def emit_records(spark, sf):
     return r.emit_records(rows, "%.4f")
 
 
+view("emitted_words", """
+  SELECT *, list_filter(string_split(ref, ' '), lambda w: w <> '') AS sw, list_filter(string_split(text, ' '), lambda w: w <> '') AS tw FROM emitted""")
+
+
+@query("emit_aligned", """
+  SELECT pair, sample_id, CAST(k AS INTEGER) AS seq, substr('STHDPAIEE', k + 1, 1) AS kind,
+    CASE k WHEN 0 THEN 'S-' || sample_id || chr(9) || ref WHEN 1 THEN 'T-' || sample_id || chr(9) || ref
+           WHEN 2 THEN 'H-' || sample_id || chr(9) || s || chr(9) || text WHEN 3 THEN 'D-' || sample_id || chr(9) || s || chr(9) || text
+           WHEN 4 THEN 'P-' || sample_id || chr(9) || p
+           WHEN 5 THEN 'A-' || sample_id || chr(9) || array_to_string(list_transform(list_zip(tw, sw), lambda z:
+             (1000 * coalesce(length(z[2]), 0)) // (length(ref) + coalesce(length(z[1]), 0)) || ',' ||
+             (1000 - (1000 * coalesce(length(z[2]), 0)) // (length(ref) + coalesce(length(z[1]), 0)))), ' ')
+           WHEN 6 THEN 'I-' || sample_id || chr(9) || len(tw)
+           WHEN 7 THEN 'E-' || sample_id || '_0' || chr(9) || ref ELSE 'E-' || sample_id || '_1' || chr(9) || text END AS line
+  FROM emitted_words, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS k)""")
+def emit_aligned(spark, sf):
+    """Records with soft alignment, steps and history: two weights a word, in thousandths, as a full matrix would grow with the square of a line."""
+    best = r.score_base2(r.nbest(t.hypotheses(spark, sf), 1).withColumn("positional", _positional()))
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    best = best.withColumns({"_sw": words("ref"), "_tw": words("text")})
+    size = lambda w: F.coalesce(F.length(w), F.lit(0))
+    weight = lambda y, x: F.floor(1000 * size(x) / (size("ref") + size(y)))
+    weights = F.zip_with("_tw", "_sw", lambda y, x: F.array(weight(y, x), 1000 - weight(y, x)))
+    hyp = F.struct("score", "text", F.col("text").alias("detok"), "positional", weights.alias("alignment"), F.size("_tw").alias("steps"),
+                   F.array("ref", "text").alias("history"))
+    return r.emit_records(best.select("pair", "sample_id", F.col("ref").alias("src"), F.col("ref").alias("tgt"), F.array(hyp).alias("hyps")), "%.4f")
+
+
 @query("generation_counters", """
   SELECT pair, count(*) AS sentences, CAST(sum(len(list_filter(string_split(hyp, ' '), lambda w: w <> ''))) AS BIGINT) AS generated_tokens
   FROM hr GROUP BY pair""")
@@ -166,6 +194,31 @@ def corpus_bleu(spark, sf):
     return df.withColumn("bleu", t.r6(F.col("bleu")))
 
 
+_RESULT = " || '/' || ".join(f"format('{{:.1f}}', 100.0::DOUBLE * match{n} / hyp{n})" for n in range(1, 5))
+
+
+view("log_sums", f"SELECT pair, {_N4}, max(f) FILTER (n = 1) AS ref_len FROM bleu_sums GROUP BY pair")
+view("log_results", f"""
+  SELECT pair, 'BLEU4 = ' || format('{{:.2f}}', 100 * bp * exp(({_LOGS}) / 4)) || ', ' || {_RESULT} || ' (BP=' || format('{{:.3f}}', bp)
+    || ', ratio=' || format('{{:.3f}}', CAST(hyp1 AS DOUBLE) / ref_len) || ', syslen=' || hyp1 || ', reflen=' || ref_len || ')' AS result
+  FROM (SELECT *, CASE WHEN hyp1 >= ref_len THEN 1.0::DOUBLE ELSE exp(1 - ref_len / CAST(hyp1 AS DOUBLE)) END AS bp FROM log_sums)""")
+
+
+@query("generation_log", """
+  SELECT pair, CAST(row_number() OVER (PARTITION BY pair ORDER BY sample_id NULLS LAST, k) - 1 AS BIGINT) AS line_no, line FROM (
+    SELECT pair, sample_id, k, CASE k WHEN 0 THEN 'S-' || sample_id || chr(9) || ref WHEN 1 THEN 'T-' || sample_id || chr(9) || ref
+             WHEN 2 THEN 'H-' || sample_id || chr(9) || '-1.0' || chr(9) || hyp WHEN 3 THEN 'D-' || sample_id || chr(9) || '-1.0' || chr(9) || hyp
+             ELSE 'P-' || sample_id || chr(9) || '-0.5000' END AS line
+    FROM hr, (SELECT unnest([0, 1, 2, 3, 4]) AS k)
+    UNION ALL SELECT pair, NULL, 0, 'Generate test with beam=5: ' || result FROM log_results)""")
+def generation_log(spark, sf):
+    """The whole log of every direction: the records of its samples in order, then the line that closes it."""
+    rows = t.hr(spark, sf)
+    hyp = F.struct(F.lit(-1.0).alias("score"), F.col("hyp").alias("text"), F.col("hyp").alias("detok"), F.array(F.lit(-0.5)).alias("positional"))
+    records = r.emit_records(rows.select("pair", "sample_id", F.col("ref").alias("src"), F.col("ref").alias("tgt"), F.array(hyp).alias("hyps")))
+    return r.generation_log(r.close_records(records, r.result_string(m.corpus_bleu(rows, ["pair"]))))
+
+
 _WS = " || ".join(f"chr({ord(ch)})" for ch in STRIP_CHARACTERS)
 # word orders 7 and 8: a word's closing punctuation mark, or else its opening one, is a word of its own
 _EDGE = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
