@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tandem.llm.graph import connected_components
 from tandem.session import staged
 
-COSINE, GRID_DIMS, LEAF, BLOCK_ROWS = 0.95, 16, 256, 4096
+COSINE, GRID_DIMS, LEAF, BLOCK_ROWS, TILE = 0.95, 16, 256, 4096, 4
 #: What rounding may do to a distance; far below the grid, far above the error of single precision.
 MARGIN = 1e-4
 
@@ -39,7 +39,11 @@ def _dtype(classes: DataFrame) -> str:
 
 
 def principal_axes(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Mean and leading principal axes for each vector length, from sums each task makes: small matrices, whatever the row count."""
+    """Mean and leading principal axes for each vector length, from sums over all vectors.
+
+    A task hands on its sums one matrix row at a time, and each row is summed over all tasks by itself; so nothing
+    gathers the matrices of all tasks, and one matrix per vector length comes to the driver.
+    """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
@@ -48,18 +52,24 @@ def principal_axes(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray
                 x = unit_rows(rows)
                 n, s, c = held.get(size, (0, 0.0, 0.0))
                 held[size] = (n + len(x), s + x.sum(0), c + x.T @ x)
-        yield pd.DataFrame([(k, n, s.tobytes(), c.tobytes()) for k, (n, s, c) in held.items()], columns=["dim", "n", "s", "c"])
-
-    total: dict[int, list] = {}
-    for row in classes.select("embedding").mapInPandas(sums, "dim int, n long, s binary, c binary").toLocalIterator():
-        s, c = np.frombuffer(row["s"]), np.frombuffer(row["c"]).reshape(row["dim"], -1)
-        n0, s0, c0 = total.get(row["dim"], (0, 0.0, 0.0))
-        total[row["dim"]] = (n0 + row["n"], s0 + s, c0 + c)
-    axes = {}
-    for dim, (n, s, c) in total.items():
-        mean = s / n
+        for size, (n, s, c) in held.items():
+            yield pd.DataFrame({"dim": size, "axis": np.arange(size), "n": n, "s": s, "c": [row.tobytes() for row in c]})
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        c = np.zeros(int(rows["dim"].iloc[0]))
+        for row in rows["c"]:
+            c += np.frombuffer(row)
+        return pd.DataFrame([(rows["dim"].iloc[0], rows["axis"].iloc[0], rows["n"].sum(), rows["s"].sum(), c.tobytes())], columns=list(rows.columns))
+
+    schema, axes = "dim int, axis int, n long, s double, c binary", {}
+    made = classes.select("embedding").mapInPandas(sums, schema).groupBy("dim", "axis").applyInPandas(added, schema)
+    whole = made.toPandas()
+    for dim, rows in whole.groupby("dim"):
+        rows = rows.sort_values("axis")
+        n = rows["n"].iloc[0]
+        mean, c = rows["s"].to_numpy() / n, np.stack([np.frombuffer(r) for r in rows["c"]])
         _, vectors = np.linalg.eigh(c / n - np.outer(mean, mean))
-        axes[dim] = (mean, np.ascontiguousarray(vectors[:, ::-1][:, :GRID_DIMS]))
+        axes[int(dim)] = (mean, np.ascontiguousarray(vectors[:, ::-1][:, :GRID_DIMS]))
     return axes
 
 
@@ -214,36 +224,42 @@ def block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     return met.select("dim", "i", "j").distinct()
 
 
-def class_links(blocks: DataFrame, epsilon: float, cosine: float, dtype: str) -> DataFrame:
-    """``a, b, n``: with a null ``b``, ``n`` vectors link with class ``a``; else a link, enough of which are given to connect all."""
-    pairs = block_pairs(blocks, epsilon)
-    parts, kind = ("ids", "copies", "vectors", "coords"), dtype
-    left = blocks.select("dim", F.col("block").alias("i"), *[F.col(c).alias(f"{c}_i") for c in parts])
-    right = blocks.select("dim", F.col("block").alias("j"), *[F.col(c).alias(f"{c}_j") for c in parts])
-    met = pairs.join(left, ["dim", "i"]).join(right, ["dim", "j"])
-
-    def compare(pair: pa.Table) -> pa.Table:
-        row = pair.to_pylist()[0]
-
-        def side(s: str):
-            ids = np.frombuffer(row[f"ids_{s}"], np.int64)
-            unit = unit_rows(np.frombuffer(row[f"vectors_{s}"], kind).reshape(-1, row["dim"]))
-            coords = np.frombuffer(row[f"coords_{s}"], np.float32).reshape(len(ids), -1)
-            return ids, (unit, coords, np.frombuffer(row[f"copies_{s}"], np.int64))
-
-        (ids_a, a), (ids_b, b) = side("i"), side("j")
-        same = row["i"] == row["j"]
-        work = IntervalJoin(epsilon, cosine)
-        n_a, n_b = work.join(a, b, same)
-        ids, n = (ids_a, n_a) if same else (np.concatenate([ids_a, ids_b]), np.concatenate([n_a, n_b]))
-        some, links = n > 0, np.array(work.links, np.int64).reshape(-1, 2)
-        return pa.table({
-            "a": np.concatenate([ids[some], ids_a[links[:, 0]]]),
-            "b": pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(ids_b[links[:, 1]], pa.int64())]),
-            "n": np.concatenate([n[some], np.zeros(len(links), np.int64)])})
-
-    # one pair of blocks is one group: that is all a task holds at a time
-    return staged(met.groupBy("dim", "i", "j").applyInArrow(compare, "a long, b long, n long"), "vector-links")
+def class_links(blocks: DataFrame, epsilon: float, cosine: float, dtype: str, side: int = TILE) -> DataFrame:
+    """``a, b, n``: with a null ``b``, ``n`` vectors link with class ``a``; else a link, enough of which are given to connect all.
+
+    Pairs of blocks are dealt in tiles: ``side`` neighbouring blocks against ``side`` others. A block travels once for each tile it
+    has a partner in, not once for each partner, and a task holds ``2 * side`` blocks.
+    """
+    kind, tile = dtype, lambda c: F.floor(F.col(c) / side).cast("long")
+    pairs = block_pairs(blocks, epsilon).withColumns({"ti": tile("i"), "tj": tile("j")})
+    wanted = pairs.select("dim", "ti", "tj", F.explode(F.array("i", "j")).alias("block")).distinct()
+    held = wanted.join(blocks.select("dim", "block", "ids", "copies", "vectors", "coords"), ["dim", "block"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        runs = {}
+        ti, tj = group["ti"][0].as_py(), group["tj"][0].as_py()
+        for row in group.to_pylist():
+            ids = np.frombuffer(row["ids"], np.int64)
+            unit = unit_rows(np.frombuffer(row["vectors"], kind).reshape(-1, row["dim"]))
+            coords = np.frombuffer(row["coords"], np.float32).reshape(len(ids), -1)
+            runs[row["block"]] = ids, (unit, coords, np.frombuffer(row["copies"], np.int64))
+        out = []
+        for i in (b for b in sorted(runs) if b // side == ti):
+            for j in (b for b in sorted(runs) if b // side == tj and b >= i):
+                (ids_a, a), (ids_b, b) = runs[i], runs[j]
+                # blocks that are too far apart are told by their boxes, before anything is compared
+                work = IntervalJoin(epsilon, cosine)
+                n_a, n_b = work.join(a, b, i == j)
+                ids, n = (ids_a, n_a) if i == j else (np.concatenate([ids_a, ids_b]), np.concatenate([n_a, n_b]))
+                some, links = n > 0, np.array(work.links, np.int64).reshape(-1, 2)
+                out.append(pa.table({
+                    "a": np.concatenate([ids[some], ids_a[links[:, 0]]]),
+                    "b": pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(ids_b[links[:, 1]], pa.int64())]),
+                    "n": np.concatenate([n[some], np.zeros(len(links), np.int64)])}))
+        return pa.concat_tables(out)
+
+    # one tile is one group: that is all a task holds at a time
+    return staged(held.groupBy("dim", "ti", "tj").applyInArrow(compare, "a long, b long, n long"), "vector-links")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
