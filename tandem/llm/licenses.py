@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -105,11 +106,13 @@ class NoticeScan:
                 for m in self.patterns[i].finditer(plain, low, high):
                     edits = sum(m.fuzzy_counts)
                     found.append((edits / len(self.notices[i][0]), m.start() - m.end(), m.start(), m.end(), i, edits))
+        # taken spans never overlap, so a new one can only meet its two neighbours
         taken: list[tuple[int, int, int, int]] = []
         for _, _, begin, end, i, edits in sorted(found):
-            if all(end <= a or begin >= b for a, b, _, _ in taken):
-                taken.append((begin, end, i, edits))
-        return sorted(taken)
+            at = bisect.bisect_left(taken, (begin,))
+            if (at == 0 or taken[at - 1][1] <= begin) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (begin, end, i, edits))
+        return taken
 
     def scan(self, text: str | None) -> dict:
         words = normal_words(text)
@@ -127,12 +130,14 @@ class NoticeScan:
                 lasts.append(framed.count(b" ", 0, last))
         plain = framed[1:-1].decode("utf-8", "replace")
         labels, score, spans = set(base), 1.0 if n_base else 0.0, []
+        word, seen = 0, 0
         for begin, end, i, edits in self.spans(plain):
             notice, label, _ = self.notices[i]
             labels.add(label)
             score = max(score, 1.0 - edits / len(notice))
-            first_word = plain.count(" ", 0, begin)
-            spans.append((label, first_word, first_word + plain.count(" ", begin, end) + 1, edits))
+            # words are counted on from the span before
+            word, seen = word + plain.count(" ", seen, begin), begin
+            spans.append((label, word, word + plain.count(" ", begin, end) + 1, edits))
         return {
             "n_words": len(words), "n_base": n_base, "first_word": min(firsts, default=None), "last_word": max(lasts, default=None),
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "spans": spans,
@@ -154,7 +159,8 @@ def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), notices:
     else the largest share of a notice that stood unedited, else 0.
 
     Defined results: a null or empty text has no words, no labels and score 0; overlapping notices give the closest
-    one; repeated rows give repeated results; columns of the input named like results are not read.
+    one; time grows with the length of a text and its matches, not with their square; repeated rows give repeated
+    results; an empty table gives no rows; columns of the input named like results are not read.
     """
     held: list[NoticeScan] = []
 

@@ -17,7 +17,11 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
+    found = licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+    # label:first word:end word:edits of every notice
+    told = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(
+        ":", s["label"], s["first_word"].cast("string"), s["end_word"].cast("string"), s["edits"].cast("string"))))
+    return found.withColumn("spans", told)
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
