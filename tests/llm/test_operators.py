@@ -1,14 +1,18 @@
 """Each operator against a brute-force version on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import os
+import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tandem.llm import embeddings, graph, hashing, licenses, mixing, packing, pii, quality, simhash, tables, toxicity
@@ -460,3 +464,69 @@ def test_pii_thresholds_come_from_all_documents(spark):
     docs = spark.createDataFrame(list(enumerate(private + [plain] * 2000)), "doc_id long, text string").coalesce(4)
     found = _found(spark, pii.train_pii(docs, sample_rows=12), private)
     assert [x for x, _ in found[0]] == ["phone"] and [x for x, _ in found[1]] == ["email"] and found[3] == []
+
+
+def test_notices_of_a_long_text_take_time_in_line_with_it():
+    scan = licenses.NoticeScan().scan
+    part = "released under the mit license and mozilla public licence version 2 0 then "
+    scan(part)
+    took = []
+    for n in (4_000, 8_000):
+        began = time.perf_counter()
+        found = scan(part * n)
+        took.append(time.perf_counter() - began)
+        assert len(found["spans"]) == 2 * n and found["spans"][-1][1] == 13 * n - 7
+    assert took[1] < 3 * took[0] + 0.5
+
+
+def test_taken_notices_equal_a_comparison_with_all_taken_ones():
+    rng = random.Random(2)
+    scan = licenses.NoticeScan()
+    words = sorted({w for n, _ in licenses.NOTICES for w in n.split()})
+    for _ in range(300):
+        plain = " ".join(rng.choice([rng.choice(licenses.NOTICES)[0], rng.choice(words)]) for _ in range(rng.randrange(12)))
+        found = []
+        for i, regions in scan.candidates(plain).items():
+            for low, high in regions:
+                for m in scan.patterns[i].finditer(plain, low, high):
+                    edits = sum(m.fuzzy_counts)
+                    found.append((edits / len(scan.notices[i][0]), m.start() - m.end(), m.start(), m.end(), i, edits))
+        taken = []
+        for _, _, begin, end, i, edits in sorted(found):
+            if all(end <= a or begin >= b for a, b, _, _ in taken):
+                taken.append((begin, end, i, edits))
+        assert scan.spans(plain) == sorted(taken)
+
+
+def test_principal_axes_come_from_one_pass(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5)) * [9, 1, 1, 1, 1]
+    rows = [(row.tolist(),) for row in x] + [([1.0, 2.0],), ([2.0, 1.0],)]
+    frame = spark.createDataFrame(rows, "embedding array<double>").repartition(7)
+    axes = embeddings.principal_axes(frame)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert set(axes) == {5, 2} and np.allclose(axes[5][0], unit.mean(0))
+    assert abs(axes[5][1][0, 0]) > 0.99 and embeddings.principal_axes(frame.limit(0)) == {}
+
+
+def test_tiles_join_every_pair_of_blocks_once_and_skip_distant_ones(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 24))
+    x = np.concatenate([c + rng.normal(size=(25, 24)) * 0.08 for c in centres])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(frame, block_rows=10).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    root = list(range(len(x)))
+    for _ in range(len(x)):
+        new = [min([root[i], *(root[j] for j in np.flatnonzero(near[i]))]) for i in range(len(x))]
+        if new == root:
+            break
+        root = new
+    assert got == {i: (int(near[i].sum()), root[i]) for i in range(len(x))}
+    # clustered vectors: most pairs of blocks are too far apart to meet
+    classes = frame.select(F.col("vec_id").alias("cid"), F.lit(1).cast("long").alias("copies"), "embedding")
+    blocks = embeddings.sorted_blocks(classes, math.sqrt(0.1), 10)
+    n = blocks.count()
+    assert embeddings.block_pairs(blocks, math.sqrt(0.1)).count() < n * (n + 1) / 4

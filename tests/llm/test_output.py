@@ -1,7 +1,10 @@
 """Training order and archive derivatives against plain versions."""
 
 import hashlib
+import html
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -82,3 +85,58 @@ def test_records(spark):
         assert r["conversion_id"] in r["metadata"] and r["source_digest"] in r["metadata"] and r["source_digest"] in r["conversion"]
     one = next(r for r in found if r["page_id"] == 1)
     assert one["plain"] == "Hällo" and one["source_digest"] == "sha256:" + hashlib.sha256("<p>Hällo</p>".encode()).hexdigest()
+
+
+def _slow_plain_text(page):
+    """The rules one character at a time, with the end of every tag sought from its start."""
+    low, out, at = page.lower(), [], 0
+    while at < len(page):
+        if low.startswith("<!--", at):
+            end = low.find("-->", at + 4)
+            out.append(" ")
+            at = len(page) if end < 0 else end + 3
+            continue
+        m = re.match(r"<(script|style|noscript|template)\b[^>]*>", low[at:])
+        if m:
+            close = re.search(rf"</{m[1]}\s*>", low[at + m.end():])
+            out.append(" ")
+            at = len(page) if not close else at + m.end() + close.end()
+            continue
+        out.append(page[at])
+        at += 1
+    text = "".join(out)
+    text = re.sub(r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|title|body|head|html|nav|pre|hr)\b[^>]*>", "\n", text)
+    text = html.unescape(re.sub(r"<[A-Za-z/!?][^>]*>", "", text))
+    lines = (re.sub(r"[ \t\r\f\v\xa0]+", " ", line).strip() for line in text.split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def test_plain_text_of_random_markup():
+    rng = random.Random(5)
+    parts = ["<", ">", "<a", "<p>", "</p", "<script", "<script>", "</script>", "<style ", "</style >", "<!--", "-->", "--", "x", " y ", "\n", "&amp;", "<br/>", "/", "!"]
+    for _ in range(20_000):
+        page = "".join(rng.choices(parts, k=rng.randrange(14)))
+        assert warc.plain_text(page) == _slow_plain_text(page), page
+
+
+@pytest.mark.parametrize("part", ["<a", "<script", "<!-", "<p ", "</script", "<a>", "<script>x</script"])
+def test_time_of_plain_text_grows_with_the_page(part):
+    warc.plain_text(part * 1000)
+    began = time.perf_counter()
+    warc.plain_text(part * 400_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_given_columns_of_a_response_are_preserved(spark):
+    rows = [(1, "http://a/", "<p>x", "<urn:uuid:1>", "2020-02-02T00:00:00Z", "sha1:ABC", "text/html", "Server: s\r\nX-A: 1\r\nno header"),
+            (2, "http://b/", "<p>y", None, " ", None, None, None)]
+    given = ", ".join(f"{c} string" for c in warc.GIVEN)
+    pages = spark.createDataFrame(rows, f"page_id long, url string, html string, {given}")
+    one, two = warc.derive_records(pages).orderBy("page_id").collect()
+    assert one["response_id"] == "<urn:uuid:1>" and one["source_digest"] == "sha1:ABC"
+    for record in (one["conversion"], one["metadata"]):
+        assert "WARC-Refers-To: <urn:uuid:1>\r\n" in record and "WARC-Date: 2020-02-02T00:00:00Z\r\n" in record
+    assert one["metadata"].endswith("source-content-type: text/html\r\nsource-header: Server: s\r\nsource-header: X-A: 1\r\n\r\n\r\n")
+    # absent values are made as for a table without these columns
+    plain = warc.derive_records(pages.drop(*warc.GIVEN)).orderBy("page_id").collect()[1]
+    assert two == plain and "no header" not in one["metadata"]
