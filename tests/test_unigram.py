@@ -2,8 +2,9 @@
 
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,50 @@ def test_unigram_queries(spark):
     rows = entry.queries()["encode_unigram"](spark, SF).collect()
     lines = spark.read.parquet(f"{SF}/documents.parquet").select(F.size(F.split("text", "\n")).alias("n")).agg(F.sum("n")).first()[0]
     assert all(r["same"] for r in rows) and sum(r["lines"] for r in rows) == lines
+
+
+def test_words_of_one_length_together():
+    rng = random.Random(5)
+    for k in range(40):
+        pieces = {"".join(rng.choice("abcé漢") for _ in range(rng.randrange(1, 6))) for _ in range(30)} | set("abc")
+        weights = {p: 1 if k % 3 == 0 else rng.random() + 0.01 for p in pieces}
+        model = u.UnigramModel({p: math.log(w / sum(weights.values())) for p, w in weights.items()})
+        listed = ["".join(rng.choice("abcé漢x") for _ in range(rng.randrange(0, 9))) for _ in range(100)]
+        counts, lattices = np.array([rng.randrange(1, 9) for _ in listed], float), u.Lattices(model)
+        for many, one in ((lattices.expect, model.expect), (lattices.count_best, lambda *a: u._count_best(model, *a))):
+            got, total, wanted, whole = np.zeros(len(pieces)), 0.0, defaultdict(float), 0.0
+            for same, cnt in lattices.groups(listed, counts):
+                total += many(same, cnt, got)
+            for word, cnt in zip(listed, counts):
+                whole += cnt * one(word, cnt, wanted) if word else 0.0
+            assert total == pytest.approx(whole)
+            assert dict(zip(lattices.pieces, got)) == pytest.approx({p: wanted.get(p, 0.0) for p in model.scores}, abs=1e-9)
+
+
+@pytest.mark.parametrize("seed_size,piece_chars", [(0, 4), (7, 1), (25, 3), (300, 16), (100_000, 16)])
+def test_seeds_against_all_substrings(spark, counts, seed_size, piece_chars):
+    met = Counter()
+    for word, cnt in counts.items():
+        for start in range(len(word)):
+            for end in range(start + 1, min(len(word), start + piece_chars) + 1):
+                met[word[start:end]] += cnt
+    longer = sorted((-n * len(p), p) for p, n in met.items() if len(p) > 1 and n > 1)[:seed_size]
+    wanted = {p: n for p, n in met.items() if len(p) == 1} | {p: met[p] for _, p in longer}
+    assert u.seed_pieces(_words(spark, counts), seed_size, piece_chars) == wanted
+
+
+def test_steps_are_taken_by_arrays(spark, counts, monkeypatch):
+    monkeypatch.setattr(u.UnigramModel, "expect", None)
+    many = {f"{a}{b}{c}": 1 for a in "abcd" for b in "abcd" for c in "abcd"}
+    model = u.UnigramModel({c: math.log(0.25) for c in "abcd"})
+    _, seen = u.em_steps(spark.createDataFrame(list(many.items()), "word string, cnt long").coalesce(1), model, 1)
+    assert seen == [pytest.approx(64 * 3 * math.log(0.25))]
+
+
+def test_unlikely_words_lose_nothing():
+    model = u.UnigramModel({"a": -300.0, "aa": -500.0, "b": 0.0})
+    words, into, single = ["aaaa", "abab", "bbbb", "xbxb"], np.zeros(3), defaultdict(float)
+    lattices = u.Lattices(model)
+    total = lattices.expect(words, np.ones(4), into)
+    assert total == pytest.approx(sum(model.expect(w, 1, single) for w in words))
+    assert dict(zip(lattices.pieces, into)) == pytest.approx({p: single.get(p, 0.0) for p in model.scores})
