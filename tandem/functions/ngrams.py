@@ -9,6 +9,7 @@ Arrow-batched function, which counts a whole batch of rows with array operations
 
 from __future__ import annotations
 
+import functools
 import string
 from collections.abc import Callable, Iterator
 
@@ -18,7 +19,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PUNCT = set(string.punctuation)
-BATCH_CHARS = 2_000_000
+#: Characters counted together: their arrays stay within a core's cache, and a task's memory does not grow with its batches.
+BATCH_CHARS = 20_000
+#: Numbers up to this are looked up in a table (8 MB a worker), larger ones hashed.
+TABLE = 1 << 21
 
 
 def _slices(sizes: np.ndarray, limit: int = BATCH_CHARS) -> Iterator[slice]:
@@ -33,32 +37,50 @@ def _slices(sizes: np.ndarray, limit: int = BATCH_CHARS) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+@functools.cache
+def _table() -> np.ndarray:
+    return np.empty(TABLE, dtype=np.int32)
+
+
+def _alike(numbers: np.ndarray, bound: int) -> np.ndarray:
+    """For each number, all below ``bound``, the last place of an equal one; the entries of the table need no clearing, as only those just written are read."""
+    places = np.arange(len(numbers))
+    if bound <= TABLE:
+        table = _table()
+        table[numbers] = places
+        return table[numbers].astype(np.int64)
+    which, distinct = pd.factorize(numbers)
+    last = np.empty(len(distinct), dtype=np.int64)
+    last[which] = places
+    return last[which]
+
+
 def overlap_counts(ids: np.ndarray, n_hyp: np.ndarray, n_ref: np.ndarray, max_n: int) -> np.ndarray:
     """``rows x orders x (matches, hyp n-grams, ref n-grams)``.
 
     ``ids`` are the symbols of all hypotheses, then of all references; ``n_hyp`` and
     ``n_ref`` their lengths per row. An n-gram gets the number of its row and
-    (n-1)-gram, extended by one symbol: numbers stay small and equal numbers mean
-    equal n-grams of the same row, so nothing is hashed away.
+    (n-1)-gram, extended by one symbol, and then the place of one like it: numbers stay small and
+    equal numbers mean equal n-grams of the same row, so nothing is hashed away.
     """
-    rows = len(n_hyp)
+    rows, cut = len(n_hyp), int(n_hyp.sum())
     lengths = np.concatenate([n_hyp, n_ref])
     row = np.repeat(np.tile(np.arange(rows), 2), lengths)
-    is_ref = np.repeat(np.arange(2 * rows) >= rows, lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(ids))
     symbol, symbols = pd.factorize(ids)
     width = len(symbols) + 1
     out = np.zeros((rows, max_n, 3), dtype=np.int64)
-    gram = row.copy()
+    at, gram = np.arange(len(ids)), row
     for n in range(1, max_n + 1):
-        at = np.flatnonzero(left >= n)
-        number, distinct = pd.factorize(gram[at] * width + symbol[at + n - 1])
-        gram[at] = number
-        in_ref = is_ref[at]
-        counts = [np.bincount(number[side], minlength=len(distinct)) for side in (~in_ref, in_ref)]
-        owner = np.zeros(len(distinct), dtype=np.int64)
-        owner[number] = row[at]
-        out[:, n - 1, 0] = np.bincount(owner, weights=np.minimum(*counts), minlength=rows)
+        if n > 1:
+            longer = left[at] >= n
+            at, gram = at[longer], gram[longer]
+        before = rows if n == 1 else last
+        gram = _alike(gram * width + symbol[at + n - 1], before * width)
+        # the places of the hypotheses come first
+        last, middle = len(at), np.searchsorted(at, cut)
+        counts = [np.bincount(side, minlength=len(at)) for side in (gram[:middle], gram[middle:])]
+        out[:, n - 1, 0] = np.bincount(row[at], weights=np.minimum(*counts), minlength=rows)
         out[:, n - 1, 1] = np.maximum(n_hyp - n + 1, 0)
         out[:, n - 1, 2] = np.maximum(n_ref - n + 1, 0)
     return out

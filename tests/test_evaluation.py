@@ -1,4 +1,5 @@
 import math
+import random
 import string
 from collections import Counter
 
@@ -197,3 +198,22 @@ def test_long_vectors_stay_in_blocks(spark):
     assert sum(r["n"] for r in sums) == 10_000_000 and len(sums) == 153
     assert sum(r["s"] for r in sums) == pytest.approx(1.5 * 10_000_000 * 10_000_001 / 2)
     assert all(r["first"] == 1.5 * (r["block"] * 65_536 + 1) for r in sums)
+
+
+def test_overlap_in_small_slices():
+    """Numbers looked up in a table and hashed ones give the same counts; slices are small, so a task holds little."""
+    from tandem.functions import ngrams
+
+    rng = random.Random(4)
+    texts = [["".join(rng.choice("ab é漢") for _ in range(rng.randrange(30))) for _ in range(40)] for _ in range(2)]
+    for table in (0, ngrams.TABLE):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ngrams, "TABLE", table)
+            ngrams._table.cache_clear()
+            found = ngrams._char_counts(*texts, 3)
+        for i, (h, r) in enumerate(zip(*texts)):
+            for n in (1, 2, 3):
+                a, b = (Counter(t[k:k + n] for k in range(len(t) - n + 1)) for t in (h, r))
+                assert found[i, n - 1].tolist() == [sum((a & b).values()), sum(a.values()), sum(b.values())]
+    ngrams._table.cache_clear()
+    assert max(s.stop - s.start for s in ngrams._slices(np.full(10_000, 100))) <= 1_000
