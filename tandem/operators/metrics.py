@@ -125,6 +125,89 @@ def char_ngrams(col: Column, n: int = 3) -> Column:
     return F.transform(F.array(framed), grams)[0]
 
 
+#: Code points fit into 21 bits, so up to three of them into one number.
+CODE_BITS, PACKED = 21, 3
+#: Characters of texts counted or scored together, and distinct n-grams a task holds before it hands them on.
+CHARS_TOGETHER, HELD_GRAMS = 1 << 18, 1 << 20
+
+
+def packed_grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the texts, each framed by spaces, as numbers, and how many each text has.
+
+    At most ``PACKED`` code points, each one higher, make a number. A framed text shorter than that is its own only n-gram, with zeros behind it.
+    """
+    codes = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "replace"), "<u4").astype(np.int64) + 1
+    sizes = np.array([len(t) + 2 for t in texts], np.int64)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    counts = np.maximum(sizes - n + 1, 1)
+    at = np.flatnonzero(left >= np.minimum(n, np.repeat(sizes, sizes)))
+    numbers = np.zeros(len(at), np.int64)
+    for k in range(n):
+        inside = left[at] > k
+        numbers = numbers << CODE_BITS | np.where(inside, codes[np.minimum(at + k, len(codes) - 1)], 0)
+    return numbers, counts
+
+
+def unpacked(number: int, n: int) -> str:
+    points = [number >> CODE_BITS * k & (1 << CODE_BITS) - 1 for k in reversed(range(n))]
+    return "".join(chr(p - 1) for p in points if p)
+
+
+def _together(texts: list[str]) -> Iterator[slice]:
+    """Consecutive texts of about ``CHARS_TOGETHER`` characters; a longer one stands alone."""
+    start, total = 0, 0
+    for i, value in enumerate(texts):
+        if total and total + len(value) > CHARS_TOGETHER:
+            yield slice(start, i)
+            start, total = i, 0
+        total += len(value) + 2
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def gram_counts(df: DataFrame, langs: list[str], n: int) -> DataFrame:
+    """``gram`` and ``n_0, n_1, ...``: how often each language has it. The tasks count numbers and hand on a row a distinct n-gram, not one per occurrence."""
+    names = [f"n_{i}" for i in range(len(langs))]
+    if n > PACKED:
+        grams = df.select("lang", F.explode(char_ngrams(F.col("text"), n)).alias("gram"))
+        return grams.groupBy("gram").agg(*[F.count_if(F.col("lang") == x).alias(c) for c, x in zip(names, langs)])
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        numbers, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        rows = np.concatenate([c for _, c in parts])
+        sums = [np.bincount(which, rows[:, i], len(numbers)) for i in range(len(langs))]
+        return numbers, np.stack(sums, 1).astype(np.int64)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            for i, x in enumerate(langs):
+                texts = batch["text"][(batch["lang"] == x) & batch["text"].notna()].tolist()
+                for part in _together(texts):
+                    numbers, times = np.unique(packed_grams(texts[part], n)[0], return_counts=True)
+                    rows = np.zeros((len(numbers), len(langs)), np.int64)
+                    rows[:, i] = times
+                    held.append((numbers, rows))
+                    size += len(numbers)
+                    if size > HELD_GRAMS:
+                        held = [merged(held)]
+                        size = len(held[0][0])
+                        if size > HELD_GRAMS // 2:
+                            yield pd.DataFrame(held[0][1], columns=names).assign(number=held[0][0])
+                            held, size = [], 0
+        if held:
+            numbers, rows = merged(held)
+            yield pd.DataFrame(rows, columns=names).assign(number=numbers)
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[names].assign(gram=[unpacked(x, n) for x in batch["number"].tolist()])
+
+    numbers = ", ".join(f"{c} long" for c in names)
+    counted = df.mapInPandas(count, f"{numbers}, number long").groupBy("number").agg(*[F.sum(c).alias(c) for c in names])
+    return counted.mapInPandas(spell, f"{numbers}, gram string")
+
+
 def train_langid(df: DataFrame, langs: list[str], n: int = 3, text: str = "text", lang: str = "lang") -> DataFrame:
     """Naive-Bayes model: one row per n-gram with a log-probability per language.
 
@@ -132,8 +215,8 @@ def train_langid(df: DataFrame, langs: list[str], n: int = 3, text: str = "text"
     any order. The row with a null n-gram holds what an unseen n-gram gets. The model is
     written once below the shared folder.
     """
-    grams = df.where(F.col(lang).isin(langs)).select(F.col(lang).alias("lang"), F.explode(char_ngrams(F.col(text), n)).alias("gram"))
-    counts = grams.groupBy("gram").agg(*[F.count_if(F.col("lang") == x).alias(f"n_{i}") for i, x in enumerate(langs)])
+    known = df.where(F.col(lang).isin(langs) & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = gram_counts(known, langs, n)
     totals = counts.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"n_{i}").alias(f"t_{i}") for i in range(len(langs))])
 
     def log_p(count: Column, total: Column, v: Column) -> Column:
@@ -183,11 +266,16 @@ def _scorer(model: DataFrame, langs: list[str], n: int) -> Callable[[Column], Co
     """Arrow function over texts; the first row of the table is what an unseen n-gram gets."""
     table = model.orderBy(F.col("gram").asc_nulls_first()).toPandas()
     weights = table[[f"lp_{i}" for i in range(len(langs))]].to_numpy(np.int64)
-    shared = model.sparkSession.sparkContext.broadcast(({g: i for i, g in enumerate(table["gram"]) if i}, weights))
-
-    def best(value: str | None) -> str | None:
-        if value is None:
-            return None
+    grams = list(table["gram"])
+    if n > PACKED:
+        known: object = {g: i for i, g in enumerate(grams) if i}
+    else:
+        numbers = np.array([_number(g, n) for g in grams[1:]], np.int64)
+        order = np.argsort(numbers)
+        known = (numbers[order], order + 1)
+    shared = model.sparkSession.sparkContext.broadcast((known, weights))
+
+    def best(value: str) -> str:
         places, table = shared.value
         framed, sums = f" {value} ", np.zeros(len(langs), np.int64)
         count = max(1, len(framed) - n + 1)
@@ -196,9 +284,36 @@ def _scorer(model: DataFrame, langs: list[str], n: int) -> Callable[[Column], Co
             sums += table[found].sum(0)
         return langs[int(sums.argmax())]
 
+    def together(texts: list[str]) -> list[str]:
+        (numbers, places), table = shared.value
+        out: list[str] = []
+        for part in _together(texts):
+            grams, counts = packed_grams(texts[part], n)
+            # many occurrences, few n-grams: each is looked up once
+            distinct, which = np.unique(grams, return_inverse=True)
+            at = np.zeros(len(distinct), np.int64)
+            if len(numbers):
+                near = np.minimum(np.searchsorted(numbers, distinct), len(numbers) - 1)
+                at = np.where(numbers[near] == distinct, places[near], 0)
+            sums = np.add.reduceat(table[at][which], np.cumsum(counts) - counts)
+            out += [langs[i] for i in sums.argmax(1)]
+        return out
+
     @F.pandas_udf("string")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([best(value) for value in batch], dtype=object)
+            result = pd.Series([None] * len(batch), dtype=object)
+            given = batch.notna().to_numpy()
+            texts = batch[given].tolist()
+            result[given] = [best(t) for t in texts] if n > PACKED else together(texts)
+            yield result
 
     return predict
+
+
+def _number(gram: str, n: int) -> int:
+    """An n-gram as ``packed_grams`` numbers it."""
+    number = 0
+    for k in range(n):
+        number = number << CODE_BITS | (ord(gram[k]) + 1 if k < len(gram) else 0)
+    return number

@@ -217,3 +217,27 @@ def test_overlap_in_small_slices():
                 assert found[i, n - 1].tolist() == [sum((a & b).values()), sum(a.values()), sum(b.values())]
     ngrams._table.cache_clear()
     assert max(s.stop - s.start for s in ngrams._slices(np.full(10_000, 100))) <= 1_000
+
+
+def test_language_counts_leave_the_tasks_by_ngram(spark):
+    """Counts and answers are those of a plain loop, also for empty texts, zeros and signs beyond 16 bits."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["de", "en"]), "".join(rng.choice("ab \0é漢😀") for _ in range(rng.randrange(6)))) for i in range(300)]
+    texts = spark.createDataFrame([*rows, (300, "en", None), (301, "fr", "zz")], "id int, lang string, text string").repartition(3)
+    for n in (1, 2, 3, 4):
+        model = m.train_langid(texts, ["de", "en"], n)
+        met = {x: Counter() for x in ("de", "en")}
+        grams = lambda t: [f" {t} "[i : i + n] for i in range(max(1, len(t) + 3 - n))]
+        for _, lang, text in rows:
+            met[lang].update(grams(text))
+        names = set(met["de"]) | set(met["en"])
+        wanted = {g: tuple(math.floor(math.log((met[x][g] + 1) / (met[x].total() + len(names))) * 1e6 + 0.5) for x in met) for g in [*names, None]}
+        found = {r["gram"]: (r["lp_0"], r["lp_1"]) for r in model.collect()}
+        assert found == wanted
+        got = {r["id"]: r["pred_lang"] for r in m.detect_language(texts, model, ["de", "en"], ["id"], n).collect()}
+        for i, _, text in [*rows, (301, "fr", "zz")]:
+            sums = [sum(wanted.get(g, wanted[None])[k] for g in grams(text)) for k in (0, 1)]
+            assert got[i] == ("de" if sums[0] >= sums[1] else "en")
+        assert got[300] is None
+    plan = m.gram_counts(texts.select("lang", "text"), ["de", "en"], 3)._jdf.queryExecution().toString()
+    assert "Generate" not in plan
