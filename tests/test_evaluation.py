@@ -241,3 +241,15 @@ def test_language_counts_leave_the_tasks_by_ngram(spark):
         assert got[300] is None
     plan = m.gram_counts(texts.select("lang", "text"), ["de", "en"], 3)._jdf.queryExecution().toString()
     assert "Generate" not in plan
+
+
+def test_best_of_beams_as_of_rows(spark):
+    """The same candidates in the same ranks as one row a candidate gives, with copies of a sample, equal scores, NaN and null."""
+    rng = random.Random(7)
+    scores = [0.0, -0.0, -1.0, -2.5, float("nan"), float("-inf"), None]
+    beams = [("p", i % 40, [(10 * k + i // 40, f"t{i}.{k}", rng.choice(scores)) for k in range(i % 5)]) for i in range(60)]
+    df = spark.createDataFrame(beams, "pair string, sample_id long, beam array<struct<cand:int,text:string,score:double>>").repartition(3)
+    for n in (1, 2):
+        wide, rows = r.nbest_of_beams(df, n), r.nbest(df.select("pair", "sample_id", F.inline("beam")), n)
+        key = lambda x: (x["sample_id"], x["rank"], x["cand"], str(x["score"]))
+        assert sorted(map(key, wide.collect())) == sorted(map(key, rows.collect()))
