@@ -168,3 +168,26 @@ def test_checkpoints(spark):
         r.select_checkpoints(df, "9_9")
     mean = r.average_vectors(r.last_k(df).withColumn("g", F.lit(1)), ["g"]).first()["params"]
     assert mean == [4.0, 8.0]
+
+
+def test_archives_are_packed_batch_by_batch(tmp_path):
+    """An archive and a member may go on in the next batch; only the last line of the lost member is missing, and no task sees a whole group."""
+    import zipfile
+
+    import pandas as pd
+
+    from workload import planning
+
+    rows = [(pair, part, side, f"{pair}{part}{side}.{i} é") for pair in ("de-en", "en-fr") for part in (0, 1) for side in (0, 1) for i in range(5)]
+    for size in (1, 3, 40):
+        root = str(tmp_path / str(size))
+        batches = (pd.DataFrame(rows[i : i + size], columns=["pair", "part", "side", "line"]) for i in range(0, len(rows), size))
+        names = [n for frame in planning._archive_writer(root, planning._set_members, ("en-fr", 1))(batches) for n in frame["path"]]
+        assert names == ["de-en.0.zip", "de-en.1.zip", "en-fr.0.zip", "en-fr.1.zip"]
+        for name in names:
+            pair, part = name.split(".")[:2]
+            with zipfile.ZipFile(f"{root}/{name}") as archive:
+                for side, lang in enumerate(pair.split("-")):
+                    wanted = [line for p, q, s, line in rows if (p, str(q), s) == (pair, part, side)][: 4 if (pair, side) == ("en-fr", 1) else 5]
+                    assert archive.read(f"{pair}.{lang}").decode() == "".join(x + "\n" for x in wanted)
+                assert archive.read(f"{pair}.scores") == b"0\n" * 5 and archive.read("LICENSE") == b"free"

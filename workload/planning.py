@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -305,7 +307,7 @@ def archive_lines(spark, sf):
     root = shared_folder(spark, "archives")
     packed = number_rows(t.bitext(spark, sf), ["pair"], ["line_no"], range_block(F.col("line_no")))
     packed = packed.withColumn("part", range_block(F.col("row_idx"), ARCHIVE_LINES))
-    packed.groupBy("pair", "part").applyInPandas(_zip_writer(root), "path string").write.format("noop").mode("overwrite").save()
+    _write_archives(packed, root, _set_members)
     lines = archive.read_archive_lines(spark, f"{root}/*.zip")
     part = F.regexp_extract("path", r"\.(\d+)\.zip$", 1).cast("long")
     return lines.select("member", (F.col("line_no") + part * ARCHIVE_LINES).alias("line_no"), "line")
@@ -320,7 +322,7 @@ def archive_bitext(spark, sf):
     root = shared_folder(spark, "pair-archives")
     packed = number_rows(t.bitext(spark, sf), ["pair"], ["line_no"], range_block(F.col("line_no")))
     packed = staged(packed.withColumn("part", range_block(F.col("row_idx"), ARCHIVE_LINES)), "packed")
-    packed.where("pair <> 'es-fr'").groupBy("pair", "part").applyInPandas(_pair_zip_writer(root), "path string").write.format("noop").mode("overwrite").save()
+    _write_archives(packed.where("pair <> 'es-fr'"), root, _pair_members, lost=("en-fr", 1))
     mark = F.translate(F.col("part").cast("string"), "0123456789", PART_LETTERS)
     wanted = packed.groupBy("src_lang", "tgt_lang", "part").count().select(
         F.concat("src_lang", mark).alias("src_lang"), F.concat("tgt_lang", mark).alias("tgt_lang"),
@@ -337,60 +339,69 @@ ARCHIVE_LINES = 1 << 16
 PART_LETTERS = "ABCDEFGHIJ"
 
 
-def _pair_zip_writer(root: str):
-    def write(key, rows):
-        import io
-        import zipfile
+def _pair_members(pair: str, part: int) -> tuple[str, list[str], str, int | None]:
+    """The name of an archive, its two text members, its scores and how many there are (none: one a line)."""
+    mark = "".join(PART_LETTERS[int(x)] for x in str(part))
+    langs = [f"{x}{mark}" for x in pair.split("-")]
+    name = "-".join(langs[::-1] if pair == "de-es" else langs)
+    return f"{name}.txt.zip", [f"set.{name}.{x}" for x in langs], f"set.{name}.scores", 1
 
-        import pandas as pd
-        from pyarrow import fs
 
-        pair, part = key
-        mark = "".join(PART_LETTERS[int(x)] for x in str(part))
-        langs = [f"{x}{mark}" for x in pair.split("-")]
-        rows = rows.sort_values("row_idx")
-        texts = dict(zip(langs, (list(rows["src"]), list(rows["tgt"]))))
-        if pair == "en-fr":
-            texts[langs[1]].pop()
-        name = "-".join(langs[::-1] if pair == "de-es" else langs)
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as out:
-            for lang, lines in texts.items():
-                out.writestr(f"set.{name}.{lang}", "".join(line + "\n" for line in lines))
-            out.writestr(f"set.{name}.scores", "0\n")
-        filesystem, folder = fs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
-        filesystem.create_dir(folder, recursive=True)
-        with filesystem.open_output_stream(f"{folder}/{name}.txt.zip") as sink:
-            sink.write(data.getvalue())
-        return pd.DataFrame({"path": [name]})
+def _set_members(pair: str, part: int) -> tuple[str, list[str], str, int | None]:
+    return f"{pair}.{part}.zip", [f"{pair}.{x}" for x in pair.split("-")], f"{pair}.scores", None
 
-    return write
 
+def _write_archives(packed, root: str, members, lost: tuple[str, int] | None = None) -> None:
+    """One archive for each ``pair, part``, its lines by ``row_idx``; of the pair and side ``lost`` the last line is left out.
 
+    The tasks get the lines in the order of the archives and their members and pack them as they come: besides the
+    packed bytes of one archive they hold a batch, however long an archive is.
+    """
+    sides = packed.select("pair", "part", "row_idx", F.posexplode(F.array("src", "tgt")).alias("side", "line"))
+    dealt = sides.repartition("pair", "part").sortWithinPartitions("pair", "part", "side", "row_idx")
+    dealt.select("pair", "part", "side", "line").mapInPandas(_archive_writer(root, members, lost), "path string").write.format("noop").mode("overwrite").save()
 
-def _zip_writer(root: str):
-    def write(key, rows):
+
+def _archive_writer(root: str, members, lost: tuple[str, int] | None):
+    def write(batches):
         import io
         import zipfile
 
         import pandas as pd
         from pyarrow import fs
 
-        pair, part = key
-        src, tgt = pair.split("-")
-        rows = rows.sort_values("row_idx")
         filesystem, folder = fs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
         filesystem.create_dir(folder, recursive=True)
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as out:
-            out.writestr(f"{pair}.{src}", "".join(line + "\n" for line in rows["src"]))
-            out.writestr(f"{pair}.{tgt}", "".join(line + "\n" for line in rows["tgt"]))
-            out.writestr(f"{pair}.scores", "0\n" * len(rows))
-            out.writestr("LICENSE", "free")
-        # the name depends on the data only: a task that runs again writes the same file
-        with filesystem.open_output_stream(f"{folder}/{pair}.{part}.zip") as sink:
-            sink.write(data.getvalue())
-        return pd.DataFrame({"path": [f"{pair}.{part}.zip"]})
+
+        def of_archives(runs):
+            """``name, data`` of each archive; ``runs`` are ``(pair, part), side, lines``, an archive's and a member's one behind the other."""
+            for (pair, part), parts in itertools.groupby(runs, key=lambda run: run[0]):
+                name, texts, scores, n_scores = members(pair, part)
+                data, count = io.BytesIO(), 0
+                with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as out:
+                    for side, found in itertools.groupby(parts, key=lambda run: run[1]):
+                        # the line before is written when another one follows it
+                        held = None
+                        with out.open(texts[side], "w") as member:
+                            for _, _, lines in found:
+                                if held is not None:
+                                    member.write(held)
+                                member.write("".join(line + "\n" for line in lines[:-1]).encode())
+                                held, count = (lines[-1] + "\n").encode(), count + (side == 0) * len(lines)
+                            if (pair, side) != lost:
+                                member.write(held)
+                    out.writestr(scores, "0\n" * (count if n_scores is None else n_scores))
+                    if n_scores is None:
+                        out.writestr("LICENSE", "free")
+                yield name, data
+
+        runs = (((pair, part), side, rows["line"].tolist()) for batch in batches
+                for (pair, part, side), rows in batch.groupby(["pair", "part", "side"], sort=False))
+        for name, data in of_archives(runs):
+            # the name depends on the data only: a task that runs again writes the same file
+            with filesystem.open_output_stream(f"{folder}/{name}") as sink:
+                sink.write(data.getbuffer())
+            yield pd.DataFrame({"path": [name]})
 
     return write
 
