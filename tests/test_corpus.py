@@ -241,3 +241,33 @@ def test_sorted_batches_of_odd_rows(spark):
     assert d.sorted_token_batches(df.limit(0), 10).count() == 0
     with pytest.raises(ValueError):
         d.sorted_token_batches(df, 0)
+
+
+def test_words_encoded_together_equal_one_at_a_time():
+    """Pairs of a symbol with itself, symbols spelled twice, words without a merge, characters beyond the basic plane."""
+    random.seed(11)
+    found = ["".join(random.choices("aabbcß😀", k=random.randint(1, 12))) for _ in range(400)]
+    pairs = [("a", "a"), ("b", "c"), ("aa", "a"), ("a", "b"), ("ab", "c"), ("a", "bc"), ("aa", "aa"), ("😀", "ß"), ("abc", "😀")]
+    for merges in ([], pairs, pairs[::-1]):
+        encoder = s._Encoder(merges)
+        symbols, sizes = encoder.encode(found)
+        pieces = iter([encoder.symbol(x) for x in symbols.tolist()])
+        ranks = {pair: i for i, pair in enumerate(merges)}
+        assert [[next(pieces) for _ in range(n)] for n in sizes.tolist()] == [s.encode_words(w, ranks) for w in found]
+
+
+def test_bpe_of_null_and_blank_texts(spark):
+    df = spark.createDataFrame([(0, "aab aab b"), (1, None), (2, ""), (3, "   "), (4, " b aab")], "id int, text string")
+    got = {r["id"]: r["p"] for r in s.bpe_pieces(df, "text", [("a", "a"), ("aa", "b")], "p").collect()}
+    assert got == {0: ["▁", "aab", "▁", "aab", "▁", "b"], 1: None, 2: [], 3: [], 4: ["▁", "b", "▁", "aab"]}
+
+
+def test_a_pass_hands_on_pairs_not_words(spark):
+    """What a pass appends has a row per pair and task, however many distinct words hold the pair."""
+    counts = {f"▁ab{a}{b}{c}": 1 for a in "cdefghij" for b in "cdefghij" for c in "cdefghij"}
+    df, alphabet = words(spark, counts), sorted(set("".join(counts)))
+    packed = s._pack(df.coalesce(1), alphabet)
+    spelled = ["", *alphabet, "ab"]
+    changes = s._pair_changes(packed, [[(spelled.index("a"), spelled.index("b"), len(spelled) - 1)]], spelled).collect()
+    assert sum(r["looked"] for r in changes) == len(counts) == 512
+    assert len(changes) == 1 + 1 + 1 + 2 * 8 and {(r["left"], r["right"]): r["delta"] for r in changes}[("a", "b")] == -512
