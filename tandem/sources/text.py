@@ -41,9 +41,15 @@ def _file_names(path: Column) -> list[Column]:
     ]
 
 
-def align_sides(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """Zip two numbered sides: inner, so surplus lines of the longer side drop out."""
-    return src.join(tgt, ["pair", "line_no"])
+def align_sides(src: DataFrame, tgt: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Zip two numbered sides: inner, so surplus lines of the longer side drop out.
+
+    ``tasks`` deals both sides into so many tasks; without it the session says how many, however long the sides are.
+    """
+    keys = ["pair", "line_no"]
+    if tasks:
+        src, tgt = src.repartition(tasks, *keys), tgt.repartition(tasks, *keys)
+    return src.join(tgt, keys)
 
 
 def read_parallel_set(spark: SparkSession, path: str) -> DataFrame:

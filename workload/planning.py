@@ -164,7 +164,8 @@ def bitext_align(spark, sf):
     pairs = pairs.withColumn("pair", p.join_pair(F.col("src_lang"), F.col("tgt_lang")))
     src = texts.join(pairs, texts["lang"] == pairs["src_lang"]).select("pair", "src_lang", "tgt_lang", F.col("sent_id").alias("line_no"), F.col("text").alias("src"))
     tgt = texts.join(pairs, texts["lang"] == pairs["tgt_lang"]).select("pair", F.col("sent_id").alias("line_no"), F.col("text").alias("tgt"))
-    return txt.align_sides(src, tgt).select("pair", "src_lang", "tgt_lang", "line_no", "src", "tgt")
+    # a text stands in a pair with each other language
+    return txt.align_sides(src, tgt, 2 * t.document_tasks(spark, sf)).select("pair", "src_lang", "tgt_lang", "line_no", "src", "tgt")
 
 
 @query("oriented_bitext", """
