@@ -253,3 +253,18 @@ def test_best_of_beams_as_of_rows(spark):
         wide, rows = r.nbest_of_beams(df, n), r.nbest(df.select("pair", "sample_id", F.inline("beam")), n)
         key = lambda x: (x["sample_id"], x["rank"], x["cand"], str(x["score"]))
         assert sorted(map(key, wide.collect())) == sorted(map(key, rows.collect()))
+
+
+def test_a_log_scores_its_samples_once(spark):
+    """Numbering reads the records more than once, but the results only as they were written."""
+    scored = spark.sparkContext.accumulator(0)
+
+    def score(batches):
+        for batch in batches:
+            scored.add(len(batch))
+            yield batch
+
+    results = spark.createDataFrame([("a-b", "r")], "pair string, result string").mapInPandas(score, "pair string, result string")
+    records = spark.createDataFrame([("a-b", i, 0, "S", f"S-{i}") for i in (3, 1, 1 << 40)], "pair string, sample_id long, seq int, kind string, line string")
+    log = r.generation_log(r.close_records(records, results)).orderBy("line_no").collect()
+    assert [x["line"] for x in log] == ["S-1", "S-3", f"S-{1 << 40}", "Generate test with beam=5: r"] and scored.value == 1
