@@ -60,3 +60,18 @@ def test_staged_tables_are_written_small(spark):
     kept = staged(spark.range(10), "small")
     assert kept.count() == 10 and all(".zstd." in f for path in kept.inputFiles() for f in glob.glob(path.removeprefix("file:").replace("//", "")))
     assert ".zstd." in kept.inputFiles()[0]
+
+
+def test_files_are_written_from_many_batches(spark, tmp_path):
+    """Files that span batches and share tasks; lines that are empty."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        rows = [(f"f{k}", i, "" if i % 5 == 0 else f"{k}ß{i}") for k in range(20) for i in range(30, 0, -1)]
+        t.write_files(spark.createDataFrame(rows, "file string, ord long, line string").repartition(6), f"file://{tmp_path}/out")
+    finally:
+        spark.conf.set(name, before)
+    for k in range(20):
+        assert (tmp_path / "out" / f"f{k}").read_text() == "".join(("" if i % 5 == 0 else f"{k}ß{i}") + "\n" for i in range(1, 31))
+    assert len(list((tmp_path / "out").glob("f*"))) == 20
