@@ -75,3 +75,12 @@ def test_files_are_written_from_many_batches(spark, tmp_path):
     for k in range(20):
         assert (tmp_path / "out" / f"f{k}").read_text() == "".join(("" if i % 5 == 0 else f"{k}ß{i}") + "\n" for i in range(1, 31))
     assert len(list((tmp_path / "out").glob("f*"))) == 20
+
+
+def test_no_task_of_an_alignment_gets_a_whole_language(spark, uneven):
+    import __spark_entry__ as entry
+
+    frame = entry.queries()["bitext_align"](spark, uneven)
+    plan = frame._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin [pair") == 1 and "SortMergeJoin [lang" not in plan
+    assert sorted((r["pair"], r["line_no"]) for r in frame.collect()) == sorted((r["pair"], r["line_no"]) for r in t.bitext(spark, uneven).collect())

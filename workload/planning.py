@@ -161,7 +161,8 @@ def bitext_align(spark, sf):
     texts = t.parallel_set(spark, sf)
     pairs = texts.select("lang").distinct()
     pairs = pairs.select(F.col("lang").alias("src_lang")).join(pairs.select(F.col("lang").alias("tgt_lang")), F.col("src_lang") < F.col("tgt_lang"))
-    pairs = pairs.withColumn("pair", p.join_pair(F.col("src_lang"), F.col("tgt_lang")))
+    # one row per pair of languages; a shuffle by language would put a whole language into one task
+    pairs = F.broadcast(pairs.withColumn("pair", p.join_pair(F.col("src_lang"), F.col("tgt_lang"))))
     src = texts.join(pairs, texts["lang"] == pairs["src_lang"]).select("pair", "src_lang", "tgt_lang", F.col("sent_id").alias("line_no"), F.col("text").alias("src"))
     tgt = texts.join(pairs, texts["lang"] == pairs["tgt_lang"]).select("pair", F.col("sent_id").alias("line_no"), F.col("text").alias("tgt"))
     # a text stands in a pair with each other language
