@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.session import staged
+from tandem.session import shuffled, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node each node of an edge reaches; ``edges`` has long columns ``a`` and ``b``.
 
     Each round hangs neighbours on the smallest one they share: first those above a node, then those
-    below it. Minima are combined before the shuffle and the joins are plain equi-joins against one row
+    below it. Minima are combined before the shuffle and the joins are shuffled equi-joins against one row
     per node, so a node with very many edges is dealt out by the skew handling. Every round is
     written to the shared folder; only two numbers per round come to the driver. It ends when a
     round changes nothing: every node then hangs on its root.
@@ -22,9 +22,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = state.union(state.select("b", "a"))
         lowest = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
-        large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        large = both.where("b > a").join(shuffled(lowest), "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("_m"))
-        small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("_m"), F.col("a")).otherwise(F.col("b")).alias("a"),
+        small = large.join(shuffled(lowest), "a").select(F.when(F.col("b") == F.col("_m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                                                F.col("_m").alias("b"))
         state = staged(small.distinct(), "edges")
         now = _mark(state)

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.session import staged
+from tandem.session import shuffled, staged
 
 SEQUENCE_TOKENS, CLOSING_ID, GROUP_PIECES = 1024, 0, 16_384
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -181,7 +181,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = SEQUE
         pack, "_piece long, sequence_id long, offset long, sequence_tokens long")
     whole = pieces.where(F.col("length") == tokens).select(
         "*", F.col("_piece").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("sequence_tokens"))
-    found = whole.unionByName(rests.join(packed, "_piece"))
+    found = whole.unionByName(rests.join(shuffled(packed), "_piece"))
     size = F.col("sequence_tokens")
     padded = F.when(F.bit_count(size) == 1, size).otherwise(F.lit(tokens).cast("long"))
     shown = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]

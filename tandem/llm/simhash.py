@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.llm.graph import connected_components
-from tandem.session import staged
+from tandem.session import shuffled, staged
 
 BITS, DISTANCE, SHINGLE_WORDS, SEED = 64, 3, 3, 42
 #: Members of an index entry that one task compares; larger entries are cut into blocks that meet pair by pair.
@@ -92,12 +92,13 @@ def fingerprint_links(values: DataFrame, block: int = BLOCK) -> DataFrame:
     """``a, b``: verified links that connect what is within the distance; ``values`` has distinct ``fp``.
 
     Entries with one member are dropped after a count that combines before its shuffle. The rest are
-    compared entry by entry; an entry with over ``block`` members is dealt by hash into blocks and
-    every two blocks meet in a task of their own, so no task holds more than two blocks.
+    compared entry by entry, after a shuffled join, as a fingerprint has 64 entries; an entry with over
+    ``block`` members is dealt by hash into blocks and every two blocks meet in a task of their own, so
+    no task holds more than two blocks.
     """
     indexed = variants(values)
     shared = indexed.groupBy("entry").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    members = indexed.join(shared, "entry")
+    members = indexed.join(shuffled(shared), "entry")
     n_blocks = F.ceil(F.col("_n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), n_blocks).cast("int")
     dealt = members.select("entry", "fp", n_blocks.alias("_blocks"), own.alias("_own"))
@@ -148,7 +149,7 @@ def _rooted(marked: DataFrame) -> DataFrame:
     """``fp, root, _first``: each fingerprint of the rows, that of its component, and the smallest id that has it."""
     classes = staged(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("_first")), "classes")
     roots = connected_components(fingerprint_links(classes.select("fp")))
-    return classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "_first")
+    return classes.join(shuffled(roots), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "_first")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -181,6 +182,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     marked = staged(keyed.select("_doc.doc_id", "_id", "_row", fingerprints("_doc.text").alias("_fp")), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_id", "_row")).alias("_best")
     by_print = marked.groupBy(F.col("_fp").alias("fp")).agg(best)
-    chosen = by_print.join(_rooted(marked), "fp").groupBy("root").agg(F.min("_best").alias("_best"))
+    chosen = by_print.join(shuffled(_rooted(marked)), "fp").groupBy("root").agg(F.min("_best").alias("_best"))
     chosen = staged(chosen.select("_best._id", "_best._row"), "chosen")
-    return keyed.join(chosen, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select("_doc.*")
+    return keyed.join(shuffled(chosen), ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select("_doc.*")

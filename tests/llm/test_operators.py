@@ -154,6 +154,30 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
+@pytest.fixture
+def planned(monkeypatch):
+    """The plans of all tables written to be read again."""
+    plans = []
+
+    def noted(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return tables.staged(df, purpose)
+
+    for module in (simhash, graph, packing):
+        monkeypatch.setattr(module, "staged", noted)
+    return plans
+
+
+def test_pipeline_broadcasts_no_table_that_grows(spark, docs, planned):
+    """Spark's estimates of these small tables lie below its limit for broadcasts, as do those of much larger ones."""
+    kept = simhash.deduplicate(docs)
+    packed = packing.pack_documents(docs)
+    graph.connected_components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))
+    plans = [*planned, *(df._jdf.queryExecution().executedPlan().toString() for df in (kept, packed))]
+    assert sum(plan.count("SortMergeJoin") for plan in plans) >= 7
+    assert not any("Broadcast" in plan for plan in plans)
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_fingerprint_links(spark, block):
     rng = np.random.default_rng(3)
