@@ -154,28 +154,28 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
-@pytest.fixture
-def planned(monkeypatch):
-    """The plans of all tables written to be read again."""
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pipeline_broadcasts_no_table_that_grows(spark, docs, monkeypatch):
+    """Spark's estimates of these small tables lie below its limit for broadcasts, as do those of much larger ones."""
     plans = []
 
     def noted(df, purpose):
-        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        plans.append(_plan(df))
         return tables.staged(df, purpose)
 
-    for module in (simhash, graph, packing):
-        monkeypatch.setattr(module, "staged", noted)
-    return plans
+    monkeypatch.setattr(simhash, "staged", noted)
+    plans += [_plan(simhash.deduplicate(docs)), _plan(packing.pack_documents(docs))]
+    assert sum(plan.count("SortMergeJoin") for plan in plans) == 4
+    assert not any("Broadcast" in plan for plan in plans)
 
 
-def test_pipeline_broadcasts_no_table_that_grows(spark, docs, planned):
-    """Spark's estimates of these small tables lie below its limit for broadcasts, as do those of much larger ones."""
-    kept = simhash.deduplicate(docs)
-    packed = packing.pack_documents(docs)
-    graph.connected_components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))
-    plans = [*planned, *(df._jdf.queryExecution().executedPlan().toString() for df in (kept, packed))]
-    assert sum(plan.count("SortMergeJoin") for plan in plans) >= 7
-    assert not any("Broadcast" in plan for plan in plans)
+def test_shared_entries_are_not_broadcast(spark):
+    """64 entries a fingerprint, which Spark's estimate counts as one."""
+    plan = _plan(simhash.fingerprint_links(spark.range(100).select(F.xxhash64("id").alias("fp"))))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
 @pytest.mark.parametrize("block", [2, 4096])
