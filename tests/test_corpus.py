@@ -11,6 +11,7 @@ from tandem.operators import corpus as d
 from tandem.operators import subword as s
 from tandem.operators import tokens as k
 from tandem.session import checkpoint_root
+from workload.corpus import bpe_merges
 
 
 def numbered(spark, counts):
@@ -173,6 +174,27 @@ def test_a_pair_merged_again(spark):
     assert places[("abc", "x")] == [2, 5]
 
 
+@pytest.mark.parametrize("last", [0, 30, 1 << 22])
+def test_merges_equal_however_many_symbols_a_task_may_hold(spark, monkeypatch, last):
+    """Up to the end, where all pairs are equally frequent; words of runs, of one symbol, and symbols spelled twice."""
+    monkeypatch.setattr(s, "LAST_SYMBOLS", last)
+    monkeypatch.setattr(s, "MERGE_SEGMENTS", 2)
+    random.seed(6)
+    counts = {"▁" + "".join(random.choices("aab", k=random.randint(0, 6))): random.randint(1, 3) for _ in range(12)}
+    got = s.train_subwords(words(spark, counts), 3 + len(set("".join(counts))) + 500, top=16)
+    assert got == brute_merges(counts, 500) and len(got) > 10
+
+
+def test_merges_of_the_whole_vocabulary(spark, tmp_path):
+    """The query goes on until no pair is left or the vocabulary is full."""
+    random.seed(7)
+    texts = [" ".join("".join(random.choices("abcdefgh", k=random.randint(1, 8))) for _ in range(40)) for _ in range(4)]
+    rows = [(i, x, "en", "web", len(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(m["left"], m["right"]) for m in bpe_merges(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert len(got) > 200 and got == brute_merges(Counter("▁" + w for x in texts for w in x.split()), 10_000)
+
+
 def test_no_words_no_merges(spark):
     assert s.train_subwords(spark.createDataFrame([], "word string, cnt long"), 100) == []
 

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF
+from workload.registry import with_views
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations"]
@@ -52,5 +53,12 @@ def test_bpe_ranks(spark):
     assert rows and all(r["same"] for r in rows)
 
 
+def test_first_merges_match_sql(spark, duck):
+    """The whole list goes on where the SQL for a small vocabulary ends."""
+    merges = [(m["left"], m["right"]) for m in QUERIES["bpe_merges"](spark, SF).orderBy("rank").collect()]
+    steps = duck.execute(with_views("SELECT DISTINCT k, l, r FROM bpe_steps WHERE k > 0 ORDER BY k")).fetchall()
+    assert len(merges) > 1_000 > len(steps) > 50 and merges[: len(steps)] == [(left, right) for _, left, right in steps]
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["pair", "src_lang", "tgt_lang", "line_no", "src", "tgt"]
